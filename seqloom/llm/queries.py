@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from seqloom.llm import mixing, urlgraph
+from seqloom.llm import mixing, packing, urlgraph
 from seqloom.session import read
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("row_key")
+
+
 def op8_url_filters(spark, sf_dir):
     return urlgraph.judged(read(spark, sf_dir, "pages"))
 
