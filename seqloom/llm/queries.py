@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.llm import mixing, packing, urlgraph
+from pyspark.sql import functions as F
+
+from seqloom.llm import mixing, packing, topk, urlgraph
 from seqloom.session import read
 
 
@@ -17,6 +19,10 @@ def op3_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("row_key")
 
 
+def op6_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_url_filters(spark, sf_dir):
     return urlgraph.judged(read(spark, sf_dir, "pages"))
 
@@ -29,5 +35,22 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+SQL = {
+    "op6_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
+
+
 def oracle_sql():
-    return {}
+    return dict(SQL)
