@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import mixing, packing, topk, urlgraph
+from seqloom.llm import chat, mixing, packing, topk, urlgraph
 from seqloom.session import read
 
 
@@ -19,6 +19,13 @@ def op3_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("row_key")
 
 
+def op4_chat(spark, sf_dir):
+    same = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.digests(chat.formatted(rows, vocabulary("byte_bpe_50k.json")))
+
+
 def op6_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -36,6 +43,20 @@ def queries():
 
 
 SQL = {
+    "op4_chat": """
+        WITH c AS (
+            SELECT conv_id, turn, role, coalesce("text", '') AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), x AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                   coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+                   sum(length(regexp_replace(t, '<(&*)\\|', '<&\\1|', 'g')) + length(regexp_replace(role, '<(&*)\\|', '<&\\1|', 'g')) + 8 + 1 + 8) AS formatted_chars
+            FROM c GROUP BY conv_id
+        )
+        SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+        FROM x""",
     "op6_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
