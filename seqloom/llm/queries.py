@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, mixing, packing, topk, urlgraph
+from seqloom.llm import chat, jaccard, mixing, packing, topk, urlgraph
 from seqloom.session import read
 
 
@@ -34,6 +34,10 @@ def op8_url_filters(spark, sf_dir):
     return urlgraph.judged(read(spark, sf_dir, "pages"))
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.linked(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents"))
 
