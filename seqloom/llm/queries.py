@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, jaccard, mixing, packing, topk, urlgraph
+from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, suffixtree, topk, urlgraph
 from seqloom.session import read
 
 
+def op2_quality(spark, sf_dir):
+    return quality.quality_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -15,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark, sf_dir):
+    return capfilters.linked(read(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("row_key")
 
@@ -30,6 +38,10 @@ def op6_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_suffix_tree(spark, sf_dir):
+    return suffixtree.scored(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark, sf_dir):
     return urlgraph.judged(read(spark, sf_dir, "pages"))
 
