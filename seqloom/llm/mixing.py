@@ -189,3 +189,25 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     out = out.select("*", nth.alias("nth"))
     share_ = F.floor(F.col("_taken") / F.col("copies")) + F.when(F.col("nth") <= F.pmod("_taken", "copies"), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", share_.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: docs with, for each pass over its source, a row
+    for each document that the pass takes words of. A text taken whole is as it
+    was; of others the taken words remain, joined by spaces. n_chars, where docs
+    has it, is set anew. Rows that repeat give their words in one row."""
+    sizes, _, pieces = mix(docs, **options)
+    key = ["doc_id", "text_key", "size"]
+    ranges = pieces.groupBy(*key, "source", "epoch").agg(F.array_sort(F.collect_list(F.struct("from", "words"))).alias("ranges"), F.sum("words").alias("taken"))
+    ranges = ranges.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("source").alias("_source"), "ranges", "taken")
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    if sizes.where("size > 0").groupBy(*key, "source").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "_key", "source"])
+    on = same(F.col("doc_id"), F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")) & same(F.col("source"), F.col("_source"))
+    rows = rows.join(ranges, on)
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("_words"), (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    rows = rows.withColumn("_words", F.when(F.col("taken") != F.col("_size"), words))
+    rows = rows.withColumn("text", F.when(F.col("taken") == F.col("_size"), F.col("text")).otherwise(part))
+    made = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return rows.select(*[made[c].alias(c) if c in made else c for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, suffixtree, topk, urlgraph
+from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, urlgraph
 from seqloom.session import read
 
 
@@ -34,6 +34,10 @@ def op4_chat(spark, sf_dir):
     return chat.digests(chat.formatted(rows, vocabulary("byte_bpe_50k.json")))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return secretscan.scanned(read(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
