@@ -1,0 +1,276 @@
+"""Graph operators: components, spanning trees, de Bruijn graphs, assembly.
+
+Every loop works on tables: each round is a few joins whose result is written
+to the shared folder, and the driver sees one count per round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from seqloom.functions.sequence import reverse_complement
+from seqloom.session import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every vertex of edges (u, v): the smallest id that
+    its links reach. Each round hooks every vertex to its smallest neighbour,
+    jumps once more along those pointers and contracts the edges."""
+    e = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while e.limit(1).count():
+        both = e.union(e.select("v", "u"))
+        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("p"))
+        hook = materialize(hook, "hook")
+        up = hook.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
+        jump = materialize(hook.join(up, F.col("p") == F.col("_i")).select("id", F.col("_p").alias("p")), "jump")
+        maps.append(jump)
+        a, b = (jump.select(F.col("id").alias(f"_{x}"), F.col("p").alias(f"_p{x}")) for x in "uv")
+        e = e.join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v"))
+        e = e.select(F.least("_pu", "_pv").alias("u"), F.greatest("_pu", "_pv").alias("v")).where("u <> v").distinct()
+        e = materialize(e, "edges")
+    if not maps:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = maps[0].select("id", F.col("p").alias("component"))
+    for m in maps[1:]:
+        m = m.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
+        out = out.join(m, F.col("component") == F.col("_i"), "left").select("id", F.coalesce("_p", "component").alias("component"))
+    return out
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """(u, v, dist): the minimum spanning forest under the order (dist, u, v),
+    by rounds that add every component's smallest outgoing edge."""
+    e = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "dist").where("u <> v").groupBy("u", "v").agg(F.min("dist").alias("dist")), "edges")
+    left = e.select("u", "v", "dist", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    tree = e.limit(0)
+    while left.limit(1).count():
+        order = F.struct("dist", "u", "v", "cu", "cv")
+        sides = left.select(F.col("cu").alias("c"), order.alias("x")).union(left.select("cv", order))
+        chosen = materialize(sides.groupBy("c").agg(F.min("x").alias("x")).select("x.*").distinct(), "chosen")
+        tree = materialize(tree.union(chosen.select("u", "v", "dist")), "tree")
+        comp = components(chosen.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        a, b = (comp.select(F.col("id").alias(f"_{x}"), F.col("component").alias(f"_c{x}")) for x in "uv")
+        left = left.join(a, F.col("cu") == F.col("_u"), "left").join(b, F.col("cv") == F.col("_v"), "left")
+        left = left.select("u", "v", "dist", F.coalesce("_cu", "cu").alias("cu"), F.coalesce("_cv", "cv").alias("cv")).where("cu <> cv")
+        left = materialize(left, "left")
+    return tree
+
+
+def matched(proposals: DataFrame) -> DataFrame:
+    """(out_end, in_end, weight): edges that are the best both of their out end
+    and of their in end, in rounds, until none is left; larger weight first,
+    then the ends' order. Each end is used once."""
+    left = materialize(proposals.select("out_end", "in_end", "weight").distinct(), "proposals")
+    done = left.limit(0)
+    while left.limit(1).count():
+        order = F.struct((-F.col("weight")).alias("w"), "out_end", "in_end")
+        a = left.groupBy("out_end").agg(F.min(order).alias("x")).select("x.*")
+        b = left.groupBy("in_end").agg(F.min(order).alias("x")).select("x.*")
+        new = materialize(a.join(b, ["w", "out_end", "in_end"]).select("out_end", "in_end", (-F.col("w")).alias("weight")), "new")
+        done = materialize(done.union(new), "done")
+        left = left.join(new.select("out_end"), "out_end", "left_anti").join(new.select("in_end"), "in_end", "left_anti")
+        left = materialize(left, "left")
+    return done
+
+
+def paths(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, head, rank) of every node along links (src, dst) in which no node
+    has two links out or two in: the first node of its path and the steps from
+    it. Pointers double each round. Cycles are cut before their smallest node."""
+    comp = components(links.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    starts = links.select("src").join(links.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+    headed = comp.join(starts.select(F.col("src").alias("id")), "id").select("component").distinct()
+    cyclic = comp.join(headed, "component", "left_anti").select("component").distinct()
+    links = links.join(cyclic.select(F.col("component").alias("dst")), "dst", "left_anti")
+    at = nodes.join(links.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("rank"))
+    at = materialize(at, "at")
+    while True:
+        up = at.select(F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("rank").alias("_rank"))
+        new = materialize(at.join(up, F.col("up") == F.col("_i")).select("id", F.col("_up").alias("up"), (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("_up") != F.col("up")).alias("moved")), "at")
+        moved = new.where("moved").limit(1).count()
+        at = new.drop("moved")
+        if not moved:
+            return at.select("id", F.col("up").alias("head"), "rank")
+
+
+def tree_order(tree: DataFrame) -> DataFrame:
+    """(id, component, at): vertices of a spanning forest in depth-first order
+    from the smallest of each component, smaller neighbours first. Components
+    are ordered in one task each, streamed by component."""
+    comp = components(tree.select("u", "v"))
+    rows = tree.join(comp.select(F.col("id").alias("u"), "component"), "u").select("component", "u", "v")
+
+    def walk(pdf):
+        import pandas as pd
+
+        near: dict[int, list[int]] = {}
+        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
+            near.setdefault(u, []).append(v)
+            near.setdefault(v, []).append(u)
+        first = int(pdf.component.iloc[0])
+        out, stack, seen = [], [first], {first}
+        while stack:
+            x = stack.pop()
+            out.append(x)
+            for y in sorted(near[x], reverse=True):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        return pd.DataFrame({"id": out, "component": first, "at": range(len(out))})
+
+    return rows.groupBy("component").applyInPandas(walk, "id long, component long, at long")
+
+
+# de Bruijn graphs: a k-mer is an edge from its first k - 1 bases to its last
+
+
+def dbg_edges(kc: DataFrame, least: int = 1) -> DataFrame:
+    """(src, dst, base, is_rc, n): both strands of every canonical k-mer."""
+    rows = kc.where(F.col("n") >= least)
+    rc = reverse_complement("kmer")
+    both = rows.select("kmer", F.lit(False).alias("is_rc"), "n").union(rows.where(rc != F.col("kmer")).select(rc, F.lit(True), "n"))
+    cut = F.length("kmer") - 1
+    return both.select(F.col("kmer").substr(F.lit(1), cut).alias("src"), F.col("kmer").substr(F.lit(2), cut).alias("dst"), F.right("kmer", F.lit(1)).alias("base"), "is_rc", "n")
+
+
+def dbg_degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_out, n_in, is_start, unbalanced)."""
+    rows = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    d = rows.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+    return d.select("node", "n_out", "n_in", (F.col("n_out") > F.col("n_in")).alias("is_start"), (F.col("n_out") != F.col("n_in")).alias("unbalanced"))
+
+
+def without_tips(edges: DataFrame, longest: int) -> DataFrame:
+    """edges without simple paths of fewer than `longest` edges that start at a
+    node without links in and dead-end, again and again until none is left."""
+    e = materialize(edges, "edges")
+    while True:
+        d = dbg_degrees(e)
+        simple = d.where("n_out <= 1 and n_in <= 1").select("node")
+        inner = e.join(simple.select(F.col("node").alias("src")), "src").join(simple.select(F.col("node").alias("dst")), "dst").select("src", "dst")
+        if not inner.limit(1).count():
+            return e
+        comp = materialize(components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "comp")
+        own = comp.join(d.withColumnRenamed("node", "id"), "id")
+        whole = own.groupBy("component").agg(F.count("*").alias("n"), F.min("n_in").alias("i"), F.min("n_out").alias("o"))
+        # a path on its own: its ends have no other links
+        dead = whole.where(F.expr("i = 0 and o = 0") & (F.col("n") - 1 < longest))
+        gone = materialize(comp.join(dead.select("component"), "component").select(F.col("id").alias("src")), "gone")
+        if not gone.limit(1).count():
+            return e
+        e = materialize(e.join(gone, "src", "left_anti"), "edges")
+
+
+def unitigs(edges: DataFrame) -> DataFrame:
+    """(head, tail, n_edges, seq): maximal paths whose inner nodes have one link
+    in and one out."""
+    d = dbg_degrees(edges)
+    simple = d.where("n_out = 1 and n_in = 1").select("node")
+    named = materialize(edges.select("src", "dst", "base").distinct().select("*", F.concat("src", "base").alias("id")), "named")
+    into = named.join(simple.select(F.col("node").alias("dst")), "dst").select(F.col("id").alias("a"), F.col("dst").alias("via"))
+    out = named.join(simple.select(F.col("node").alias("src")), "src").select(F.col("id").alias("b"), F.col("src").alias("via"))
+    links = into.join(out, "via").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    placed = paths(materialize(links, "links"), named.select("id"))
+    rows = placed.join(named, "id").groupBy("head").agg(F.array_sort(F.collect_list(F.struct("rank", "base", "dst", "src"))).alias("x"))
+    seq = F.concat(F.element_at("x", 1)["src"], F.array_join(F.transform("x", lambda p: p["base"]), ""))
+    return rows.select(F.element_at("x", 1)["src"].alias("head"), F.element_at("x", -1)["dst"].alias("tail"), F.size("x").alias("n_edges"), seq.alias("seq"))
+
+
+def euler_string(edges: DataFrame) -> str | None:
+    """The string of an Eulerian path when at most two nodes are unbalanced, by
+    Hierholzer's walk over one component in one task; None otherwise (then the
+    contigs, longest first, stand in)."""
+    if dbg_degrees(edges).where("unbalanced").limit(3).count() > 2:
+        return None
+
+    def walk(pdf):
+        import pandas as pd
+
+        out: dict[str, list[str]] = {}
+        degree: dict[str, int] = {}
+        for s, t in sorted(zip(pdf.src, pdf.dst), reverse=True):
+            out.setdefault(s, []).append(t)
+            degree[s] = degree.get(s, 0) + 1
+            degree[t] = degree.get(t, 0) - 1
+        start = min((n for n, x in degree.items() if x > 0), default=min(out))
+        stack, path = [start], []
+        while stack:
+            if out.get(stack[-1]):
+                stack.append(out[stack[-1]].pop())
+            else:
+                path.append(stack.pop())
+        path.reverse()
+        return pd.DataFrame({"s": [path[0] + "".join(n[-1] for n in path[1:])], "n": [len(path)]})
+
+    rows = edges.select("src", "dst").groupBy(F.lit(1)).applyInPandas(walk, "s string, n long").collect()
+    return rows[0].s if rows else ""
+
+
+def greedy_superstring(seqs: DataFrame, k: int, key: str = "uid") -> DataFrame:
+    """(key, head, rank, start): sequences chained where one's last k bases are
+    another's first k, mutual best first; start counts in the chain's string."""
+    rows = seqs.where(F.length("seq") >= k).select(key, "seq")
+    a = rows.select(F.col(key).alias("out_end"), F.right("seq", F.lit(k)).alias("k"))
+    b = rows.select(F.col(key).alias("in_end"), F.col("seq").substr(1, k).alias("k"))
+    # the rank of an end among those of its k-mer pairs them without a product
+    nth = lambda df, c: df.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(c)))
+    links = nth(a, "out_end").join(nth(b, "in_end"), ["k", "nth"]).where("out_end <> in_end").select(F.col("out_end").alias("src"), F.col("in_end").alias("dst"))
+    placed = paths(materialize(links, "links"), rows.select(F.col(key).alias("id")))
+    rows = placed.join(rows.select(F.col(key).alias("id"), F.length("seq").alias("n")), "id")
+    before = F.sum(F.col("n") - k).over(Window.partitionBy("head").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(F.col("id").alias(key), "head", "rank", F.coalesce(before, F.lit(0)).alias("start"))
+
+
+def assembled(overlaps: DataFrame, seqs: DataFrame, key: str = "uid") -> tuple[DataFrame, DataFrame]:
+    """(contigs: cid, seq; placements: key, cid, pos, rc) from suffix-prefix
+    overlaps (to_id, to_view, from_id, from_view, overlap) of strand views.
+
+    An end of a sequence joins at most one other, the longest overlap that is
+    the best of both ends first; so contigs grow on both sides at once, and the
+    other strand of every chain is the same chain backwards. Chains that close
+    on themselves or on their other strand are cut at their smallest end."""
+    end = lambda i, v: F.col(i) * 2 + F.col(v)
+    o = overlaps.where("to_id <> from_id").select(end("from_id", "from_view").alias("a"), end("to_id", "to_view").alias("b"), "overlap")
+    flip = lambda c: c + 1 - 2 * F.pmod(c, F.lit(2))
+    # one name for a join and its mirror: a's tail with b's head is flip(b)'s tail with flip(a)'s head
+    o = o.select("a", "b", flip(F.col("b")).alias("ma"), flip(F.col("a")).alias("mb"), "overlap").select(
+        F.when(F.struct("a", "b") <= F.struct("ma", "mb"), F.struct("a", "b")).otherwise(F.struct(F.col("ma").alias("a"), F.col("mb").alias("b"))).alias("x"), "overlap").groupBy("x").agg(F.max("overlap").alias("overlap"))
+    o = o.select("x.a", "x.b", "overlap")
+    # ports: a leaves by the tail of its view; the tail of view 1 is the head of view 0
+    port = lambda view, tail: F.floor(view / 2) * 2 + F.when(F.pmod(view, F.lit(2)) == (0 if tail else 1), 1).otherwise(0)
+    o = o.select(port(F.col("a"), True).alias("p"), port(F.col("b"), False).alias("q"), "overlap").where("p <> q")
+    left = materialize(o.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "overlap").groupBy("p", "q").agg(F.max("overlap").alias("overlap")), "ports")
+    done = left.limit(0)
+    while left.limit(1).count():
+        order = F.struct((-F.col("overlap")).alias("w"), "p", "q")
+        both = left.select(F.col("p").alias("x"), order.alias("o")).union(left.select("q", order))
+        best = both.groupBy("x").agg(F.min("o").alias("o"))
+        new = materialize(best.groupBy("o").agg(F.count("*").alias("n")).where("n = 2").select("o.p", "o.q", (-F.col("o.w")).alias("overlap")), "new")
+        done = materialize(done.union(new), "done")
+        used = new.select(F.col("p").alias("u")).union(new.select("q"))
+        left = materialize(left.join(used, F.col("p") == F.col("u"), "left_anti").join(used, F.col("q") == F.col("u"), "left_anti"), "left")
+    # walk: from each view, the join at its tail port leads to the next view
+    d = done.select("p", "q", "overlap").union(done.select("q", "p", "overlap"))
+    view_out = lambda port_: F.floor(port_ / 2) * 2 + F.when(F.pmod(port_, F.lit(2)) == 1, 0).otherwise(1)
+    view_in = lambda port_: F.floor(port_ / 2) * 2 + F.when(F.pmod(port_, F.lit(2)) == 0, 0).otherwise(1)
+    links = materialize(d.select(view_out(F.col("p")).alias("src"), view_in(F.col("q")).alias("dst"), "overlap").distinct(), "links")
+    ids = seqs.select(F.explode(F.array(F.col(key) * 2, F.col(key) * 2 + 1)).alias("id"))
+    at = materialize(paths(links.select("src", "dst"), ids), "paths")
+    # of a chain and its mirror keep the one that holds the smaller head; a view is kept once
+    mine = at.select("id", "head", "rank", F.floor(F.col("id") / 2).alias("k"))
+    keep = mine.groupBy("k").agg(F.min(F.struct("head", "rank", "id")).alias("m")).select("m.*")
+    smaller = keep.select("head").distinct()
+    rows = at.join(smaller, "head").join(keep.select("id"), "id", "left_semi")
+    text = seqs.select(F.col(key).alias("k"), "seq")
+    rows = rows.withColumn("k", F.floor(F.col("id") / 2)).join(text, "k")
+    rows = rows.withColumn("seq", F.when(F.pmod("id", F.lit(2)) == 1, reverse_complement("seq")).otherwise(F.col("seq")))
+    rows = rows.join(links.select(F.col("src").alias("_s"), F.col("dst").alias("id"), "overlap"), "id", "left")
+    w = Window.partitionBy("head").orderBy("rank")
+    joined = F.lag("id").over(w) == F.col("_s")
+    rows = rows.withColumn("add", F.when(F.coalesce(joined, F.lit(False)), F.length("seq") - F.col("overlap")).otherwise(F.length("seq")))
+    rows = rows.withColumn("stop", F.sum("add").over(w))
+    rows = materialize(rows.select("k", "id", "head", "rank", "seq", "add", (F.col("stop") - F.length("seq")).alias("pos")), "laid")
+    contigs = rows.groupBy(F.col("head").alias("cid")).agg(F.array_sort(F.collect_list(F.struct("rank", F.right("seq", F.col("add")).alias("s")))).alias("x")).select("cid", F.array_join(F.transform("x", lambda p: p["s"]), "").alias("seq"))
+    return contigs, rows.select(F.col("k").alias(key), F.col("head").alias("cid"), "pos", (F.pmod("id", F.lit(2)) == 1).alias("rc"))
