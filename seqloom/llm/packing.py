@@ -14,7 +14,9 @@ sizes the window bounds, reach the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,41 +32,91 @@ UNIT = 32
 DEPTH = 3
 END = 2
 RESERVE = 8
-CACHE = 150_000
+CACHE = 1_000_000
+
+
+def byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: printable
+    bytes as they are, the others as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, more = [""] * 256, 256
+    for i in range(256):
+        out[i] = chr(i) if i in plain else chr(more)
+        more += i not in plain
+    return out
+
+
+_PARTS = re.compile(rb"([a-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
 
 
 class Words(dict):
-    """Token bytes of each chunk of a text between ASCII white space. The
-    tokenizer drops white space and never joins across it, so a text's ids
-    are those of its chunks in turn. Bounded: emptied when full."""
+    """Token bytes of each chunk of a lower-cased text between ASCII white
+    space. The tokenizer drops white space and never joins across it, so a
+    text's ids are those of its chunks in turn. A chunk of letters with signs
+    behind it is two words to the tokenizer, which go to its merges directly;
+    any other chunk goes through the whole tokenizer. Emptied when full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.of = Tokenizer.from_file(path)
+        self.letters = byte_letters()
+
+    def merged(self, word: bytes) -> bytes:
+        got = self.of.model.tokenize(word.decode() if word.isascii() else "".join(map(self.letters.__getitem__, word)))
+        return array("I", [t.id for t in got]).tobytes()
+
+    def made(self, chunk: bytes) -> bytes:
+        parts = _PARTS.fullmatch(chunk)
+        if parts and len(chunk) < 64:
+            head, tail = parts.groups()
+            if not head or head.isascii():
+                plain = True
+            else:
+                # Latin letters whose lower case is one letter, composed
+                text = head.decode("utf-8")
+                plain = text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+                head = text.lower().encode("utf-8") if plain else head
+            if plain and tail and head:
+                return self[head] + self[tail]
+            if plain:
+                return self.merged(head or tail)
+        return np.array(self.of.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.made(chunk)
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.of.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) < 64:
             self[chunk] = ids
         return ids
 
 
+def words_of(path: str) -> Words:
+    """The words of this process: a Python worker that runs several tasks keeps
+    them from one to the next."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("seqloom_worker_state", types.ModuleType("seqloom_worker_state")).__dict__
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
+
+
 def tokenizer_bytes(path: str):
     """text -> its ids as little-endian unsigned 32-bit values."""
-    words = Words(path)
-    special = [x.content for x in words.of.get_added_tokens_decoder().values()]
-    whole = lambda t: np.array(words.of.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    words = words_of(path)
+    special = [x.content.lower().encode() for x in words.of.get_added_tokens_decoder().values()]
 
     def ids(text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in special):
-            return whole(text)
-        return b"".join(map(words.__getitem__, text.encode("utf-8").split()))
+        low = text.encode("utf-8").lower()
+        if any(x in low for x in special):
+            return np.array(words.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(words.__getitem__, low.split()))
 
     return ids
 
