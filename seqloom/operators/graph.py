@@ -22,7 +22,6 @@ def components(edges: DataFrame) -> DataFrame:
     while e.limit(1).count():
         both = e.union(e.select("v", "u"))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("p"))
-        hook = materialize(hook, "hook")
         up = hook.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
         jump = materialize(hook.join(up, F.col("p") == F.col("_i")).select("id", F.col("_p").alias("p")), "jump")
         maps.append(jump)
