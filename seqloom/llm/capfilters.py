@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.frames import components
 from seqloom.llm.vectors import finite, matrix, width
+from seqloom.operators.graph import components
 from seqloom.session import materialize
 
 COSINE = 0.93

@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import materialize
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,30 +39,3 @@ def running_sums(df: DataFrame, groups: list[str], order: list[str], sums: dict[
     out = part.join(base, on)
     keep = [c for c in df.columns if c != "_bucket"]
     return out.select(*keep, *[(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of edges (u, v): the smallest id that
-    its links reach. Each round hooks every vertex to its smallest neighbour,
-    jumps once more along those pointers and contracts the edges; no vertex
-    list leaves the executors."""
-    e = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    maps: list[DataFrame] = []
-    while e.limit(1).count():
-        both = e.union(e.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("p"))
-        hook = materialize(hook, "hook")
-        up = hook.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
-        jump = materialize(hook.join(up, F.col("p") == F.col("_i")).select("id", F.col("_p").alias("p")), "jump")
-        maps.append(jump)
-        a, b = (jump.select(F.col("id").alias(f"_{x}"), F.col("p").alias(f"_p{x}")) for x in "uv")
-        e = e.join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v"))
-        e = e.select(F.least("_pu", "_pv").alias("u"), F.greatest("_pu", "_pv").alias("v")).where("u <> v").distinct()
-        e = materialize(e, "edges")
-    if not maps:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    out = maps[0].select("id", F.col("p").alias("component"))
-    for m in maps[1:]:
-        m = m.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
-        out = out.join(m, F.col("component") == F.col("_i"), "left").select("id", F.coalesce("_p", "component").alias("component"))
-    return out

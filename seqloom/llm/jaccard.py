@@ -3,10 +3,16 @@
 A document's set holds the 64-bit hashes of its distinct shingles. Documents
 with equal sets are one vertex. Small sets enumerate their subsets of the
 fixed sizes that a partner's size asks for, so two small sets that link share
-a subset. Large sets scan inverted lists: each posts its rarest shingles, as
-many as any partner must share one of. The boundary between small and large
-is the one of least cost under the measured sizes. Every candidate is verified
-by its true intersection.
+a subset. Large sets scan inverted lists: each posts its first shingles in a
+global order, as many as any partner must share one of. The boundary between
+small and large is the one of least cost under the measured sizes. Every
+candidate is verified by its true intersection.
+
+The order puts shingles first that are in one document only. To tell them
+apart without counting every shingle, only those with a hash below a bound are
+counted; the rest come later, by hash. A set with enough shingles of its own
+among the counted ones has no others to post: it can have no partner, whatever
+the corpus holds, and its text is not looked at again.
 
 Components need not have all pairs listed. A list's first document is verified
 against the others; then, in lists that still hold several components, a
@@ -21,21 +27,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.frames import components, same
 from seqloom.llm.words import hashed_words, mix64, shingles
+from seqloom.operators.graph import components
 from seqloom.session import materialize
 
-#: The hottest shingles, put last in the order of rarity; the order decides
-#: how long lists get, never which pairs are found.
+#: The hottest shingles are known to be shared and need no counting.
 HOT = 1 << 18
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 #: Cost of scanning one posting, in enumerated subsets.
 SCAN = 8
 SIZES = 64
-WORDS = 16
+WORDS = 8
 #: Up to so many candidate ids are broadcast to pick their texts; beyond, a shuffle join does it.
 PICK = 2_000_000
 
@@ -87,7 +92,7 @@ def lists_of(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), signed(flat))
 
 
-def text_slices(batches, text: int, step: int = 1024):
+def text_slices(batches, text: int, step: int = 256):
     for batch in batches:
         for lo in range(0, batch.num_rows, step):
             part = batch.slice(lo, step)
@@ -126,70 +131,68 @@ def statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     return hot[::-1].copy(), hist
 
 
-def posted(texts: DataFrame, k: int, num: int, den: int, hot: np.ndarray, small: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, keys): the size of each set, its fingerprint of
-    128 bits and the keys that it posts."""
+def counted_share(num: int, den: int) -> float:
+    """The share of the hashes that is counted: about twice what a set must post."""
+    return min(1.0, 1.8 * (1 - num / den) + 0.04)
+
+
+def sized(texts: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+    """(doc_id, n, set_a, set_b, low, bits): the size of each set, its
+    fingerprint of 128 bits, its counted shingles, and the parity of the number
+    of its shingles in each of at least n classes. Two such bitmaps, the wider
+    one folded, differ in no more places than the sets do."""
     spark = texts.sparkSession
-    order = np.argsort(hot)
-    held = spark.sparkContext.broadcast((hot[order], order.astype(np.int64)))
-    enter = least(num, den, small + 1)
+    held = spark.sparkContext.broadcast(np.sort(hot))
+    bound = np.uint64(min(int(counted_share(num, den) * 2.0**64), 2**64 - 1))
 
     def run(batches):
-        keys, heat = held.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        keys = held.value
         for part, text in text_slices(batches, 1):
             h, counts = shingles(*hashed_words(text), k)
-            rank = np.full(len(h), -1, np.int64)
-            if len(keys):
-                at = np.flatnonzero(maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                i = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-                hit = keys[i] == h[at]
-                rank[at[hit]] = heat[i[hit]]
             stop = np.cumsum(counts)
             start = stop - counts
-            sums = np.concatenate([[0], np.cumsum(mix64(h), dtype=np.uint64)]).astype(np.uint64)
-            more = np.concatenate([[0], np.cumsum(mix64(h + np.uint64(0x2545F491)), dtype=np.uint64)]).astype(np.uint64)
-            out, sizes = [], []
-            for a, b in zip(start.tolist(), stop.tolist()):
-                n = b - a
-                posts = []
-                if n and n <= small:
-                    posts.append(np.array(subset_keys(h[a:b], num, den), dtype=np.int64).view(np.uint64))
-                if n and n >= enter:
-                    p, r = prefix_size(n, num, den), rank[a:b]
-                    cool = h[a:b][r < 0][:p]
-                    posts.append(cool)
-                    if len(cool) < p:
-                        warm = np.flatnonzero(r >= 0)
-                        posts.append(h[a:b][warm[np.argsort(r[warm])[: p - len(cool)]]])
-                out += posts
-                sizes.append(sum(map(len, posts)))
-            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h), dtype=np.uint64)])
+            more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(0x2545F491)), dtype=np.uint64)])
+            low = np.flatnonzero(h <= bound)
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h[low]), len(keys) - 1)
+                low = low[keys[i] != h[low]]
+            words = np.maximum(WORDS, 1 << np.ceil(np.log2(np.maximum(counts, 64) / 64)).astype(np.int64))
+            first = np.cumsum(words) - words
+            place = np.repeat(first * 64, counts) + (h % np.repeat((words * 64).astype(np.uint64), counts)).astype(np.int64)
+            bits = np.packbits((np.bincount(place, minlength=int(words.sum()) * 64) & 1).astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int32()), signed(sums[stop] - sums[start]), signed(more[stop] - more[start]), lists_of(flat, np.array(sizes, np.int64))],
-                names=["doc_id", "n", "set_a", "set_b", "keys"])
+                [part.column(0), pa.array(counts, pa.int32()), signed(sums[stop] - sums[start]), signed(more[stop] - more[start]),
+                 lists_of(h[low], np.diff(np.searchsorted(low, np.append(start, len(h))))), lists_of(bits, words)],
+                names=["doc_id", "n", "set_a", "set_b", "low", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, n int, set_a long, set_b long, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, n int, set_a long, set_b long, low array<long>, bits array<long>")
 
 
-def whole_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set, bits): the sets of the documents in ids, and the parity of the
-    number of their shingles in each of 64 * WORDS classes. Two bitmaps differ
-    in no more places than the sets do."""
+def picked(rows: DataFrame, col: str, ids: DataFrame, how: str) -> DataFrame:
+    """rows whose id is, or is not, in ids: by broadcast up to a checked size."""
     ids = F.broadcast(ids) if ids.count() <= PICK else ids
-    picked = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text")
-    bits = 64 * WORDS
+    return rows.join(ids.select(F.col("id").alias("_pick")), F.col(col) == F.col("_pick"), how)
+
+
+def whole_sets(texts: DataFrame, ids: DataFrame, k: int, num: int, den: int, small: int = 0) -> DataFrame:
+    """(id, set, keys) of the documents in ids; keys are a small set's subsets."""
 
     def run(batches):
-        for part, text in text_slices(batches, 1, 256):
+        for part, text in text_slices(batches, 1):
             h, counts = shingles(*hashed_words(text), k)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            parity = np.bincount(owner * bits + (h % np.uint64(bits)).astype(np.int64), minlength=len(counts) * bits) & 1
-            packed = np.packbits(parity.astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), lists_of(h, counts), lists_of(packed, np.full(len(counts), WORDS))], names=["id", "set", "bits"])
+            stop = np.cumsum(counts)
+            keys = [subset_keys(h[b - n : b], num, den) if 0 < n <= small else [] for b, n in zip(stop.tolist(), counts.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), lists_of(h, counts), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "keys"])
+
+    some = picked(texts.select("doc_id", "text"), "doc_id", ids, "left_semi")
+    return materialize(some.mapInArrow(run, "id long, set array<long>, keys array<long>"), "sets")
+
 
-    return materialize(picked.mapInArrow(run, "id long, set array<long>, bits array<long>"), "sets")
+def folded(bits: Column, words: Column) -> Column:
+    """A bitmap of fewer words: word i has the parity of all i + j * words."""
+    part = lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(bits) / words).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(bits[i + j * words]))
+    return F.when(F.size(bits) == words, bits).otherwise(F.transform(F.sequence(F.lit(0), words - 1), part))
 
 
 def comparable(a: Column, b: Column, num: int, den: int) -> Column:
@@ -197,16 +200,29 @@ def comparable(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def close(a: str, b: str, num: int, den: int) -> Column:
-    """Whether the bitmaps leave room for the intersection that a link needs."""
-    apart = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(WORDS)), F.lit(0))
-    both = F.col(f"{a}n") + F.col(f"{b}n")
-    return apart <= both - F.ceil(both * num / (num + den)) * 2
+def room(a: Column, b: Column, num: int, den: int) -> Column:
+    """In how many shingles sets of these sizes may differ and still link."""
+    both = a + b
+    return both - F.ceil(both * num / (num + den)) * 2
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
-    s = sets.select(F.col("id").alias("_i"), F.col("set").alias("_s"))
+def close(a: str, b: str, num: int, den: int) -> Column:
+    """Whether bitmaps of WORDS words leave room for a link."""
+    apart = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(WORDS)), F.lit(0))
+    return apart <= room(F.col(f"{a}n"), F.col(f"{b}n"), num, den)
+
+
+def verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose sets link. Whole bitmaps drop most others before
+    any whole set is made."""
+    side = lambda x: bits.select(F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    p = pairs.distinct().join(side("u"), F.col("u") == F.col("u_id")).join(side("v"), F.col("v") == F.col("v_id"))
+    words = F.least(F.size("u_bits"), F.size("v_bits"))
+    p = p.withColumn("a", folded(F.col("u_bits"), words)).withColumn("b", folded(F.col("v_bits"), words))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = materialize(p.where(apart <= room(F.col("u_n"), F.col("v_n"), num, den)).select("u", "v"), "pairs")
+    s = whole_sets(texts, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), k, num, den)
+    s = s.select(F.col("id").alias("_i"), F.col("set").alias("_s"))
     p = pairs.join(s, F.col("v") == F.col("_i")).select("u", "v", F.col("_s").alias("sv"))
     p = p.join(s, F.col("u") == F.col("_i")).select("u", "v", F.size("_s").alias("a"), F.size("sv").alias("b"), F.size(F.array_intersect("_s", "sv")).alias("i"))
     return p.where((F.col("i") * den >= (F.col("a") + F.col("b") - F.col("i")) * num)).select("u", "v")
@@ -229,55 +245,111 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hot, hist = statistics(texts, k)
-    light = materialize(posted(texts, k, num, den, hot, boundary(hist, num, den)), "posted")
+    light = materialize(sized(texts, k, num, den, hot), "sized")
     group = ["n", "set_a", "set_b"]
-    reps = light.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    reps = materialize(reps, "reps")
-    label = labels(texts, reps.where("rep is not null"), k, num, den)
-    named = reps.select(*[F.col(c).alias(f"_{c}") for c in group], "rep")
-    if label is not None:
-        named = named.join(label, F.col("rep") == F.col("id"), "left").withColumn("rep", F.coalesce("component", "rep")).drop("id", "component")
-    out = light.drop("keys").join(named, [F.col(c) == F.col(f"_{c}") for c in group], "left")
+    named = light.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"))
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in group], "rep")
+    equal = [F.col(c) == F.col(f"_{c}") for c in group]
+    others = light.where("n > 0").select("doc_id", *group).join(named, equal).where("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
+    others = materialize(others, "others")
+    reps = picked(light.where("n > 0 and doc_id is not null"), "doc_id", others, "left_anti").withColumnRenamed("doc_id", "id")
+    label = labels(texts, reps, k, num, den, boundary(hist, num, den))
+    named = named.join(label.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left").withColumn("rep", F.coalesce("component", "rep")).drop("_id", "component")
+    out = light.select("doc_id", *group).join(named, equal, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
 
 
-def labels(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """(id, component) of the representatives that link with others, or None."""
-    posts = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
-    first = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("id", "n")).alias("first")).where("many > 1")
-    lists = materialize(posts.join(first, "key").select("key", "id", "n", "first"), "lists")
-    pairs = lists.where((F.col("id") != F.col("first.id")) & comparable(F.col("n"), F.col("first.n"), num, den))
-    pairs = materialize(pairs.select(*ordered(F.col("first.id"), F.col("id"))).distinct(), "pairs")
-    sets = whole_sets(texts, lists.select("id").distinct(), k)
-    bits = sets.select("id", "bits").dropDuplicates(["id"])
-    label = materialize(components(verified(pairs, sets, num, den)), "label")
-
-    # a document drawn for each list that still holds several components
-    mixed = several(lists.select("key", "id", "n"), label, bits)
-    if mixed is None:
+def posted(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int, small: int) -> DataFrame:
+    """(key, id, n): what each set posts. First in the order of shingles are the
+    counted ones of one document, then the counted ones of several, by hash,
+    then all others, by hash. Sets with enough of the first kind post nothing;
+    only sets that need the third kind, and the small ones, are made again."""
+    rows = reps.select("id", F.explode("low").alias("key"))
+    # hot shingles are not among the rows, so no key has many
+    many = F.count("*").over(Window.partitionBy("key"))
+    shared = rows.select("id", "key", many.alias("many")).where("many > 1").groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list("key")).alias("shared"))
+    rows = reps.select("id", "n", "low").join(shared, F.col("id") == F.col("_id"), "left")
+    rows = rows.withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    post = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    need = F.greatest(post - (F.size("low") - F.size("shared")), F.lit(0)).cast("int")
+    rows = rows.withColumn("need", F.when(F.col("n") >= least(num, den, small + 1), need).otherwise(0)).where((F.col("n") <= small) | (F.col("need") > 0))
+    again = (F.col("n") <= small) | (F.col("need") > F.size("shared"))
+    rows = materialize(rows.select("id", "n", "need", "shared", again.alias("again"), F.when(again, F.col("low")).alias("low")), "suspects")
+    sets = whole_sets(texts, rows.where("again").select("id"), k, num, den, small).withColumnRenamed("id", "_id")
+    made = rows.where("again").join(sets, F.col("id") == F.col("_id"))
+    third = F.slice(F.array_sort(F.array_except("set", "low")), 1, F.greatest(F.col("need") - F.size("shared"), F.lit(1)))
+    own = F.slice("shared", 1, F.greatest("need", F.lit(1)))
+    own = F.when(F.col("need") > 0, own).otherwise(F.array().cast("array<long>"))
+    third = F.when(F.col("need") > F.size("shared"), third).otherwise(F.array().cast("array<long>"))
+    out = rows.where("not again").select("id", "n", F.explode(own).alias("key"))
+    out = out.union(made.select("id", "n", F.explode(F.concat("keys", own, third)).alias("key")))
+    return materialize(out.select("key", "id", "n"), "posts")
+
+
+def labels(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int, small: int) -> DataFrame:
+    """(id, component) of the representatives that link with others."""
+    posts = posted(texts, reps, k, num, den, small)
+    shared = posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    lists = posts.join(shared, "key")
+    # only rows with a row of comparable size in their list can link: sorted by size, the next or the last one
+    by_size = Window.partitionBy("key").orderBy("n", "id")
+    near = F.coalesce(F.lag("n").over(by_size) * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.lead("n").over(by_size) * num, F.lit(False))
+    lists = lists.withColumn("near", near).where("near").select("key", "id", "n")
+    lists = materialize(lists, "lists")
+    whole = reps.select("id", "n", "bits")
+    bits = picked(whole, "id", lists.select("id").distinct(), "left_semi").select("id", folded(F.col("bits"), F.lit(WORDS)).alias("bits"))
+    bits = materialize(bits.dropDuplicates(["id"]), "bits")
+    none = lists.select("id", F.col("id").alias("component")).limit(0)
+
+    # the first document of each list against the others
+    first = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("d"))
+    pairs, lists = against(lists, first, num, den)
+    pairs = pairs.join(named_bits(bits, "u"), F.col("u") == F.col("u_id")).join(named_bits(bits, "v"), F.col("v") == F.col("v_id"))
+    pairs = pairs.where(close("u_", "v_", num, den))
+    label = joined(none, verified(texts, whole, pairs.select("u", "v"), k, num, den))
+
+    # in lists that still hold several components, a document drawn by list
+    lists = several(lists, label, bits)
+    if lists is None:
         return label
-    row = F.struct("id", "n", "comp", "bits")
-    drawn = mixed.groupBy("key").agg(F.min_by(row, F.xxhash64("key", "id")).alias("d"))
-    p = mixed.join(drawn.select(F.col("key").alias("_key"), *[F.col(f"d.{c}").alias(f"_{c}") for c in ("id", "n", "comp", "bits")]), F.col("key") == F.col("_key"))
-    p = p.where((F.col("comp") != F.col("_comp")) & comparable(F.col("n"), F.col("_n"), num, den) & close("", "_", num, den))
-    label = joined(label, verified(materialize(p.select(*ordered(F.col("id"), F.col("_id"))).distinct(), "pairs"), sets, num, den))
+    drawn = lists.groupBy("key").agg(F.min_by(F.struct("id", "n", "component", "bits"), F.xxhash64("key", "id")).alias("d"))
+    pairs, lists = against(lists, drawn, num, den)
+    pairs = pairs.where(F.col("u_component") != F.col("v_component")).where(close("u_", "v_", num, den))
+    label = joined(label, verified(texts, whole, pairs.select("u", "v"), k, num, den))
 
     # all that is left: pairs in different components that share a list
-    mixed = several(mixed.select("key", "id", "n"), label, bits)
-    if mixed is None:
+    lists = several(lists, label, bits)
+    if lists is None:
         return label
-    other = mixed.select(*[F.col(c).alias(f"_{c}") for c in mixed.columns])
-    on = (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & comparable(F.col("n"), F.col("_n"), num, den) & close("", "_", num, den)
-    p = mixed.join(other, on).select(*ordered(F.col("id"), F.col("_id"))).distinct()
-    return joined(label, verified(materialize(p, "pairs"), sets, num, den))
+    u, v = (lists.select(*[F.col(c).alias(f"{x}_{c}") for c in lists.columns]) for x in "uv")
+    on = (F.col("u_key") == F.col("v_key")) & (F.col("u_component") < F.col("v_component"))
+    on = on & comparable(F.col("u_n"), F.col("v_n"), num, den) & close("u_", "v_", num, den)
+    pairs = u.join(v, on).select(*ordered(F.col("u_id"), F.col("v_id")))
+    return joined(label, verified(texts, whole, pairs, k, num, den))
+
+
+def named_bits(bits: DataFrame, side: str) -> DataFrame:
+    return bits.select(F.col("id").alias(f"{side}_id"), F.col("bits").alias(f"{side}_bits"))
+
+
+def against(lists: DataFrame, drawn: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of each list's drawn document d with the others of comparable
+    size; the lists without it: all of its pairs in the list are known)."""
+    rows = lists.join(drawn.select(F.col("key").alias("_key"), "d"), F.col("key") == F.col("_key")).where(F.col("id") != F.col("d.id"))
+    fields = [c for c in lists.columns if c != "key"]
+    pairs = rows.where(comparable(F.col("n"), F.col("d.n"), num, den))
+    pairs = pairs.select(*ordered(F.col("id"), F.col("d.id")), *[F.col(c).alias(f"u_{c}") for c in fields if c != "id"], *[F.col(f"d.{c}").alias(f"v_{c}") for c in fields if c != "id"])
+    if "bits" not in fields:
+        pairs = pairs.distinct()
+    return pairs, rows.select("key", "id", "n")
 
 
 def several(lists: DataFrame, label: DataFrame, bits: DataFrame) -> DataFrame | None:
     """The rows, with component and bitmap, of lists with several components."""
     label = label.select(F.col("id").alias("_i"), "component")
-    rows = lists.join(label, F.col("id") == F.col("_i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    keys = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rows = materialize(rows.join(keys, "key").join(bits, "id").select("key", "id", "n", "comp", "bits"), "mixed")
+    rows = lists.join(label, F.col("id") == F.col("_i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rows = materialize(rows.join(keys, "key").join(bits, "id").select("key", "id", "n", "component", "bits"), "mixed")
     return rows if rows.limit(1).count() else None
 
 
@@ -291,3 +363,17 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
     ids = label.union(e.select("u", "cu")).union(e.select("v", "cv")).distinct()
     out = ids.join(top, F.col("component") == F.col("_c"), "left").select("id", F.coalesce("_top", "component").alias("component"))
     return materialize(out, "label")
+
+
+def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose document is the first of its group of linked
+    ones: the one of smallest id, once. Texts without words, and rows with a
+    null id, are in no group and stay."""
+    rows = materialize(linked(docs, k, num, den), "linked")
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = rows.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1").select(F.col("doc_id").alias("id"))
+    kept = picked(docs, "doc_id", materialize(gone, "gone"), "left_anti")
+    again = materialize(again, "again")
+    if not again.limit(1).count():
+        return kept
+    return picked(kept, "doc_id", again, "left_anti").union(picked(kept, "doc_id", again, "left_semi").dropDuplicates(["doc_id"]))
