@@ -203,7 +203,7 @@ def euler_string(edges: DataFrame) -> str | None:
         path.reverse()
         return pd.DataFrame({"s": [path[0] + "".join(n[-1] for n in path[1:])], "n": [len(path)]})
 
-    rows = edges.select("src", "dst").groupBy(F.lit(1)).applyInPandas(walk, "s string, n long").collect()
+    rows = edges.select("src", "dst").groupBy(F.lit("all")).applyInPandas(walk, "s string, n long").collect()
     return rows[0].s if rows else ""
 
 

@@ -21,7 +21,7 @@ def compressibility(reads: DataFrame, key: str = "read_id", pilot: int = 5000) -
         raw = "\n".join(pdf.sort_values("at").seq).encode()
         return pd.DataFrame({"raw": [len(raw)], "packed": [len(zlib.compress(raw, 9))]})
 
-    out = rows.groupBy(F.lit(0)).applyInPandas(pack, "raw long, packed long")  # a bounded pilot
+    out = rows.groupBy(F.lit("all")).applyInPandas(pack, "raw long, packed long")  # a bounded pilot
     score = F.col("packed") / F.nullif(F.col("raw"), F.lit(0))
     return out.select("raw", "packed", score.alias("score"), regime(score).alias("regime"))
 
@@ -54,9 +54,9 @@ def simulated(spark, bases: int, coverage_: int, every: int = 997, width: int =
     with another base at every `every`-th place on half of the reads."""
     base = lambda p: F.lit("ACGT").substr((F.pmod(F.xxhash64(p, F.lit("genome")), F.lit(4)) + 1).cast("int"), F.lit(1))
     n = bases * coverage_ // width
-    rows = spark.range(n).select(F.col("id").alias("read_id"), F.pmod(F.xxhash64("id", F.lit("start")), F.lit(bases - width)).alias("pos"), (F.pmod(F.xxhash64("id", F.lit("hap")), F.lit(2)) == 1).alias("alt"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(F.col("alt") & (F.pmod(F.col("pos") + j, F.lit(every)) == every // 2), F.translate(base(F.col("pos") + j), "ACGT", "CGTA")).otherwise(base(F.col("pos") + j)))
-    reads = rows.select("read_id", F.lit(0).cast("long").alias("cid"), F.col("pos").cast("int").alias("pos"), F.lit(False).alias("rc"), F.array_join(places, "").alias("seq"), F.lit("I" * width).alias("qual"))
+    rows = spark.range(n).select(F.col("id").alias("read_id"), F.pmod(F.xxhash64("id", F.lit("start")), F.lit(bases - width)).alias("first"), (F.pmod(F.xxhash64("id", F.lit("hap")), F.lit(2)) == 1).alias("alt"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(F.col("alt") & (F.pmod(F.col("first") + j, F.lit(every)) == every // 2), F.translate(base(F.col("first") + j), "ACGT", "CGTA")).otherwise(base(F.col("first") + j)))
+    reads = rows.select("read_id", F.lit(0).cast("long").alias("cid"), F.col("first").cast("int").alias("pos"), F.lit(False).alias("rc"), F.array_join(places, "").alias("seq"), F.lit("I" * width).alias("qual"))
     sites = spark.range((bases + every - 1) // every).select((F.col("id") * every + every // 2).alias("p")).where(F.col("p") < bases)
     truth = sites.select(F.lit(0).cast("long").alias("cid"), (F.col("p") + 1).cast("int").alias("pos"), base(F.col("p")).alias("ref"), F.translate(base(F.col("p")), "ACGT", "CGTA").alias("alt"))
     return reads, truth
