@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.frames import running_sums
+from seqloom.llm.words import released
 from seqloom.session import materialize
 
 WINDOW = 4096
@@ -32,7 +33,7 @@ UNIT = 32
 DEPTH = 3
 END = 2
 RESERVE = 8
-CACHE = 1_000_000
+CACHE = 700_000
 
 
 def byte_letters() -> list[str]:
@@ -145,7 +146,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end: int = END,
                     part.column(3), pa.array([d if k else None for d, k in zip(data, kept)], pa.binary()),
                 ], names=["doc_id", "row_key", "tokens", "crcs", "reserve", "ids"])
 
-    return materialize(docs.mapInArrow(run, TOKENS), "tokens")
+    return materialize(docs.mapInArrow(released(run), TOKENS), "tokens")
 
 
 def combinations(units: int, depth: int, classes: list[int]) -> list[tuple[int, ...]]:
