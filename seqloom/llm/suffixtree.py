@@ -1,22 +1,28 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A state of the tree is a context of up to DEPTH words. A context is a
-candidate when it makes up MIN_CONTEXT of the training tokens or more, and
-keeps explicit next words that, together with it, make up MIN_EDGE or more;
-the rest of its mass falls back to the next shorter state in proportion, so
-every state's next-word probabilities sum to 1. A candidate is retained when
-its distribution diverges from that of its longest retained suffix: its count
-times the Kullback-Leibler divergence exceeds what its free parameters cost.
-A text is scored with the longest retained suffix before each token.
-
-Both thresholds are relative, so there are never more than 1 / MIN_CONTEXT
-contexts of a length and 1 / MIN_EDGE edges: that bounds what is sent to all
-executors. The vocabulary has no bound; words too rare for an edge are looked
-up by a join.
+A state of the tree is a context of words, as long as contexts of the length
+before were retained. A context is a candidate when it occurs MIN_CONTEXT times
+in the training texts, and keeps explicit next words that occur MIN_EDGE times
+after it; the rest of its mass falls back to the next shorter state in
+proportion, so every state's next-word probabilities sum to 1. No context is a candidate whose suffix
+always has one and the same next word. A candidate is retained when its distribution diverges from that of its longest retained
+suffix: its count times the Kullback-Leibler divergence exceeds what its free
+parameters cost. A text is scored with the longest retained suffix before each
+token.
+
+Both floors are counts, so what is learned grows with the corpus. Contexts and
+next words are rows of tables, under a hash of their words. The logarithm of a
+token's probability is a sum over all word runs that end at it or just before
+it, so every run has one value, and a text's score is the sum of the values of
+the runs in it. What is broadcast only saves work and has a bound: the HEAD most
+frequent runs, and a filter of 2^FILTER bits that tells most of the runs that no
+table has. All others are found by a join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,17 +30,19 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.frames import fold
 from seqloom.llm.jaccard import signed, text_slices
-from seqloom.llm.words import hashed_words, released
+from seqloom.llm.words import hashed_words, mix64, released
 from seqloom.session import materialize
 
-DEPTH = 2
-MIN_CONTEXT = 1e-4
-MIN_EDGE = 1e-6
+MIN_CONTEXT = 5
+MIN_EDGE = 2
+HEAD = 1 << 20
+FILTER = 28
 DISCOUNT = 0.5
 FOLDS, HELD = 5, 1
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 #: The end token; a word hashes to it with probability 2^-64.
 END = np.uint64(0x454E444F46444F43)
+RUN = np.uint64(0x5851F42D4C957F2D)
 
 
 def token_stream(text) -> tuple[np.ndarray, np.ndarray]:
@@ -50,18 +58,38 @@ def token_stream(text) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def counted(batches, keys_of):
-    """Batches (key, n): keys counted within buffers of bounded size."""
+def longer(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of a run of words, from those of the runs without its last and
+    without its first word."""
+    return mix64(first ^ RUN) + last
+
+
+def runs(tokens: np.ndarray, size: np.ndarray, most: int):
+    """(hash of the run of that length that ends at each token, whether it lies
+    within one text) for each length up to most."""
+    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+    h = tokens
+    for n in range(1, most + 1):
+        yield h, pos >= n - 1
+        before = np.zeros_like(h)
+        before[1:] = h[:-1]
+        h = longer(before, h)
+
+
+def counted(batches, keys_of, names=("key",)):
+    """Batches of names and n: what keys_of returns (arrays, the first of which
+    tells rows apart), counted within buffers of bounded size."""
     held, size = [], 0
 
     def flush():
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([signed(keys), pa.array(n, pa.int64())], names=["key", "n"])
+        columns = [np.concatenate(x) for x in zip(*held)]
+        _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[signed(c[first]) for c in columns[-len(names):]], pa.array(n, pa.int64())], names=[*names, "n"])
 
     for _, text in text_slices(batches, 0):
         keys = keys_of(text)
         held.append(keys)
-        size += len(keys)
+        size += len(keys[0])
         if size > BUFFER:
             yield flush()
             held, size = [], 0
@@ -78,7 +106,9 @@ def lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """words: sorted hashes of the words frequent enough for an edge, with their
+    """The same model in memory, which the tests hold the tables against.
+
+    words: sorted hashes of the words frequent enough for an edge, with their
     counts. levels[d]: the retained contexts of d + 1 words.
 
     A context is (state of its suffix without the last word, last word) by
@@ -159,52 +189,114 @@ class Tree:
         self.log_p.append(np.log10(np.maximum(p, 1e-300)))
 
 
-def grown(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, depth: int = DEPTH, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> Tree:
-    """The tree, one pass over the training texts for each context length."""
-    spark = train.sparkSession
-    often = vocabulary.where(F.col("n") >= max(min_edge * total, 1)).toPandas()
-    key = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    tree = Tree(key[order], often["n"].to_numpy(np.int64)[order], total, distinct)
-    end = lookup(tree.words, np.array([END]))[0]
-    inner = np.arange(len(tree.words)) != end  # nothing follows an end
-    frequent = np.flatnonzero(inner & (tree.counts >= max(min_context * total, 2)))
-    codes, n = frequent.astype(np.int64), tree.counts[frequent]
-    for d in range(1, depth + 1):
-        if not len(codes):
+def filter_of(df: DataFrame, key: str) -> np.ndarray:
+    """A bit set of the keys' low bits: at least 16 bits a key up to the bound, and
+    so many that few texts are kept for runs that they do not hold."""
+    bits = min(max(FILTER - 2, (16 * df.count()).bit_length()), FILTER)
+    at = df.select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("set")).toPandas()
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for block, part in zip(rows["block"], rows["set"]):
+        out[block] = np.frombuffer(part, np.uint8)
+    return out.reshape(-1)
+
+
+def maybe(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    at = x & np.uint64(len(bits) * 8 - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows of largest n, at most so many: all of an n or none."""
+    held, least = 0, None
+    for n, many in sorted(map(tuple, df.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()), reverse=True):
+        held += many
+        if held > most:
             break
-        tree.codes.append(codes)
-        held = spark.sparkContext.broadcast(tree)
+        least = n
+    return df.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
+def with_hashes(found: DataFrame) -> DataFrame:
+    """found (ctx, shorter, n) with key, the run's own hash."""
+
+    def run(batches):
+        for b in batches:
+            ctx, shorter = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, signed(longer(ctx, shorter))], names=["ctx", "shorter", "n", "key"])
+
+    return found.select("ctx", "shorter", "n").mapInArrow(run, "ctx long, shorter long, n long, key long")
+
+
+def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> tuple[DataFrame | None, int]:
+    """((key, value, n) of the runs with a value, words of the longest): one pass
+    over the training texts for each context length, until no candidate of a
+    length is retained."""
+    spark = train.sparkSession
+    end = int(END.view(np.int64))
+    least_context, least_edge = max(min_context, 2), max(min_edge, 2)
+    log_root = F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))
+    edges = vocabulary.where(F.col("n") >= 2).select("key", "n", log_root.alias("log_p"))
+    contexts = vocabulary.where((F.col("key") != end) & (F.col("n") >= least_context)).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+    values, d = [], 0
+    while (depth is None or d < depth) and contexts.limit(1).count():
+        d += 1
+        held = spark.sparkContext.broadcast((filter_of(contexts, "ctx"), filter_of(edges, "key")))
 
         def run(batches, d=d, held=held):
-            tree = held.value
+            wanted, often = held.value
 
             def keys(text):
                 tokens, size = token_stream(text)
-                w = lookup(tree.words, tokens)
-                first = np.repeat(np.cumsum(size) - size, size)
-                c = tree.contexts(w, first, d)
-                ok = (c >= 0) & (w >= 0)
-                return (c[ok] * tree.base + w[ok]).view(np.uint64)
-
-            yield from counted(batches, keys)
-
-        found = train.select("text").mapInArrow(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        found = found.where(F.col("n") >= max(min_edge * total, 2)).toPandas()
-        tree.codes.pop()
-        edge, count = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        order = np.argsort(edge)
-        edge, count = edge[order], count[order]
-        tree.add(codes, n, edge, count)
-        # the candidates of the next length are the frequent edges
-        longer = (count >= max(min_context * total, 2)) & inner[edge % tree.base]
-        codes, n = codes[edge[longer] // tree.base] * tree.base + edge[longer] % tree.base, count[longer]
-        order = np.argsort(codes)
-        codes, n = codes[order], n[order]
-    return tree
-
-
-def scored(docs: DataFrame, depth: int = DEPTH, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> DataFrame:
+                *_, (h, inside), (key, ok) = runs(tokens, size, d + 1)
+                state, next_ = inside & maybe(wanted, h), inside & maybe(often, h)
+                # next words of candidates, and longer candidates
+                at = np.flatnonzero(ok[1:] & (state[:-1] & next_[1:] | state[1:])) + 1
+                return key[at], h[at - 1], h[at]
+
+            yield from counted(batches, keys, ("ctx", "shorter"))
+
+        def holding(batches, d=d, held=held):
+            wanted, _ = held.value
+            for part, text in text_slices(batches, 0):
+                tokens, size = token_stream(text)
+                *_, (h, inside) = runs(tokens, size, d)
+                hit = np.add.reduceat(inside & maybe(wanted, h), np.cumsum(size) - size, dtype=np.int64) > 0
+                yield part.filter(pa.array(hit))
+
+        if d >= 4 and d & (d - 1) == 0:  # texts without a candidate have no longer one
+            train = materialize(train.select("text").mapInArrow(released(holding), "text string"), "holding")
+        found = train.select("text").mapInArrow(released(run), "ctx long, shorter long, n long").groupBy("ctx", "shorter").agg(F.sum("n").alias("n"))
+        found = materialize(with_hashes(found.where(F.col("n") >= min(least_context, least_edge))), "runs")
+        own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
+        own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
+        held.unpersist()
+        p, q = F.pow(10.0, F.col("own")), F.pow(10.0, F.col("log_q"))
+        state = own.groupBy("ctx", "total").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("kl"), F.count("*").alias("k"), F.max("n").alias("top"))
+        rest, below = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+        gain = F.col("total") * (F.col("kl") + rest * F.log(rest / below))
+        kept = gain > 0.5 * (F.col("k") + 1) * F.log("total")
+        state = materialize(state.select(F.col("ctx").alias("_ctx"), "total", F.when(kept, F.log10(rest / below)).alias("back"), (F.col("top") < F.col("total")).alias("open")), "states")
+        some = state.where("back is not null")
+        if not some.limit(1).count():
+            break
+        # where one next word always follows, longer contexts tell nothing more
+        contexts = found.where(F.col("n") >= least_context).join(state.where("open").select(F.col("_ctx").alias("shorter")), "shorter", "left_semi")
+        contexts = materialize(contexts.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "contexts")
+        edges = own.join(some.select("_ctx", "back"), F.col("ctx") == F.col("_ctx"), "left")
+        edges = edges.select("key", "n", F.when(F.col("back").isNull(), F.col("log_q")).otherwise(F.col("own")).alias("log_p"), (F.col("own") - F.col("log_q") - F.col("back")).alias("value"))
+        edges = materialize(edges, "edges")
+        values += [some.select(F.col("_ctx").alias("key"), F.col("back").alias("value"), F.col("total").alias("n")), edges.where("value is not null").select("key", "value", "n")]
+        del found, own, state
+        spark.sparkContext._jvm.System.gc()  # the shuffles of finished passes can go
+    if not values:
+        return None, 0
+    every = reduce(DataFrame.union, values).groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
+    return materialize(every, "values"), len(values) // 2 + 1
+
+
+def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -218,44 +310,64 @@ def scored(docs: DataFrame, depth: int = DEPTH, min_context: float = MIN_CONTEXT
     train = rows.where("not held_out")
 
     def words(batches):
-        yield from counted(batches, lambda text: token_stream(text)[0])
+        yield from counted(batches, lambda text: token_stream(text)[:1])
 
     vocabulary = materialize(train.select("text").mapInArrow(released(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
-    tree = grown(train, vocabulary, total, distinct, depth, min_context, min_edge)
-    held = spark.sparkContext.broadcast(tree)
+    values, most = learned(train, vocabulary, total, distinct, depth, min_context, min_edge)
+
+    def head(df, column):
+        rows = frequent(df, HEAD).select("key", column).toPandas()
+        key = rows["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return key[order], rows[column].to_numpy()[order]
+
+    words_head, words_n = head(vocabulary, "n")
+    log_root = np.log10((words_n + 0.5) / (total + 0.5 * (distinct + 1)))
+    runs_head, runs_value = head(values, "value") if most else (words_head[:0], log_root[:0])
+    held = spark.sparkContext.broadcast((words_head, log_root, runs_head, runs_value, filter_of(values, "key") if most else None))
 
     def run(batches):
-        tree = held.value
+        words_head, log_root, runs_head, runs_value, bits = held.value
         for part, text in text_slices(batches, 1, 512):
             tokens, size = token_stream(text)
             start = np.cumsum(size) - size
-            w = lookup(tree.words, tokens)
-            log_p, root = tree.score(w, np.repeat(start, size))
+            owner = np.repeat(np.arange(len(size)), size)
+            w = lookup(words_head, tokens)
             known = w >= 0
-            plain = np.where(known, tree.log_root[np.maximum(w, 0)] if len(tree.words) else 0.0, 0.0)
+            plain = np.where(known, log_root[np.maximum(w, 0)] if len(words_head) else 0.0, 0.0)
+            log_p = plain.copy()
+            more, more_owner = [], []
+            for h, inside in runs(tokens, size, most):
+                at = np.flatnonzero(inside & maybe(bits, h))
+                i = lookup(runs_head, h[at])
+                log_p[at[i >= 0]] += runs_value[i[i >= 0]]
+                more.append(h[at[i < 0]])
+                more_owner.append(owner[at[i < 0]])
             total_of = lambda x: np.add.reduceat(x, start)
-            rare, rare_n = [], []
-            rest = np.flatnonzero(~known)
-            edge = np.searchsorted(rest, np.append(start, len(tokens)))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                keys, n = np.unique(tokens[rest[a:b]], return_counts=True)
-                rare.append(keys.view(np.int64).tolist())
-                rare_n.append(n.tolist())
+
+            def lists(keys, of, size=size):
+                order = np.argsort(of, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(size))))
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(keys[order]))
+
+            rare = np.flatnonzero(~known)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), part.column(3), pa.array(size, pa.int64()), pa.array(total_of(known.astype(np.int64))), pa.array(total_of(plain)), pa.array(total_of(log_p)),
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"])
+                 lists(tokens[rare], owner[rare]), lists(np.concatenate([tokens[:0], *more]), np.concatenate([owner[:0], *more_owner]))],
+                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "more"])
 
-    part = rows.mapInArrow(released(run), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<int>")
+    part = rows.mapInArrow(released(run), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, more array<long>")
     part = materialize(part, "scored")
     # rare words: both scores take the root's probability, with the count from the vocabulary
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
-    rare = rare.join(vocabulary, F.col("word") == F.col("key"), "left")
-    count = F.coalesce("n", F.lit(0))
-    log_root = F.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * log_root).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known")).withColumnRenamed("row", "_row")
-    out = part.drop("rare", "rare_n").join(rare, F.col("row") == F.col("_row"), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    log_root = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1)))
+    rare = part.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
+    rare = rare.select("row", log_root.alias("base"), F.lit(0.0).alias("gain"), F.col("n").isNotNull().cast("long").alias("known"))
+    if most:
+        runs_ = part.select("row", F.explode("more").alias("key")).join(values, "key")
+        rare = rare.union(runs_.select("row", F.lit(0.0), "value", F.lit(0).cast("long")))
+    rare = rare.groupBy(F.col("row").alias("_row")).agg(F.sum("base").alias("base"), F.sum("gain").alias("gain"), F.sum("known").alias("known"))
+    out = part.drop("rare", "more").join(rare, F.col("row") == F.col("_row"), "left")
+    base, gain = F.coalesce("base", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + gain).alias("score"))

@@ -349,3 +349,51 @@ def test_url_graph(spark):
         1: ("good.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("b.org", "/x", None, "allow"), 3: ("bad.com", "/en/x", "com/en/", "block"), 4: ("spam.org", "/", None, "block"),
         5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("d.org", "", None, "allow"), 8: ("xcom", "/en/", None, "allow"), 9: ("a.example.net", "/de/81", "example.net/de/8", "block"), None: ("q.org", "/es/", "org/es/", "block")}
     assert urlgraph.judged(df.limit(0)).count() == 0
+
+
+def test_suffix_tree_learns_by_count_at_every_length(spark, monkeypatch):
+    """Runs that occur twice are learned however large the corpus is, contexts go
+    beyond two words, and the tables score as a plain version does."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["p q r s1 t1", "u q r s2 t2", "z r s3", "v w", "p w"]) for _ in range(30)) for _ in range(30)]
+    texts += [" ".join(f"f{rnd.randrange(3000)}" for _ in range(400)) for _ in range(30)] + ["once alpha beta gamma again"] * 3 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    toks = [[*words(t), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    train = [t for t, h in zip(toks, held) if not h]
+    count = collections.Counter(tuple(t[i:j]) for t in train for i in range(len(t)) for j in range(i + 1, min(i + 14, len(t)) + 1))
+    n, v = sum(map(len, train)), len({x for t in train for x in t})
+    follow = collections.defaultdict(list)
+    for g, m in count.items():
+        if len(g) > 1 and m >= 2:
+            follow[g[:-1]].append((g[-1], m))
+    kept = [{}]
+
+    def log_p(ctx, w, longest):
+        back = 0.0
+        for d in range(longest, 0, -1):
+            state = kept[d].get(ctx[-d:]) if len(ctx) >= d else None
+            if state:
+                if w in state[0]:
+                    return back + state[0][w]
+                back += state[1]
+        return back + math.log10((count[(w,)] + 0.5) / (n + 0.5 * (v + 1)))
+
+    while len(kept) < 5:
+        d, level = len(kept), {}
+        for ctx, nexts in follow.items():
+            if len(ctx) == d and count[ctx] >= 2 and (d == 1 or count[ctx[1:]] > max((m for _, m in follow[ctx[1:]]), default=0)):
+                p = {w: (m - 0.5) / count[ctx] for w, m in nexts}
+                q = {w: 10 ** log_p(ctx, w, d - 1) for w in p}
+                rest, below = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
+                if count[ctx] * (sum(p[w] * math.log(p[w] / q[w]) for w in p) + rest * math.log(rest / below)) > 0.5 * (len(p) + 1) * math.log(count[ctx]):
+                    level[ctx] = ({w: math.log10(x) for w, x in p.items()}, math.log10(rest / below))
+        if not level:
+            break
+        kept.append(level)
+    assert len(kept) == 5 and (b"alpha",) in kept[1]
+    want = {i: sum(log_p(tuple(t[max(0, j - 14) : j]), w, len(kept) - 1) for j, w in enumerate(t)) for i, t in enumerate(toks)}
+    for head in (1 << 20, 20):
+        monkeypatch.setattr(suffixtree, "HEAD", head)
+        got = {r.doc_id: r.score for r in suffixtree.scored(df, depth=4, min_context=2).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
