@@ -26,10 +26,11 @@ RULES = (
     ("block", "org/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: The walks go on until a round changes less than this in all.
+TOLERANCE = 1e-6
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -55,16 +56,20 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, counted."""
-    links = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
-    links = links.select("src", host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    """(src, dst, n): links between different hosts, counted. //host links take
+    the page's scheme."""
+    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
+    links = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("src"), scheme.alias("scheme"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
+    to = F.when(F.col("to").startswith("//"), F.concat("scheme", "to")).otherwise(F.col("to"))
+    links = links.select("src", host_of(to).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of the hosts that seeds (host, allowed, blocked)
     reach; each kind of seed sums to 1. Both walks run as one: a row for each
-    kind and host. Mass at hosts without links stays there."""
+    kind and host. Mass at hosts without links stays there. Rounds end when one
+    reaches no new host and changes less than the tolerance in all."""
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     start = seeds.select(F.explode(F.array(
         F.struct(F.lit("trust").alias("kind"), "host", (F.col("allowed") / (total["a"] or 1)).alias("seed")),
@@ -77,16 +82,21 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
             edges.select(F.lit("distrust"), "dst", "src", "n"))
         out = both.groupBy("kind", "host").agg(F.sum("n").alias("out"))
         both = materialize(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("part")), "walk")
-        for _ in range(rounds):
+        reached = rank.count()
+        while True:
             moved = rank.join(both, ["kind", "host"], "left")
             moved = moved.select("kind", F.coalesce("to", "host").alias("host"), (F.col("rank") * F.coalesce("part", F.lit(1.0)) * damping).alias("x"))
-            rank = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
-            rank = materialize(rank, "rank")
+            now = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).withColumn("old", F.lit(0.0)).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+            now = materialize(now.groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")), "rank")
+            seen = now.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).first()
+            rank, new, reached = now.select("kind", "host", "rank"), seen["n"] > reached, seen["n"]
+            if not new and (seen["change"] or 0.0) < tolerance:
+                break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     return rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
 
-def judged(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, ratio: float = RATIO) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, by_graph,
     trust, distrust.
 
@@ -102,7 +112,7 @@ def judged(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int
     is_ = lambda v: F.avg(F.when(F.col("best.verdict") == v, 1.0).otherwise(0.0))
     seeds = page.where("host <> ''").groupBy("host").agg(is_("allow").alias("allowed"), is_("block").alias("blocked"))
     edges = materialize(host_edges(pages), "links")
-    rank = propagated(edges, materialize(seeds, "hosts"), damping, rounds)
+    rank = propagated(edges, materialize(seeds, "hosts"), damping, tolerance)
     out = page.join(rank, "host", "left")
     trust, distrust = (F.coalesce(x, F.lit(0.0)) for x in ("trust", "distrust"))
     graph = F.when(distrust > ratio * trust, "block").otherwise("allow")

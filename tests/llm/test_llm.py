@@ -397,3 +397,25 @@ def test_suffix_tree_learns_by_count_at_every_length(spark, monkeypatch):
         monkeypatch.setattr(suffixtree, "HEAD", head)
         got = {r.doc_id: r.score for r in suffixtree.scored(df, depth=4, min_context=2).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_url_walks_end_when_they_have_converged(spark):
+    """Hosts far from a seed are reached, //host links count, and ranks are those
+    of many rounds."""
+    pages = [(i, f"http://h{i}.org/", f'<a href="//h{i + 1}.org/x">') for i in range(12)]
+    pages += [(12, "https://h12.org/", '<a href="//bad.com/">'), (13, "http://bad.com/en/x", None), (14, "http://example.com/en/7", '<a href="http://h11.org/">')]
+    got = {r.host: r for r in urlgraph.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    to = {f"h{i}.org": f"h{i + 1}.org" for i in range(12)} | {"h12.org": "bad.com", "example.com": "h11.org"}
+    back = {}
+    for a, b in to.items():
+        back.setdefault(b, []).append(a)
+    for kind, seed, steps in (("trust", "example.com", {a: [b] for a, b in to.items()}), ("distrust", "bad.com", back)):
+        rank = {seed: 1.0}
+        for _ in range(400):
+            new = {seed: 0.15}
+            for a, x in rank.items():
+                for b in steps.get(a, [a]):
+                    new[b] = new.get(b, 0) + 0.85 * x / len(steps.get(a, [a]))
+            rank = new
+        assert all(abs(getattr(r, kind) - rank.get(h, 0)) < 1e-5 for h, r in got.items())
+    assert got["h0.org"].distrust > 0 and got["h0.org"].verdict == "block"
