@@ -232,3 +232,14 @@ def test_depth_equals_counting(spark):
     got = {(r.cid, r.pos): r.cov for r in coverage.depth(spark.createDataFrame(spans, "cid long, start int, end int"), c).collect()}
     assert got == {(k, p): sum(x == k and a <= p < b for x, a, b in spans) for k, n in ((0, 10), (1, 4)) for p in range(n)}
     assert list(itertools.islice(got, 1))
+
+
+def test_placed_in_passages_that_many_contigs_share(spark):
+    rnd = random.Random(9)
+    base = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    shared = base(120)
+    contigs = spark.createDataFrame([(i, base(20 + i % 3) + shared + base(10)) for i in range(80)], "cid long, s string")
+    read = shared[10:110]
+    reads = spark.createDataFrame([(1, read), (2, read[:50] + ("A" if read[50] != "A" else "C") + read[51:]), (3, base(100)), (4, read)], "read_id long, seq string")
+    got = {r.read_id: (r.cid, r.pos, r.rc, r.mm) for r in joins.placed(reads, contigs).collect()}
+    assert got == {1: (0, 30, False, 0), 2: (0, 30, False, 1), 4: (0, 30, False, 0)}
