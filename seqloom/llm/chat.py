@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 TURN, END = "<|turn|>", "<|end|>\n"
 LOSS_ROLE = "assistant"
 #: A longer conversation is rendered and encoded in several segments, cut
-#: between turns, so that memory stays bounded for any number of turns.
+#: between turns, so that memory stays bounded for any number of turns. No word
+#: of the tokenizer reaches over the end of a turn, so the segments' ids, one
+#: after the other, are those of the whole.
 SEGMENT = 4_000_000
 
 _ESCAPE = re.compile(r"<(&*)\|")
@@ -77,16 +80,15 @@ def masked(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mask, all_[np.argsort(all_[:, 0], kind="stable"), 1:]
 
 
-def merged(parts: np.ndarray) -> list[tuple[int, int]]:
+def merged(parts: np.ndarray) -> np.ndarray:
     """Sorted spans with overlapping and touching ones joined (the tokens of one
     character's bytes all span the character)."""
-    out: list[list[int]] = []
-    for a, b in parts.tolist():
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        elif b > a:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    parts = parts[parts[:, 1] > parts[:, 0]]
+    if not len(parts):
+        return parts
+    reach = np.maximum.accumulate(parts[:, 1])
+    first = np.flatnonzero(np.append(True, parts[1:, 0] > reach[:-1]))
+    return np.column_stack([parts[first, 0], reach[np.append(first[1:], len(parts)) - 1]])
 
 
 FORMATTED = "conv_id long, segment int, last boolean, formatted string, ids array<int>, mask array<boolean>, loss array<struct<start:long,end:long>>"
@@ -117,8 +119,10 @@ def formatted(conversations: DataFrame, tokenizer: str, loss_role: str = LOSS_RO
         def made(key, number, last, turns):
             text, spans = render(turns, loss_role)
             got = encoder.encode(text, add_special_tokens=False)
-            mask, parts = masked(np.array(got.offsets, dtype=np.int64).reshape(-1, 2), spans)
-            return key, number, last, text, got.ids, mask.tolist(), [{"start": a, "end": b} for a, b in merged(parts)]
+            ids = np.array(got.ids, dtype=np.int32)
+            offsets = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+            mask, parts = masked(offsets, spans)
+            return key, number, last, text, ids, mask, merged(parts)
 
         def conversations_():
             key, number, turns, size = None, 0, [], 0
@@ -149,9 +153,14 @@ def formatted(conversations: DataFrame, tokenizer: str, loss_role: str = LOSS_RO
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    names = ["conv_id", "segment", "last", "formatted", "ids", "mask", "loss"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    key, number, last, text, ids, mask, loss = zip(*rows)
+    lists = lambda parts, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
+    spans = np.concatenate(loss)
+    spans = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())], names=["start", "end"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(last, pa.bool_()), pa.array(text, pa.string()),
+         lists(ids, pa.array(np.concatenate(ids))), lists(mask, pa.array(np.concatenate(mask))), lists(loss, spans)],
+        names=["conv_id", "segment", "last", "formatted", "ids", "mask", "loss"])
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -166,22 +175,26 @@ def digests(rows: DataFrame) -> DataFrame:
         n = chars = loss_chars = 0
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                text = r["formatted"]
+            keys, lasts, texts = (batch.column(i).to_pylist() for i in range(3))
+            stop = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            start, end = (batch.column(3).flatten().field(i).to_pylist() for i in (0, 1))
+            first = 0
+            for key, last, text, after in zip(keys, lasts, texts, stop.tolist()):
                 for role, body in turns_of(text):
                     n += 1
                     turns.update(f"{role}\n{body}\n".encode())
-                for span in r["loss"]:
-                    part = unescape(text[span["start"] : span["end"]])
+                for i in range(first, after):
+                    part = unescape(text[start[i] : end[i]])
                     loss_chars += len(part)
                     loss.update(part.encode())
+                first = after
                 chars += len(text)
-                if r["last"]:
-                    out.append((r["conv_id"], n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                if last:
+                    out.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                     n = chars = loss_chars = 0
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*out)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return rows.mapInArrow(run, DIGEST)
+    return rows.select("conv_id", "last", "formatted", "loss").mapInArrow(run, DIGEST)

@@ -205,6 +205,12 @@ def test_chat_round_trip(spark):
             for *_, role, text in turns:
                 all_.update(f"{role}\n{text}\n".encode())
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), all_.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    whole, cut = ({(r.conv_id, r.segment): r for r in chat.formatted(df, path, segment=n).collect()} for n in (chat.SEGMENT, 40))
+    assert len(cut) > len(whole)
+    for c in set(got):
+        parts = [cut[k] for k in sorted(cut, key=str) if k[0] == c]
+        parts.sort(key=lambda r: r.segment)
+        assert sum((r.ids for r in parts), []) == whole[c, 0].ids and sum((r.mask for r in parts), []) == whole[c, 0].mask
     assert chat.formatted(df.limit(0), path).count() == 0
 
 
