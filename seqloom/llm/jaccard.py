@@ -23,7 +23,7 @@ out. So a group of n near copies costs about n pairs, and no link is lost.
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +200,11 @@ def comparable(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def size_class(n: Column, num: int, den: int) -> Column:
+    """Sets whose sizes can link are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / log(den / num) - 1e-9).cast("int") if num < den else n.cast("int")
+
+
 def room(a: Column, b: Column, num: int, den: int) -> Column:
     """In how many shingles sets of these sizes may differ and still link."""
     both = a + b
@@ -238,24 +243,54 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
 
     Texts of fewer than k words have their whole sequence as one shingle;
     null texts and texts without words have none and link with nothing: their
-    component is their own id. Rows with a null id get the component of the
-    documents with an equal set, null if there are none. Repeated rows are
-    rows each, in one component. An empty table gives no rows; other columns
-    are not looked at.
+    component is their own id. Every row is a document of its own: rows that
+    repeat an id, with equal or with other texts, and rows with a null id link
+    like all others. A component is named by the smallest id in it, null if it
+    has none. An empty table gives no rows; other columns are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hot, hist = statistics(texts, k)
+    small = boundary(hist, num, den)
     light = materialize(sized(texts, k, num, den, hot), "sized")
-    group = ["n", "set_a", "set_b"]
-    named = light.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"))
-    named = named.select(*[F.col(c).alias(f"_{c}") for c in group], "rep")
-    equal = [F.col(c) == F.col(f"_{c}") for c in group]
-    others = light.where("n > 0").select("doc_id", *group).join(named, equal).where("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
+    if distinct_ids(light):
+        return components_of(texts, light, k, num, den, small)
+    rows, found = by_row(texts, k, num, den, small, hot)
+    out = rows.select("doc_id", F.col("row").alias("_row")).join(found, F.col("_row") == F.col("row"))
+    first = out.groupBy(F.col("component_id").alias("_c")).agg(F.min("doc_id").alias("first"))
+    return out.join(first, F.col("component_id") == F.col("_c")).select("doc_id", "n_shingles", F.col("first").alias("component_id"))
+
+
+SET = ["n", "set_a", "set_b"]
+
+
+def distinct_ids(light: DataFrame) -> bool:
+    """Whether an id stands for one set, so that sets can go by the ids of their
+    documents: no set is without an id, and no id has several sets."""
+    one = F.struct(*SET)
+    mixed = light.groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b"))
+    return not mixed.where("a <> b or (doc_id is null and b.n > 0)").limit(1).count()
+
+
+def by_row(texts: DataFrame, k: int, num: int, den: int, small: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, text), written with a number for each row; (row, n_shingles,
+    component_id) by these numbers."""
+    rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("row").alias("doc_id"), "text")
+    light = materialize(sized(keyed, k, num, den, hot), "sized")
+    return rows, components_of(keyed, light, k, num, den, small).withColumnRenamed("doc_id", "row")
+
+
+def components_of(texts: DataFrame, light: DataFrame, k: int, num: int, den: int, small: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), where an id stands for one set."""
+    named = light.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep"))
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in SET], "rep")
+    equal = [F.col(c) == F.col(f"_{c}") for c in SET]
+    others = light.where("n > 0").select("doc_id", *SET).join(named, equal).where("doc_id <> rep").select(F.col("doc_id").alias("id")).distinct()
     others = materialize(others, "others")
-    reps = picked(light.where("n > 0 and doc_id is not null"), "doc_id", others, "left_anti").withColumnRenamed("doc_id", "id")
-    label = labels(texts, reps, k, num, den, boundary(hist, num, den))
+    reps = picked(light.where("n > 0"), "doc_id", others, "left_anti").withColumnRenamed("doc_id", "id")
+    label = labels(texts, reps, k, num, den, small)
     named = named.join(label.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left").withColumn("rep", F.coalesce("component", "rep")).drop("_id", "component")
-    out = light.select("doc_id", *group).join(named, equal, "left")
+    out = light.select("doc_id", *SET).join(named, equal, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
 
 
@@ -291,10 +326,12 @@ def labels(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int, small:
     posts = posted(texts, reps, k, num, den, small)
     shared = posts.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     lists = posts.join(shared, "key")
-    # only rows with a row of comparable size in their list can link: sorted by size, the next or the last one
-    by_size = Window.partitionBy("key").orderBy("n", "id")
-    near = F.coalesce(F.lag("n").over(by_size) * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.lead("n").over(by_size) * num, F.lit(False))
-    lists = lists.withColumn("near", near).where("near").select("key", "id", "n")
+    # only rows with a row of comparable size in their list can link: one of the same class of sizes or of the next
+    lists = lists.withColumn("class", size_class(F.col("n"), num, den))
+    classes = lists.groupBy("key", "class").agg(F.count("*").alias("many"))
+    near = classes.select("key", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("class"), "many").groupBy("key", "class").agg(F.sum("many").alias("many"))
+    near = near.where("many > 1").select(F.col("key").alias("_key"), F.col("class").alias("_class"))
+    lists = lists.join(near, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")), "left_semi").select("key", "id", "n")
     lists = materialize(lists, "lists")
     whole = reps.select("id", "n", "bits")
     bits = picked(whole, "id", lists.select("id").distinct(), "left_semi").select("id", folded(F.col("bits"), F.lit(WORDS)).alias("bits"))
@@ -367,13 +404,22 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose document is the first of its group of linked
-    ones: the one of smallest id, once. Texts without words, and rows with a
-    null id, are in no group and stay."""
-    rows = materialize(linked(docs, k, num, den), "linked")
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    again = rows.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1").select(F.col("doc_id").alias("id"))
-    kept = picked(docs, "doc_id", materialize(gone, "gone"), "left_anti")
-    again = materialize(again, "again")
-    if not again.limit(1).count():
-        return kept
-    return picked(kept, "doc_id", again, "left_anti").union(picked(kept, "doc_id", again, "left_semi").dropDuplicates(["doc_id"]))
+    ones: the one of smallest id, once. Texts without words are in no group and
+    stay. Rows that repeat an id or have none are documents of their own, as in
+    linked(); null ids come last."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hot, hist = statistics(texts, k)
+    small = boundary(hist, num, den)
+    light = materialize(sized(texts, k, num, den, hot), "sized")
+    again = light.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1")
+    if not distinct_ids(light) or again.limit(1).count():
+        keyed = materialize(docs.withColumn("_row_of_docs", F.monotonically_increasing_id()), "rows")
+        texts = keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("_row_of_docs").alias("row"))
+        found = components_of(texts.select(F.col("row").alias("doc_id"), "text"), materialize(sized(texts.select(F.col("row").alias("doc_id"), "text"), k, num, den, hot), "sized"), k, num, den, small)
+        found = found.join(texts.select("row", F.col("doc_id").alias("_doc")), F.col("doc_id") == F.col("row"))
+        first = found.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "row")).alias("first"))
+        kept = materialize(first.select(F.col("first.row").alias("_kept")), "kept")
+        return keyed.join(kept, F.col("_row_of_docs") == F.col("_kept"), "left_semi").drop("_row_of_docs")
+    rows = components_of(texts, light, k, num, den, small)
+    gone = materialize(rows.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    return picked(docs, "doc_id", gone, "left_anti")

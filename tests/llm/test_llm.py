@@ -85,10 +85,41 @@ def test_jaccard_equals_brute_force(docs, k, num):
 def test_jaccard_keeps_one_of_each(docs, none):
     kept = jaccard.first_of_each(docs, 5, 80, 100).collect()
     brute = jaccard_brute([tuple(r) for r in docs.collect()], 5, 80, 100)
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({d for d, _, c in brute if d == c and d >= 0})
+    with_words = lambda rows: sorted(r for r in rows if words(r[1]))
+    want = {d for d, _, c in brute if d == c and d >= 0}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
+    assert len(with_words([(str(r.doc_id), r.text) for r in kept])) == len({c for _, n, c in brute if n})
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert sorted(r.doc_id for r in jaccard.first_of_each(unique, 5, 80, 100).collect()) == sorted(want)
     assert jaccard.linked(none).count() == jaccard.first_of_each(none).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    """Ids with several texts lose no link, and no text that differs is dropped."""
+    rnd = random.Random(11)
+    rows = [r for r in corpus(12, 25)]
+    base = [f"w{i}" for i in range(201)]
+    near = [*base[:-1], "other"]
+    rows += [(3, "a text of its own stands here", *rows[0][2:]), (500, rows[3][1], *rows[0][2:]), (500, " ".join(base), *rows[0][2:]), (501, " ".join(near), *rows[0][2:]), (None, " ".join([*near[:-2], "x", "y"]), *rows[0][2:])]
+    rows += [(rnd.randrange(25), rows[rnd.randrange(25)][1], *rows[0][2:]) for _ in range(20)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for k, num in ((3, 90), (5, 80)):
+        got = jaccard.linked(df, k, num, 100).collect()
+        brute = jaccard_brute(rows, k, num, 100)
+        assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == brute
+    assert (501, 199, 500) in jaccard_brute(rows, 3, 90, 100)
+    sets = {}
+    for r in jaccard.first_of_each(df, 1, 100, 100).collect():  # equal sets of words only
+        key = frozenset(words(r.text))
+        assert not key or key not in sets
+        sets[key] = r.doc_id
+    assert set(sets) - {frozenset()} == {frozenset(words(r[1])) for r in rows} - {frozenset()}
+    first = collections.defaultdict(list)
+    for r in rows:
+        first[frozenset(words(r[1]))].append(r[0])
+    assert all(d == min((x for x in first[key] if x is not None), default=None) for key, d in sets.items() if key)
+
+
 def test_subsets_cover_every_small_pair():
     for num in (60, 80, 90):
         for b in range(1, 14):
