@@ -284,9 +284,40 @@ def test_near_dedup_equals_brute_force(spark):
 
 
 def test_chunks_of_a_bucket_lose_no_link(spark):
-    df = spark.createDataFrame(vectors(), VECTORS)
-    rows = lambda chunk: sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in capfilters.linked(df, chunk=chunk).collect())
-    assert rows(3) == rows(1024)
+    """Small buckets, large ones and buckets of several chunks find the same, for
+    a group of near copies that is larger than a small bucket, too."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24)
+    rows = vectors() + [(2000 + i, [float(np.float32(c)) for c in base + 0.05 * rng.normal(size=24)], 1, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, VECTORS)
+    found = lambda chunk: sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in capfilters.linked(df, chunk=chunk).collect())
+    whole = found(1024)
+    assert sum(n == 119 for i, n, _ in whole if len(i) == 4) == 120
+    assert found(50) == whole and found(100) == whole
+
+
+def test_rows_that_repeat_a_vec_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0, 0, 0], 2**40, "x"), (1, [0, 1.0, 0, 0], 2**40, "x"), (2, [1.0, 0.01, 0, 0], 2**40, "x"), (3, [0.01, 1.0, 0, 0], 2**40, "x"), (4, [0.0, -0.0, 0.0, 1.0], 2**40, "x"), (5, [0.0, 0.0, 0.0, 1.0], 2**40, "x")]
+    df = spark.createDataFrame([(a, [float(x) for x in v], c, d) for a, v, c, d in rows], "vec_id long, embedding array<float>, label long, rep string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in capfilters.linked(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+def test_pairs_just_above_the_bound_are_found(spark):
+    """The worst case: links in 64 dimensions with cosines of 0.93 to 0.935."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(n, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.935, (n, 1))
+    y = c * x + np.sqrt(1 - c * c) * z
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.vstack([x, y]).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in capfilters.linked(df).collect()}
+    assert sum(got[i] >= 1 for i in range(n)) >= 0.998 * n
 
 
 def test_top_k_equals_brute_force(spark):
