@@ -52,6 +52,54 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: a batch of whole
+#: texts is held on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+
+
+def arrowed(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches; the worker gives free memory
+    back after each task, as workers live on and an executor's limit covers all."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(released(run), schema)
+
+
+def released(run):
+    """run, after which the worker gives free memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                return
+
+    return wrapped
+
+
+def written() -> int:
+    """How many tables materialize() has written so far."""
+    return len(_to_drop)
+
+
+def drop_written(since: int, keep: int = 1) -> None:
+    """Deletes the tables written after the first `since`, but for the last
+    `keep`: for callers that have written what they made of them."""
+    last = len(_to_drop) - keep
+    for spark, path in _to_drop[since:last]:
+        _drop(spark, path)
+    del _to_drop[since:last]
+
+
 _to_drop: list[tuple[SparkSession, str]] = []
 
 
@@ -61,10 +109,14 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     _to_drop.append((spark, path))
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _drop_all() -> None:
     for spark, path in _to_drop:
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _drop(spark, path)
         except Exception:  # the session has ended: its folder is the cluster's to clear
             return
