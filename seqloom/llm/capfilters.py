@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.vectors import finite, matrix, width
-from seqloom.llm.words import mix64, released
+from seqloom.llm.words import mix64
 from seqloom.operators.graph import components
-from seqloom.session import materialize
+from seqloom.session import arrowed, materialize
 
 COSINE = 0.93
 BLOCKS = 4
@@ -182,7 +182,7 @@ def filtered(reps: DataFrame, dim: int, codes: list) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(at), pa.array(filter_), part.column(0).take(at), pa.array(bits[row, 0]), pa.array(bits[row, 1])], names=["label", "filter", "rep", "a", "b"])
 
-    return reps.select("rep", "label", "v").mapInArrow(released(run), "label long, filter long, rep long, a long, b long")
+    return arrowed(reps.select("rep", "label", "v"), run, "label long, filter long, rep long, a long, b long")
 
 
 def chunked(posts: DataFrame, key: list[str], chunk: int) -> DataFrame:
@@ -296,7 +296,7 @@ def groups(posts: DataFrame, bound: int, chunk: int) -> DataFrame:
             name = np.where(chunks[keep] == 1, name, mix64(filter_[keep].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
             yield pa.RecordBatch.from_arrays([pa.array(label[keep]), pa.array(name.view(np.int64)), pa.array(rep[keep])], names=["label", "group", "rep"])
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(released(run), "label long, group long, rep long").distinct()
+    return arrowed(rows.repartition(*names).sortWithinPartitions(*names), run, "label long, group long, rep long").distinct()
 
 
 def first_meeting(f: int, mine: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -396,7 +396,7 @@ def verified(members: DataFrame, reps: DataFrame, dim: int, cosine: float, chunk
                 u, n, v = (np.concatenate(c).astype(np.int64) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), pa.array(v, mask=v < 0)], names=["u", "n", "v"])
 
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(released(run), "u long, n long, v long")
+    return arrowed(rows.repartition(*names).sortWithinPartitions(*names), run, "u long, n long, v long")
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK, miss: float = MISS) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import arrowed
+
 TURN, END = "<|turn|>", "<|end|>\n"
 LOSS_ROLE = "assistant"
 #: A longer conversation is rendered and encoded in several segments, cut
@@ -149,7 +151,7 @@ def formatted(conversations: DataFrame, tokenizer: str, loss_role: str = LOSS_RO
         if held:
             yield batch_of(held)
 
-    return rows.mapInArrow(run, FORMATTED)
+    return arrowed(rows, run, FORMATTED)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,4 +199,4 @@ def digests(rows: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return rows.select("conv_id", "last", "formatted", "loss").mapInArrow(run, DIGEST)
+    return arrowed(rows.select("conv_id", "last", "formatted", "loss"), run, DIGEST)

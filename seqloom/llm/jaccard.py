@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.words import hashed_words, mix64, released, shingles
+from seqloom.llm.words import hashed_words, mix64, shingles
 from seqloom.operators.graph import components
-from seqloom.session import materialize
+from seqloom.session import arrowed, materialize
 
 #: The hottest shingles are known to be shared and need no counting.
 HOT = 1 << 18
@@ -125,7 +125,7 @@ def statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array(range(SIZES), pa.int64()), pa.array(sizes), pa.array([True] * SIZES)], names=["key", "n", "size"])
 
-    found = materialize(texts.select("text").mapInArrow(released(run), "key long, n long, size boolean").groupBy("size", "key").agg(F.sum("n").alias("n")), "shingles")
+    found = materialize(arrowed(texts.select("text"), run, "key long, n long, size boolean").groupBy("size", "key").agg(F.sum("n").alias("n")), "shingles")
     hist = {r.key: r.n for r in found.where("size").collect()}
     hot = found.where("not size").orderBy(F.desc("n"), "key").limit(HOT).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
     return hot[::-1].copy(), hist
@@ -166,7 +166,7 @@ def sized(texts: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                  lists_of(h[low], np.diff(np.searchsorted(low, np.append(start, len(h))))), lists_of(bits, words)],
                 names=["doc_id", "n", "set_a", "set_b", "low", "bits"])
 
-    return texts.mapInArrow(released(run), "doc_id long, n int, set_a long, set_b long, low array<long>, bits array<long>")
+    return arrowed(texts, run, "doc_id long, n int, set_a long, set_b long, low array<long>, bits array<long>")
 
 
 def picked(rows: DataFrame, col: str, ids: DataFrame, how: str) -> DataFrame:
@@ -186,7 +186,7 @@ def whole_sets(texts: DataFrame, ids: DataFrame, k: int, num: int, den: int, sma
             yield pa.RecordBatch.from_arrays([part.column(0), lists_of(h, counts), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "keys"])
 
     some = picked(texts.select("doc_id", "text"), "doc_id", ids, "left_semi")
-    return materialize(some.mapInArrow(released(run), "id long, set array<long>, keys array<long>"), "sets")
+    return materialize(arrowed(some, run, "id long, set array<long>, keys array<long>"), "sets")
 
 
 def folded(bits: Column, words: Column) -> Column:

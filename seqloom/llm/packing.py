@@ -15,9 +15,12 @@ sizes the window bounds, reach the driver.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.frames import running_sums
-from seqloom.llm.words import released
-from seqloom.session import materialize
+from seqloom.session import arrowed, materialize
 
 WINDOW = 4096
 UNIT = 32
 DEPTH = 3
 END = 2
 RESERVE = 8
-CACHE = 700_000
+#: Words that a worker keeps with their ids, some 150 bytes each.
+CACHE = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -47,6 +50,12 @@ def byte_letters() -> list[str]:
     return out
 
 
+def marks() -> re.Pattern:
+    """Characters that the tokenizer's NFC step may join with the one before: all
+    of a combining class."""
+    return re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]")
+
+
 _PARTS = re.compile(rb"([a-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
 
 
@@ -55,7 +64,8 @@ class Words(dict):
     space. The tokenizer drops white space and never joins across it, so a
     text's ids are those of its chunks in turn. A chunk of letters with signs
     behind it is two words to the tokenizer, which go to its merges directly;
-    any other chunk goes through the whole tokenizer. Emptied when full."""
+    any other chunk goes through the whole tokenizer. When full, the oldest
+    quarter goes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,6 +73,7 @@ class Words(dict):
         super().__init__()
         self.of = Tokenizer.from_file(path)
         self.letters = byte_letters()
+        self.mark = marks()
 
     def merged(self, word: bytes) -> bytes:
         got = self.of.model.tokenize(word.decode() if word.isascii() else "".join(map(self.letters.__getitem__, word)))
@@ -88,7 +99,8 @@ class Words(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.made(chunk)
         if len(self) >= CACHE:
-            self.clear()
+            for old in list(islice(self, CACHE // 4)):
+                del self[old]
         if len(chunk) < 64:
             self[chunk] = ids
         return ids
@@ -97,7 +109,6 @@ class Words(dict):
 def words_of(path: str) -> Words:
     """The words of this process: a Python worker that runs several tasks keeps
     them from one to the next."""
-    import sys
     import types
 
     kept = sys.modules.setdefault("seqloom_worker_state", types.ModuleType("seqloom_worker_state")).__dict__
@@ -111,13 +122,21 @@ def tokenizer_bytes(path: str):
     words = words_of(path)
     special = [x.content.lower().encode() for x in words.of.get_added_tokens_decoder().values()]
 
+    def whole(text: str) -> bytes:
+        return np.array(words.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def ids(text: str | None) -> bytes:
         if not text:
             return b""
-        low = text.encode("utf-8").lower()
+        raw = text.encode("utf-8")
+        low = raw.lower()
         if any(x in low for x in special):
-            return np.array(words.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(words.__getitem__, low.split()))
+            return whole(text)
+        if len(raw) == len(text) or not words.mark.search(text):
+            return b"".join(map(words.__getitem__, low.split()))
+        # what a mark is joined with depends on the letter's case: such a chunk goes as it is
+        pairs = zip(low.split(), raw.split())
+        return b"".join(whole(r.decode("utf-8")) if words.mark.search(r.decode("utf-8")) else words[w] for w, r in pairs)
 
     return ids
 
@@ -146,7 +165,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end: int = END,
                     part.column(3), pa.array([d if k else None for d, k in zip(data, kept)], pa.binary()),
                 ], names=["doc_id", "row_key", "tokens", "crcs", "reserve", "ids"])
 
-    return materialize(docs.mapInArrow(released(run), TOKENS), "tokens")
+    return materialize(arrowed(docs, run, TOKENS), "tokens")
 
 
 def combinations(units: int, depth: int, classes: list[int]) -> list[tuple[int, ...]]:

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.frames import fold
-from seqloom.llm.words import released, string_buffers, word_bounds, word_hashes
+from seqloom.llm.words import string_buffers, word_bounds, word_hashes
+from seqloom.session import arrowed
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -163,7 +164,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict |
                 bags = [x[a : a + n][np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(int))].astype(np.float32).tobytes() for a, n in zip(first, many)]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
-    got = texts.mapInArrow(released(run), "doc_id long, y double, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = arrowed(texts, run, "doc_id long, y double, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     if not got.num_rows:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in got["bag"].to_pylist()]
@@ -188,7 +189,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
                 s = score(w, *passages(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return src.mapInArrow(released(run), schema)
+    return arrowed(src, run, schema)
 
 
 def quality_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

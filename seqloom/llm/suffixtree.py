@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.frames import fold
 from seqloom.llm.jaccard import signed, text_slices
-from seqloom.llm.words import hashed_words, mix64, released
-from seqloom.session import materialize
+from seqloom.llm.words import hashed_words, mix64
+from seqloom.session import arrowed, materialize
 
 MIN_CONTEXT = 5
 MIN_EDGE = 2
@@ -226,7 +226,7 @@ def with_hashes(found: DataFrame) -> DataFrame:
             ctx, shorter = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, signed(longer(ctx, shorter))], names=["ctx", "shorter", "n", "key"])
 
-    return found.select("ctx", "shorter", "n").mapInArrow(run, "ctx long, shorter long, n long, key long")
+    return arrowed(found.select("ctx", "shorter", "n"), run, "ctx long, shorter long, n long, key long")
 
 
 def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> tuple[DataFrame | None, int]:
@@ -266,8 +266,8 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
                 yield part.filter(pa.array(hit))
 
         if d >= 4 and d & (d - 1) == 0:  # texts without a candidate have no longer one
-            train = materialize(train.select("text").mapInArrow(released(holding), "text string"), "holding")
-        found = train.select("text").mapInArrow(released(run), "ctx long, shorter long, n long").groupBy("ctx", "shorter").agg(F.sum("n").alias("n"))
+            train = materialize(arrowed(train.select("text"), holding, "text string"), "holding")
+        found = arrowed(train.select("text"), run, "ctx long, shorter long, n long").groupBy("ctx", "shorter").agg(F.sum("n").alias("n"))
         found = materialize(with_hashes(found.where(F.col("n") >= min(least_context, least_edge))), "runs")
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
         own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
     def words(batches):
         yield from counted(batches, lambda text: token_stream(text)[:1])
 
-    vocabulary = materialize(train.select("text").mapInArrow(released(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = materialize(arrowed(train.select("text"), words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     values, most = learned(train, vocabulary, total, distinct, depth, min_context, min_edge)
@@ -358,7 +358,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
                  lists(tokens[rare], owner[rare]), lists(np.concatenate([tokens[:0], *more]), np.concatenate([owner[:0], *more_owner]))],
                 names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "more"])
 
-    part = rows.mapInArrow(released(run), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, more array<long>")
+    part = arrowed(rows, run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, more array<long>")
     part = materialize(part, "scored")
     # rare words: both scores take the root's probability, with the count from the vocabulary
     log_root = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1)))

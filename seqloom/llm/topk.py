@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.vectors import finite, matrix, width
-from seqloom.session import materialize
+from seqloom.session import arrowed, materialize
 
 SCALE = 1024
 GROUP = 16384
@@ -45,7 +45,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
 
-    sums = vectors.select("v").mapInArrow(moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "m")).groupBy("i", "j").agg(F.sum("m").alias("m"))
+    sums = arrowed(vectors.select("v"), moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "m")).groupBy("i", "j").agg(F.sum("m").alias("m"))
     out = np.zeros((dim, dim))
     for r in sums.collect():
         out[r.i, r.j] = r.m
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, scale: int = SCALE, gr
                     for found in score_block(ids, matrix(part.column(1), dim), q_ids, q, turn, floor, k, lead):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-        parts.append(sorted_.mapInArrow(search, "query_id long, vec_id long, score long"))
+        parts.append(arrowed(sorted_, search, "query_id long, vec_id long, score long"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]

@@ -22,25 +22,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = 1 << 20
 
 
-def released(run):
-    """run, after which the worker gives free memory back: workers live on
-    between tasks, and an executor's limit covers all of them."""
-
-    def wrapped(batches):
-        try:
-            yield from run(batches)
-        finally:
-            import ctypes
-
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                return
-
-    return wrapped
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     h = h ^ (h >> np.uint64(33))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -206,6 +207,20 @@ def test_word_bytes_equal_the_tokenizer():
         assert ours(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_every_character_gets_the_tokenizers_ids():
+    """Each character behind capitals that marks join with, in front of a letter, and in a word with signs."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    whole, ours = Tokenizer.from_file(path), packing.tokenizer_bytes(path)
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0 or unicodedata.combining(chr(c)))]
+    texts = [f"T{c} {c}A Y{c}{c}b H{c}'s W{c}J{c}. x\n{c} {c}" for c in chars]
+    for lo in range(0, len(texts), 2000):
+        part = texts[lo : lo + 2000]
+        for t, e in zip(part, whole.encode_batch(part, add_special_tokens=False)):
+            assert ours(t) == np.array(e.ids, "<u4").tobytes(), t
+
+
 def test_schedule_uses_every_class_exactly():
     rnd = random.Random(1)
     hist = {c: rnd.randrange(1, 60) for c in rnd.sample(range(1, 129), 70)}
