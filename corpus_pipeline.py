@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import stages
-from seqloom.session import materialize, read
+from seqloom.session import drop_written, materialize, read, written
 
 STAGES = [
     ("quality classifier", stages.quality_stage),
@@ -24,8 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written and read again."""
+    """The last stage's rows; every stage's result is written and read again, and
+    what the stage wrote on its way goes."""
     docs = read(spark, sf_dir, "documents")
+    first = written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_written(first)
     return docs
