@@ -30,7 +30,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_REPEATS = 2
 ROUNDS = 4
-WALK = 64
+#: Slots that a task expands from shards at a time.
+TASK_SLOTS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -59,9 +60,9 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, m
 
 def permuted(i: Column, n: Column, key: Column) -> Column:
     """A permutation of 0..n-1 for each key: a Feistel network on a x b >= n
-    with a = ceil(sqrt n), walked on until the result is below n. At most a-1
-    of a x b values lie outside, so WALK steps suffice for any n of up to
-    WALK^2, and beyond that all but one in n^(WALK/2) walks."""
+    with a = ceil(sqrt n), walked on until the result is below n. The network
+    permutes a x b values of which fewer than a lie outside, so that a walk from
+    inside is back inside after a steps at most; nearly all end after one."""
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     b = F.ceil(n / a).cast("long")
 
@@ -75,7 +76,8 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
         return hi * b + lo
 
     step = lambda x, _: F.when(x < n, x).otherwise(once(x))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(i), step)
+    first = once(i)
+    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), a), first, step))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def draw(sources: DataFrame, slots: int, shard: int = SHARD) -> DataFrame:
     return point.join(grid, "cell").where("point >= first and point < last").groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
-def reconciled(drawn: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+def reconciled(drawn: DataFrame, sources: DataFrame, shards: int, slots: int) -> DataFrame:
     """(sid, shard, start, n): slots of each source by shard, with its running
     index, after overdrawn slots went to the sources that drew too few."""
     placed = running_sums(drawn, ["sid"], ["shard"], {"start": F.col("n")}, shards)
@@ -137,7 +139,12 @@ def reconciled(drawn: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
     short = short.select("sid", F.coalesce("got", F.lit(0)).alias("got"), (F.col("quota") - F.coalesce("got", F.lit(0))).alias("need"))
     need = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     short = short.where("need > 0").select("*", F.coalesce(F.sum("need").over(need), F.lit(0)).alias("lo"))
-    more = lost.join(F.broadcast(short), (F.col("at") < F.col("lo") + F.col("need")) & (F.col("at") + F.col("free") > F.col("lo")))
+    # both lists are cut at the multiples of a width and joined cell by cell
+    width = max(1, -(-slots // 1024))
+    cells = lambda lo, n: F.explode(F.sequence(F.floor(lo / width), F.floor((lo + n - 1) / width))).alias("cell")
+    lost = lost.select("*", cells(F.col("at"), F.col("free")))
+    short = short.select("*", cells(F.col("lo"), F.col("need")))
+    more = lost.join(short, "cell").where("at < lo + need and at + free > lo").where(F.col("cell") == F.floor(F.greatest("at", "lo") / width))
     a, b = F.greatest("at", "lo"), F.least(F.col("at") + F.col("free"), F.col("lo") + F.col("need"))
     more = more.select("sid", "shard", (F.col("got") + a - F.col("lo")).alias("start"), (b - a).alias("n"))
     return kept.union(more)
@@ -160,9 +167,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS
     rows = sum(s["rows"] for s in sources)
     shards = -(-slots // shard)
     if slots:
-        slot = reconciled(draw(by_source, slots, shard), by_source, shards)
+        slot = reconciled(draw(by_source, slots, shard), by_source, shards, slots)
     else:
         slot = docs.sparkSession.createDataFrame([], "sid int, shard long, start long, n long")
+    # a shard's slots are many rows: shards are dealt out before they become slots
+    slot = slot.repartition(-(-slots // TASK_SLOTS) + 1, "sid", "shard")
     slot = slot.select("sid", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("k"))
     slot = slot.join(F.broadcast(by_source.select("sid", "n_blocks")), "sid").withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks")))
     slot = slot.select("sid", "shard", "epoch", permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.xxhash64("sid", "epoch", F.lit("perm"))).alias("block"))

@@ -160,7 +160,7 @@ def test_mixed_texts_hold_the_words_taken(docs):
 def test_permutations_are_permutations(spark):
     from pyspark.sql import functions as F
 
-    for n in (1, 2, 3, 7, 50, 1000):
+    for n in (1, 2, 3, 7, 50, 1000, 10_007, 40_401):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()
         assert sorted(r.p for r in got) == list(range(n))
 
