@@ -20,13 +20,13 @@ def width(vectors: DataFrame, col: str) -> int:
     return vectors.agg(F.max(F.size(col))).first()[0] or 0
 
 
-def matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column in double precision, padded with zeros."""
-    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+def matrix(col: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
+    """Rows of a list column, in double precision by default, padded with zeros."""
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=kind)
     size = np.asarray(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     if len(size) and (size == dim).all():
         return flat.reshape(len(size), dim)
-    out = np.zeros((len(size), dim))
+    out = np.zeros((len(size), dim), kind)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     out[np.repeat(np.arange(len(size)), size), at] = flat
     return out

@@ -336,18 +336,21 @@ def test_pairs_just_above_the_bound_are_found(spark):
 
 
 def test_top_k_equals_brute_force(spark):
+    """Rows are queries and candidates each, also where they repeat an id."""
     from pyspark.sql import functions as F
 
-    rows = [r for r in vectors(1)]
-    df = spark.createDataFrame(rows + [rows[40]], VECTORS)
+    rows = vectors(1)
+    rows += [rows[40], (40, rows[41][1], 1, "x"), (60, [2.0**38 + 1024.0, -3.0] + [0.0] * 22, 1, "x"), (3, [7.0] * 24, 1, "x"), (3, [7.0] * 24, 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    ok = [(r[0], [math.floor(1024 * c) for c in r[1]] + [0] * (24 - len(r[1]))) for r in rows if r[0] is not None and usable(r[1])]
+    want = collections.Counter()
+    for a, (i, v) in enumerate(ok):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(ok) if b != a)[:10]
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
     for group in (7, topk.GROUP):
-        got = collections.defaultdict(list)
-        for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 10, group=group, head=50).orderBy("rank").collect():
-            got[r.query_id].append((r.vec_id, r.score))
-        ok = [(r[0], [math.floor(1024 * c) for c in r[1]] + [0] * (24 - len(r[1]))) for r in [*rows, rows[40]] if r[0] is not None and usable(r[1])]
-        for i, v in {i: v for i, v in ok if i % 20 == 0}.items():
-            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i)[:10]
-            assert got[i] == [(j, -s) for s, j in best]
+        assert collections.Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 10, group=group, head=50).collect())) == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 10).count() == 0
 
 
 def test_quality_learns_and_scores_every_text(spark):
