@@ -80,13 +80,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
     if edges.limit(1).count():
         both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(
             edges.select(F.lit("distrust"), "dst", "src", "n"))
-        out = both.groupBy("kind", "host").agg(F.sum("n").alias("out"))
+        out = materialize(both.groupBy("kind", "host").agg(F.sum("n").alias("out")), "degrees")
         both = materialize(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("part")), "walk")
         reached = rank.count()
         while True:
-            moved = rank.join(both, ["kind", "host"], "left")
-            moved = moved.select("kind", F.coalesce("to", "host").alias("host"), (F.col("rank") * F.coalesce("part", F.lit(1.0)) * damping).alias("x"))
-            now = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).withColumn("old", F.lit(0.0)).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+            # an inner join: a hub's edges can be split among tasks
+            moved = rank.join(both, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("x"))
+            stays = rank.join(out, ["kind", "host"], "left_anti").select("kind", "host", (F.col("rank") * damping).alias("x"))
+            now = moved.union(stays).union(start.select("kind", "host", F.col("seed") * (1 - damping))).withColumn("old", F.lit(0.0)).union(rank.select("kind", "host", F.lit(0.0), "rank"))
             now = materialize(now.groupBy("kind", "host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old")), "rank")
             seen = now.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).first()
             rank, new, reached = now.select("kind", "host", "rank"), seen["n"] > reached, seen["n"]
