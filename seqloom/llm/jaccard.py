@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.words import hashed_words, mix64, shingles
+from seqloom.llm.words import hashed_words, mix64, shingles, text_slices
 from seqloom.operators.graph import components
 from seqloom.session import arrowed, materialize
 
@@ -92,13 +92,6 @@ def lists_of(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), signed(flat))
 
 
-def text_slices(batches, text: int, step: int = 256):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            yield part, part.column(text)
-
-
 def statistics(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     """(hashes of the hottest shingles, coolest first; number of sets by size).
     Counts cover all texts; a shingle counts within each buffer of a partition

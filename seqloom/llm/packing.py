@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.frames import running_sums
+from seqloom.llm.words import text_slices
 from seqloom.session import arrowed, materialize
 
 WINDOW = 4096
@@ -154,16 +155,13 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end: int = END,
 
     def run(batches):
         encode = tokenizer_bytes(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                text, kept = part.column(1).to_pylist(), part.column(3).to_pylist()
-                data = [encode(t) + stop for t in text]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(2), pa.array([len(d) // 4 for d in data], pa.int64()),
-                    pa.array([[zlib.crc32(d[i : i + step]) for i in range(0, len(d), step)] for d in data], pa.list_(pa.int64())),
-                    part.column(3), pa.array([d if k else None for d, k in zip(data, kept)], pa.binary()),
-                ], names=["doc_id", "row_key", "tokens", "crcs", "reserve", "ids"])
+        for part, text in text_slices(batches, 1):
+            data = [encode(t) + stop for t in text.to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(2), pa.array([len(d) // 4 for d in data], pa.int64()),
+                pa.array([[zlib.crc32(d[i : i + step]) for i in range(0, len(d), step)] for d in data], pa.list_(pa.int64())),
+                part.column(3), pa.array([d if k else None for d, k in zip(data, part.column(3).to_pylist())], pa.binary()),
+            ], names=["doc_id", "row_key", "tokens", "crcs", "reserve", "ids"])
 
     return materialize(arrowed(docs, run, TOKENS), "tokens")
 

@@ -1,14 +1,16 @@
 """A quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of a fixed number of words, all of them. Every
-passage is encoded from its characters and words by a learned layer; a gated
-attention network weighs the passages of a bag; the weighted sum of their
-representations gives the score. Only documents carry labels, so the weights
-are learned from document labels alone.
-
-The network is fitted on the driver, on a sample of labelled documents whose
-size is a parameter, with at most BAG passages each; scoring covers all
-passages of all texts on the executors.
+passage is encoded by learned layers: its words, hashed, are looked up in a
+table of embeddings and averaged; the steps between classes of characters
+inside its words, and ratios of characters and words, stand beside them. A
+gated attention network weighs the passages of a bag; the weighted sum of their
+representations gives the score. Only documents carry labels, so all weights,
+those of the embeddings too, are learned from document labels alone.
+
+The network is fitted on the driver, on a sample of labelled documents with all
+of their passages: at most SAMPLE documents and PASSAGES passages in all, both
+parameters. Scoring covers all passages of all texts on the executors.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.frames import fold
-from seqloom.llm.words import string_buffers, word_bounds, word_hashes
+from seqloom.llm.frames import WORD, fold
+from seqloom.llm.words import SPACE, string_buffers, text_slices, word_bounds, word_hashes
 from seqloom.session import arrowed
 
 PASSAGE = 64
 SAMPLE = 6000
-BAG = 64
+PASSAGES = 60_000
+BUCKETS, WIDTH = 1 << 13, 16
 HIDDEN, GATE = 32, 16
-EPOCHS, BATCH, RATE, DECAY = 40, 128, 4e-3, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 16, 128, 4e-3, 1e-4
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -44,19 +47,20 @@ def byte_classes() -> np.ndarray:
 
 CLASSES = byte_classes()
 KINDS = 10
-FEATURES = 2 * KINDS + 7
+RATIOS = 2 * KINDS + 7
+FEATURES = RATIOS + KINDS * KINDS
 
 
-def passages(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, passages per text); a text without words has
-    one passage of zeros."""
+def passages(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all passages, passages per text, buckets of all words, words
+    per passage); a text without words has one passage of zeros."""
     data, offsets = string_buffers(col)
     starts, ends, counts = word_bounds(data, offsets)
     many = np.maximum(1, -(-counts // PASSAGE))
     first = np.cumsum(many) - many
     x = np.zeros((int(many.sum()), FEATURES))
     if not len(starts):
-        return x, many
+        return x, many, np.zeros(0, np.uint16), np.zeros(len(x), np.int64)
     doc = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
     owner = first[doc] + nth // PASSAGE
@@ -83,92 +87,137 @@ def passages(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x[:, j + 4] = total(gap) / n
     x[:, j + 5] = total(size > 24) / n
     x[:, j + 6] = n / PASSAGE
-    return x, many
+    # steps from a class of characters to the next inside words
+    inside = kind[~SPACE[data]]
+    of = np.repeat(owner, ends - starts)
+    last = np.zeros(len(inside), bool)
+    last[np.cumsum(ends - starts) - 1] = True
+    at = np.flatnonzero(~last)
+    step = np.bincount(of[at] * (KINDS * KINDS) + inside[at].astype(np.int64) * KINDS + inside[at + 1], minlength=len(x) * KINDS * KINDS)
+    x[:, RATIOS:] = step.reshape(len(x), -1) / chars[:, None]
+    return x, many, (h >> np.uint64(51)).astype(np.uint16), np.bincount(owner, minlength=len(x))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def forward(w: dict, x: np.ndarray, many: np.ndarray):
+def means(table: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mean embedding of each passage's words, zero without words."""
+    out = np.zeros((len(size), table.shape[1]))
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(table[words], (np.cumsum(size) - size)[some]) / size[some, None]
+    return out
+
+
+def forward(w: dict, x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray) -> dict:
+    """All layers: inputs, hidden passages h, gates, attention, bags z, scores p."""
     start = np.cumsum(many) - many
     owner = np.repeat(np.arange(len(many)), many)
-    h = np.tanh(((x - w["mean"]) / w["scale"]) @ w["W"] + w["b"])
+    inputs = np.concatenate([(x - w["mean"]) / w["scale"] * w["use"], means(w["E"], words, size)], axis=1)
+    h = np.tanh(inputs @ w["W"] + w["b"])
     t, g = np.tanh(h @ w["V"]), sigmoid(h @ w["U"])
     e = (t * g) @ w["a"]
     e = np.exp(e - np.maximum.reduceat(e, start)[owner])
     att = e / np.add.reduceat(e, start)[owner]
     z = np.add.reduceat(att[:, None] * h, start)
-    return h, t, g, att, z, sigmoid(z @ w["c"] + w["d"]), start, owner
-
-
-def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
-    """Adam on the cross entropy of the bags' labels."""
+    return {"inputs": inputs, "h": h, "t": t, "g": g, "att": att, "z": z, "p": sigmoid(z @ w["c"] + w["d"]), "start": start, "owner": owner}
+
+
+def gradients(w: dict, x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean cross entropy of the bags' labels."""
+    f = forward(w, x, many, words, size)
+    h, t, g, att, owner, start = (f[k] for k in ("h", "t", "g", "att", "owner", "start"))
+    dp = (f["p"] - y) / len(y)
+    grad = {"c": f["z"].T @ dp, "d": np.array([dp.sum()])}
+    dz = dp[:, None] * w["c"]
+    datt = (h * dz[owner]).sum(1)
+    de = att * (datt - np.add.reduceat(att * datt, start)[owner])
+    grad["a"] = (t * g).T @ de
+    dtg = de[:, None] * w["a"]
+    dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+    grad["V"], grad["U"] = h.T @ dt, h.T @ dg
+    dh = (att[:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+    grad["W"], grad["b"] = f["inputs"].T @ dh, dh.sum(0)
+    own = (dh @ w["W"][x.shape[1] :].T) / np.maximum(size, 1)[:, None]
+    of = np.repeat(np.arange(len(size)), size)
+    grad["E"] = np.stack([np.bincount(words, weights=own[of, k], minlength=len(w["E"])) for k in range(own.shape[1])], axis=1)
+    return grad
+
+
+def fit(x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray, y: np.ndarray, seed: int = 7, use: np.ndarray | None = None) -> dict:
+    """Adam on the cross entropy. use: 0 for features that are left out, for
+    trials of what the others know."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    f = x.shape[1]
-    w = {"W": rng.normal(0, f**-0.5, (f, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "a": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+    f = x.shape[1] + WIDTH
+    w = {"E": rng.normal(0, 0.1, (BUCKETS, WIDTH)), "W": rng.normal(0, f**-0.5, (f, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "a": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
+    fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3, "use": np.ones(x.shape[1]) if use is None else use}
     names = list(w)
     m, v = ({k: np.zeros_like(w[k]) for k in names} for _ in range(2))
-    first = np.cumsum(many) - many
+    first, word = np.cumsum(many) - many, np.cumsum(size) - size
+    ranges = lambda at, n: np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(many))
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
         for lo in range(0, len(order), BATCH):
             bags = order[lo : lo + BATCH]
-            n = many[bags]
-            rows = np.repeat(first[bags], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            xb = x[rows]
-            h, t, g, att, z, p, start, owner = forward(w | {"mean": mean, "scale": scale}, xb, n)
-            dz_ = (p - y[bags]) / len(bags)
-            grad = {"c": z.T @ dz_, "d": np.array([dz_.sum()])}
-            dz = dz_[:, None] * w["c"]
-            dh = att[:, None] * dz[owner]
-            datt = (h * dz[owner]).sum(1)
-            de = att * (datt - np.add.reduceat(att * datt, start)[owner])
-            grad["a"] = (t * g).T @ de
-            dtg = de[:, None] * w["a"]
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            grad["V"], grad["U"] = h.T @ dt, h.T @ dg
-            dh += dt @ w["V"].T + dg @ w["U"].T
-            dh *= 1 - h * h
-            grad["W"], grad["b"] = ((xb - mean) / scale).T @ dh, dh.sum(0)
+            rows = ranges(first[bags], many[bags])
+            grad = gradients(w | fixed, x[rows], many[bags], words[ranges(word[rows], size[rows])], size[rows], y[bags])
             step += 1
-            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
             for k in names:
                 gk = grad[k] + (DECAY * w[k] if w[k].ndim == 2 else 0)
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 v[k] = 0.999 * v[k] + 0.001 * gk * gk
                 w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return w | {"mean": mean, "scale": scale}
+    return w | fixed
 
 
-def score(w: dict | None, x: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return forward(w, x, many)[5] if w else np.full(len(many), 0.5)
+def score(w: dict | None, x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return forward(w, x, many, words, size)["p"] if w else np.full(len(many), 0.5)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The network, from labels (doc_id, quality) outside the held-out fold. The
-    sample is the labels of smallest hash; None without labels or with no text
-    for them, when every score is 0.5."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~fold(FOLDS, 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("y"))
+def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = PASSAGES):
+    """(features, passages per text, words, words per passage, label) of labelled
+    documents outside the held-out fold: those of smallest hash, with all of
+    their passages, up to `sample` documents and `most` passages. Rows that
+    repeat with one label count once. None without any."""
+    spark = docs.sparkSession
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~fold(FOLDS, 0)).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "y", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
+    many = F.greatest(F.ceil(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) / PASSAGE), F.lit(1)).cast("long")
+    found = texts.select("doc_id", "h", "y", many.alias("many")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h", "y").limit(sample).collect()
+    total, taken = 0, {}
+    for r in found:
+        if total + r.many <= most:
+            total += r.many
+            taken[r.doc_id, r.h, r.y] = len(taken)
+    if not taken:
+        return None
+    own = spark.createDataFrame([(*k, n) for k, n in taken.items()], "_id long, _h long, _y double, place long")
+    rows = texts.join(F.broadcast(own), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("y") == F.col("_y"))).select("place", "y", "text")
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                x, many = passages(part.column(0))
-                first = np.cumsum(many) - many
-                bags = [x[a : a + n][np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(int))].astype(np.float32).tobytes() for a, n in zip(first, many)]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
-
-    got = arrowed(texts, run, "doc_id long, y double, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    if not got.num_rows:
-        return None
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in got["bag"].to_pylist()]
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), got["y"].to_numpy())
+        for part, text in text_slices(batches, 2):
+            x, n, words, size = passages(text)
+            a, b = np.cumsum(n), np.cumsum(size)
+            cut = lambda flat, stop: [flat[lo:hi].tobytes() for lo, hi in zip(np.append(0, stop[:-1]), stop)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(x.astype(np.float32), a), pa.binary()), pa.array(cut(words, b[a - 1]), pa.binary()), pa.array(cut(size.astype(np.int32), a), pa.binary())], names=["place", "y", "x", "words", "size"])
+
+    # rows that repeat a whole document give the same bag
+    got = arrowed(rows, run, "place long, y double, x binary, words binary, size binary").dropDuplicates(["place"]).toArrow().sort_by("place")
+    x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["x"].to_pylist()]
+    whole = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in got[name].to_pylist()])
+    return np.concatenate(x).astype(float), np.array([len(b) for b in x]), whole("words", np.uint16).astype(np.int64), whole("size", np.int32).astype(np.int64), got["y"].to_numpy()
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """The network, from labels (doc_id, quality) outside the held-out fold; None
+    without labels or with no text for them, when every score is 0.5."""
+    got = sample_of(docs, labels, sample)
+    return fit(*got) if got else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,11 +232,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
 
     def run(batches):
         w = held.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                s = score(w, *passages(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+        for part, text in text_slices(batches, at):
+            s = score(w, *passages(text))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return arrowed(src, run, schema)
 
@@ -197,7 +244,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
 
     Null and empty texts are a bag with one empty passage and get a score as
     well; rows with a null id are scored and not held out; repeated rows score
-    alike. Null labels teach nothing; labels given twice count twice. An empty
+    alike. Null labels teach nothing; labels given twice count once. An empty
     table gives no rows; other columns are not looked at.
     """
     out = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, sample, threshold)

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.frames import fold
-from seqloom.llm.jaccard import signed, text_slices
-from seqloom.llm.words import hashed_words, mix64
+from seqloom.llm.jaccard import signed
+from seqloom.llm.words import hashed_words, mix64, text_slices
 from seqloom.session import arrowed, materialize
 
 MIN_CONTEXT = 5

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -22,6 +23,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = 1 << 20
 
 
+def text_slices(batches, text: int, step: int = 256, most: int = 1 << 21):
+    """(slice of a batch, its text column): at most `step` rows and about `most`
+    bytes of text at a time, or one longer text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end, lo = np.cumsum(size), 0
+        while lo < batch.num_rows:
+            fits = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, side="right"))
+            hi = max(min(lo + step, fits), lo + 1)
+            part = batch.slice(lo, hi - lo)
+            yield part, part.column(text)
+            lo = hi
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     h = h ^ (h >> np.uint64(33))

@@ -368,14 +368,71 @@ def test_quality_learns_and_scores_every_text(spark):
     assert {r.score for r in quality.quality_of(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_quality_gradient():
-    rng = np.random.default_rng(0)
+def bags(seed=0):
+    rng = np.random.default_rng(seed)
     many = np.array([3, 1, 5])
-    x, y = rng.normal(size=(9, quality.FEATURES)), np.array([1.0, 0.0, 1.0])
-    w = quality.fit(np.tile(x, (40, 1)), np.tile(many, 40), np.tile(y, 40))
-    assert ((quality.score(w, x, many) >= 0.5) == y).all()
-    att = quality.forward(w, x, many)[3]
-    assert np.allclose(np.add.reduceat(att, [0, 3, 4]), 1)
+    size = np.array([4, 0, 2, 3, 1, 1, 7, 2, 5])
+    return rng.normal(size=(9, quality.FEATURES)), many, rng.integers(0, quality.BUCKETS, size.sum()), size, np.array([1.0, 0.0, 1.0])
+
+
+def test_quality_gradient():
+    """The gradients of every layer are those of small steps; attention sums to 1."""
+    x, many, words, size, y = bags()
+    w = quality.fit(np.tile(x, (20, 1)), np.tile(many, 20), np.tile(words, 20), np.tile(size, 20), np.tile(y, 20))
+    assert ((quality.score(w, x, many, words, size) >= 0.5) == y).all()
+    assert np.allclose(np.add.reduceat(quality.forward(w, x, many, words, size)["att"], [0, 3, 4]), 1)
+    rng = np.random.default_rng(1)
+    w = {k: v + 0.1 * rng.normal(size=v.shape) if k not in ("mean", "scale", "use") else v for k, v in w.items()}
+    w["c"], w["d"] = w["c"] * 0.1, w["d"] * 0.1
+    loss = lambda w: -np.mean(y * np.log(p := quality.score(w, x, many, words, size)) + (1 - y) * np.log(1 - p))
+    grad = quality.gradients(w, x, many, words, size, y)
+    for name, g in grad.items():
+        for _ in range(6):
+            at = (int(rng.choice(words)), int(rng.integers(quality.WIDTH))) if name == "E" else tuple(int(rng.integers(n)) for n in g.shape)
+            up, down = ({**w, name: w[name].copy()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-8), name
+
+
+def test_quality_scores_equal_a_plain_forward_pass(docs):
+    """One passage and one word at a time, without matrices."""
+    import pyarrow as pa
+
+    texts = [r.text for r in docs.collect()]
+    x, many, words_, size = quality.passages(pa.array(texts))
+    w = quality.fit(x, many, words_.astype(int), size, np.array([len(t or "") % 2 for t in texts], float))
+    got = quality.score(w, x, many, words_, size)
+    at = 0
+    for t, n, s in zip(texts, many, got):
+        all_words, reps, gates = words(t), [], []
+        assert n == max(1, -(-len(all_words) // quality.PASSAGE))
+        for k in range(n):
+            own = all_words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+            hashes = hashed_words(pa.array([b" ".join(own).decode("utf-8", "replace")]))[0] if own else []
+            mean = sum((w["E"][int(h) >> 51] for h in hashes), np.zeros(quality.WIDTH)) / max(len(own), 1)
+            h = np.tanh(np.append((x[at] - w["mean"]) / w["scale"], mean) @ w["W"] + w["b"])
+            reps.append(h)
+            gates.append(float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]))
+            at += 1
+        weight = np.exp(np.array(gates) - max(gates))
+        z = (weight[:, None] * np.array(reps)).sum(0) / weight.sum()
+        assert math.isclose(s, 1 / (1 + math.exp(-float(z @ w["c"] + w["d"][0]))), rel_tol=1e-9)
+
+
+def test_quality_knows_words(spark):
+    """Labels that only the words tell: the same lengths, classes and marks."""
+    rnd = random.Random(6)
+    good, bad = (["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(30)] for _ in range(2))
+    rows = [(i, " ".join(rnd.choice(good if i % 2 or rnd.random() < 0.5 else bad) for _ in range(90)), "x") for i in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0], (1, rows[0][1], "x")], "doc_id long, text string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    scores = lambda d, l: sorted((r.doc_id, r.held_out, round(r.score, 9)) for r in quality.quality_of(d, l).collect())
+    got = scores(docs, labels)
+    held = [(i, s) for i, h, s in got if h]
+    assert sum((s >= 0.5) == (i % 2 == 1) for i, s in held) >= 0.9 * len(held)
+    assert got == scores(docs.repartition(5), labels.union(labels))
+    assert quality.quality_of(docs.limit(0), labels).count() == 0
 
 
 def test_suffix_tree(docs, none):
