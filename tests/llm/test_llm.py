@@ -468,10 +468,22 @@ def test_suffix_tree_states_sum_to_one(spark):
         assert math.isclose(sum(10 ** log_p[1::2]) + back * (1 - (100 + 0.5 * 4) / (100 + 0.5 * 5)), 1, rel_tol=1e-9) and not root.any() and unseen > 0
 
 
+def prose(rnd, vocab, n):
+    return " ".join(rnd.choice(vocab) for _ in range(n))
+
+
+def invented(seed, n=300):
+    rnd = random.Random(seed)
+    parts = ["ra", "lo", "ten", "mi", "sur", "ve", "kal", "do", "ning", "est", "or", "ti"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(2, 4))) for _ in range(n)]
+
+
 def test_secrets(spark):
     key = hashlib.sha1(b"x").hexdigest()
-    text = f'plain words here token = "{key}" and Thehedtionoughtable 4845168114407329 mail.50@mail6.example.com é {key[:10]}'
-    rows = [(1, text, 5, 7), (2, None, 1, 1), (3, "", 0, 0), (4, "x" * 5000, 5000, 2), (None, text, 1, 1), (1, text, 5, 7), (5, f"password={key.upper()}", 3, 3)]
+    vocab, rnd = invented(1), random.Random(2)
+    fill = prose(rnd, vocab, 4000)
+    text = f'plain words here token = "{key}" and {vocab[0]}{vocab[1]}{vocab[2]}{vocab[3]} 4845168114407329 mail.50@mail6.example.com é {key[:10]}'
+    rows = [(1, text, 5, 7), (2, None, 1, 1), (3, "", 0, 0), (4, "x" * 5000, 5000, 2), (None, text, 1, 1), (1, text, 5, 7), (5, f"password={key.upper()}", 3, 3), (6, fill, 1, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, start long")
     got = secretscan.scanned(df).collect()
     hits = [r for r in got if r.is_secret]
@@ -484,6 +496,43 @@ def test_secrets(spark):
     assert secretscan.scanned(df.limit(0)).count() == 0
 
 
+def test_secrets_of_many_kinds_are_told_from_what_looks_alike(spark):
+    """Precision and recall on planted keys and passwords that no training row
+    holds: short ones, ones with signs and ones of a single case among them."""
+    rnd = random.Random(21)
+    vocab = invented(3)
+    some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rows, planted, harmless = [], set(), set()
+    for i in range(600):
+        name = rnd.choice(["token", "password", "api_key", "secret", "client_secret"])
+        secret, before, after = [
+            (some(low + up + dig, rnd.randint(20, 40)), f'{name} = "', '"'), (some("0123456789abcdef", 40), f"{name}: ", " "), ("AKIA" + some(up + "234567", 16), f"{name}=", " "),
+            ("AKIA" + some(up, 16), f"{name}=", " "), (some(low + up + dig + "!$#&*", rnd.randint(9, 15)) + "7", "password = ", " "), (some(low, 3) + "!" + some(up + dig, 9), 'pwd: "', '"'),
+        ][i % 6]
+        words_ = [rnd.choice(vocab) for _ in range(4)]
+        other = [f"{''.join(words_)}", f"/usr/{'/'.join(words_)}/{some(dig, 3)}", f"https://www.{words_[0]}.com/{words_[1]}/{some(dig, 4)}.html", f"{words_[0]}.{words_[1]}@mail.{words_[2]}.org", some(dig, 16), f"{words_[0]}_{words_[1]}_{words_[2]}_{words_[3]}"][i % 6]
+        rows.append((i, f"{prose(rnd, vocab, 40)} {before}{secret}{after} {prose(rnd, vocab, 20)} {other} {prose(rnd, vocab, 10)}"))
+        planted.add((i, hashlib.sha256(secret.encode()).hexdigest()))
+        harmless.add((i, hashlib.sha256(other.encode()).hexdigest()))
+    got = secretscan.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found, flagged = {(r.doc_id, r.secret_sha256) for r in got}, {(r.doc_id, r.secret_sha256) for r in got if r.is_secret}
+    assert planted <= found  # no gate before the forest
+    assert len(planted & flagged) >= 0.95 * len(planted)
+    assert len(flagged - planted) <= 0.03 * len(rows)
+
+
+def test_places_of_many_candidates(spark):
+    """Texts with more candidates than a block: each start is where the text has it."""
+    rnd = random.Random(4)
+    text = "é".join(f" {rnd.randrange(10**18, 10**19)}{'=' * (i % 3)}" for i in range(1500)) + ' secret="a!b!c!d!e!" end'
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = sorted((r.start, r.text, r.before, r.after) for r in secretscan.candidates(df, "doc_id").collect())
+    want = [(m.start(), m[0]) for m in re.finditer(r"\d{19}={0,2}", text)]
+    assert [(a, b) for a, b, *_ in got[:-1]] == want and got[-1][1] == "a!b!c!d!e!" and got[-1][3] == '" end'
+    assert all(text[: a].endswith(x) and text[a + len(t) :].startswith(y) and (len(x) > 20 or a < 48) for a, t, x, y in got)
+
+
 def test_url_graph(spark):
     pages = [(1, "http://good.example.com/en/7", '<a href="http://b.org/x">'), (2, "http://b.org/x", "<a href='http://D.org/'>"), (3, "http://bad.com/en/x?q", None), (4, "http://spam.org/", '<a href="http://bad.com/">'), (5, None, None), (6, "no host", "x"), (7, "HTTP://d.ORG#f", ""), (8, "http://xcom/en/", None), (9, "http://a.example.net/de/81", None), (9, "http://a.example.net/de/81", None), (None, "http://q.org/es/", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS rule")
