@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,27 +87,27 @@ def released(run):
     return wrapped
 
 
-def written() -> int:
-    """How many tables materialize() has written so far."""
-    return len(_to_drop)
+def written() -> list[str]:
+    """The tables that materialize() has written from this thread and that are there."""
+    return [path for _, path, thread in _to_drop if thread == threading.get_ident()]
 
 
-def drop_written(since: int, keep: int = 1) -> None:
-    """Deletes the tables written after the first `since`, but for the last
-    `keep`: for callers that have written what they made of them."""
-    last = len(_to_drop) - keep
-    for spark, path in _to_drop[since:last]:
+def drop_written(keep: list[str]) -> None:
+    """Deletes the tables of written() that are not among keep: for callers that
+    have written what they made of them."""
+    for path in set(written()) - set(keep):
+        at = next(i for i, x in enumerate(_to_drop) if x[1] == path)
+        spark, *_ = _to_drop.pop(at)
         _drop(spark, path)
-    del _to_drop[since:last]
 
 
-_to_drop: list[tuple[SparkSession, str]] = []
+_to_drop: list[tuple[SparkSession, str, int]] = []
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     if not _to_drop:
         atexit.register(_drop_all)
-    _to_drop.append((spark, path))
+    _to_drop.append((spark, path, threading.get_ident()))
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -115,7 +116,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def _drop_all() -> None:
-    for spark, path in _to_drop:
+    for spark, path, _ in _to_drop:
         try:
             _drop(spark, path)
         except Exception:  # the session has ended: its folder is the cluster's to clear
