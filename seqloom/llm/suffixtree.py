@@ -4,11 +4,12 @@ A state of the tree is a context of words, as long as contexts of the length
 before were retained. A context is a candidate when it occurs MIN_CONTEXT times
 in the training texts, and keeps explicit next words that occur MIN_EDGE times
 after it; the rest of its mass falls back to the next shorter state in
-proportion, so every state's next-word probabilities sum to 1. No context is a candidate whose suffix
-always has one and the same next word. A candidate is retained when its distribution diverges from that of its longest retained
+proportion, so every state's next-word probabilities sum to 1. No context is a
+candidate whose suffix always has one and the same next word. A candidate is
+retained when its distribution diverges from that of its longest retained
 suffix: its count times the Kullback-Leibler divergence exceeds what its free
-parameters cost. A text is scored with the longest retained suffix before each
-token.
+parameters cost. Contexts get longer until the states of a length gain less than
+LEAST_GAIN. A text is scored with the longest retained suffix before each token.
 
 Both floors are counts, so what is learned grows with the corpus. Contexts and
 next words are rows of tables, under a hash of their words. The logarithm of a
@@ -22,6 +23,7 @@ table has. All others are found by a join.
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,13 @@ from pyspark.sql import functions as F
 from seqloom.llm.frames import fold
 from seqloom.llm.jaccard import signed
 from seqloom.llm.words import hashed_words, mix64, text_slices
-from seqloom.session import arrowed, materialize
+from seqloom.session import arrowed, drop_written, materialize, written
 
 MIN_CONTEXT = 5
 MIN_EDGE = 2
+#: Contexts grow until the states of a length save less than this part of the
+#: training texts' code length under the words' own probabilities.
+LEAST_GAIN = 1e-3
 HEAD = 1 << 20
 FILTER = 28
 DISCOUNT = 0.5
@@ -42,7 +47,10 @@ FOLDS, HELD = 5, 1
 BUFFER = 1 << 21
 #: The end token; a word hashes to it with probability 2^-64.
 END = np.uint64(0x454E444F46444F43)
-RUN = np.uint64(0x5851F42D4C957F2D)
+#: The hash of a run of words is the polynomial of its words' hashes in BASE,
+#: modulo 2^64; both numbers are odd, and each the other's inverse.
+BASE = 0xA0761D6478BD642F
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def token_stream(text) -> tuple[np.ndarray, np.ndarray]:
@@ -58,36 +66,49 @@ def token_stream(text) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def longer(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The hash of a run of words, from those of the runs without its last and
-    without its first word."""
-    return mix64(first ^ RUN) + last
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def runs(tokens: np.ndarray, size: np.ndarray, most: int):
-    """(hash of the run of that length that ends at each token, whether it lies
-    within one text) for each length up to most."""
-    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-    h = tokens
-    for n in range(1, most + 1):
-        yield h, pos >= n - 1
-        before = np.zeros_like(h)
-        before[1:] = h[:-1]
-        h = longer(before, h)
+class Runs:
+    """The hashes of all runs of words of some texts, each by two sums."""
 
+    def __init__(self, tokens: np.ndarray, size: np.ndarray):
+        self.size, self.start = size, np.cumsum(size) - size
+        self.pos = np.arange(len(tokens)) - np.repeat(self.start, size)
+        self.up = powers(BASE, len(tokens))
+        self.sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * powers(INVERSE, len(tokens)), out=self.sums[1:])
 
-def counted(batches, keys_of, names=("key",)):
-    """Batches of names and n: what keys_of returns (arrays, the first of which
-    tells rows apart), counted within buffers of bounded size."""
+    def ends(self, n: int) -> np.ndarray:
+        """Where runs of n words end that lie within one text."""
+        return np.flatnonzero(self.pos >= n - 1)
+
+    def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of the runs of n words that end there."""
+        return self.up[at] * (self.sums[at + 1] - self.sums[at + 1 - n])
+
+
+def counted(parts, keys_of, names=("key",)):
+    """Batches of names and n: the rows that keys_of returns for each part (arrays,
+    the first of which tells rows apart), counted within buffers of bounded size."""
     held, size = [], 0
 
     def flush():
         columns = [np.concatenate(x) for x in zip(*held)]
-        _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*[signed(c[first]) for c in columns[-len(names):]], pa.array(n, pa.int64())], names=[*names, "n"])
-
-    for _, text in text_slices(batches, 0):
-        keys = keys_of(text)
+        if len(columns) == 1:
+            key, n = np.unique(columns[0], return_counts=True)
+            return pa.RecordBatch.from_arrays([signed(key), pa.array(n, pa.int64())], names=[*names, "n"])
+        order = np.argsort(columns[0])
+        key = columns[0][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        n = np.diff(np.append(first, len(key)))
+        return pa.RecordBatch.from_arrays([signed(key[first]), *[signed(c[order[first]]) for c in columns[1:]], pa.array(n, pa.int64())], names=[*names, "n"])
+
+    for part in parts:
+        keys = keys_of(part)
         held.append(keys)
         size += len(keys[0])
         if size > BUFFER:
@@ -97,96 +118,29 @@ def counted(batches, keys_of, names=("key",)):
         yield flush()
 
 
-def lookup(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index in a sorted table, -1 where x is not in it."""
-    if not len(table):
-        return np.full(len(x), -1, np.int64)
-    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[i] == x, i, -1)
-
-
-class Tree:
-    """The same model in memory, which the tests hold the tables against.
-
-    words: sorted hashes of the words frequent enough for an edge, with their
-    counts. levels[d]: the retained contexts of d + 1 words.
-
-    A context is (state of its suffix without the last word, last word) by
-    number; contexts are told apart by codes built from word numbers, an edge
-    by its context's number and its next word's."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.log_root = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        self.codes: list[np.ndarray] = []  # candidate contexts of each length, sorted codes
-        self.n: list[np.ndarray] = []
-        self.kept: list[np.ndarray] = []
-        self.back: list[np.ndarray] = []
-        self.edges: list[np.ndarray] = []  # sorted codes of explicit next words
-        self.log_p: list[np.ndarray] = []
-
-    @property
-    def base(self) -> int:
-        return len(self.words) + 1
-
-    def contexts(self, w: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """Number of the candidate context of `depth` words before each token, -1 if none."""
-        code = np.zeros(len(w), np.int64)
-        ok = np.ones(len(w), bool)
-        for j in range(depth, 0, -1):
-            before = np.full(len(w), -1, np.int64)
-            before[j:] = w[:-j]
-            ok &= (before >= 0) & (np.arange(len(w)) - first >= j)
-            code = code * self.base + np.maximum(before, 0)
-        return np.where(ok, lookup(self.codes[depth - 1], code), -1)
-
-    def score(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, without the root's if rest; whether the root's is
-        still to be added) of each token, given word numbers (-1: rare)."""
-        left = np.ones(len(w), bool)
-        out = np.zeros(len(w))
-        for depth in range(len(self.codes), 0, -1):
-            c = self.contexts(w, first, depth)
-            out, left = self.step(depth, c, w, out, left)
-        known = left & (w >= 0)
-        out[known] += self.log_root[w[known]]
-        return out, left & ~known
-
-    def step(self, depth: int, c: np.ndarray, w: np.ndarray, out: np.ndarray, left: np.ndarray):
-        at = np.flatnonzero(left & (c >= 0))
-        at = at[self.kept[depth - 1][c[at]]]
-        e = np.where(w[at] >= 0, lookup(self.edges[depth - 1], c[at] * self.base + np.maximum(w[at], 0)), -1)
-        hit = e >= 0
-        out[at[hit]] += self.log_p[depth - 1][e[hit]]
-        left[at[hit]] = False
-        out[at[~hit]] += self.back[depth - 1][c[at[~hit]]]
-        return out, left
-
-    def add(self, codes: np.ndarray, n: np.ndarray, edge: np.ndarray, count: np.ndarray) -> None:
-        """Adds the candidates of the next length: sorted codes and their counts,
-        and their edges (context number * base + word), sorted, with counts."""
-        depth = len(self.codes) + 1
-        ctx, w = edge // self.base, edge % self.base
-        p = np.maximum(count - DISCOUNT, 0) / n[ctx]
-        # the next shorter state's probability of each explicit next word
-        log_q = np.zeros(len(edge))
-        left = np.ones(len(edge), bool)
-        for d in range(depth - 1, 0, -1):
-            suffix = lookup(self.codes[d - 1], codes[ctx] % self.base**d)
-            log_q, left = self.step(d, suffix, w, log_q, left)
-        log_q[left] += self.log_root[w[left]]
-        q = 10.0**log_q
-        own = np.bincount(ctx, weights=p, minlength=len(codes))
-        shorter = np.bincount(ctx, weights=q, minlength=len(codes))
-        rest, below = np.maximum(1 - own, 1e-12), np.maximum(1 - shorter, 1e-12)
-        kl = np.bincount(ctx, weights=p * np.log(np.maximum(p, 1e-300) / q), minlength=len(codes)) + rest * np.log(rest / below)
-        cost = 0.5 * (np.bincount(ctx, minlength=len(codes)) + 1) * np.log(np.maximum(n, 2))
-        self.codes.append(codes)
-        self.n.append(n)
-        self.kept.append(n * kl > cost)
-        self.back.append(np.log10(rest / below))
-        self.edges.append(edge)
-        self.log_p.append(np.log10(np.maximum(p, 1e-300)))
+class Table:
+    """Places of keys in a sorted list. Most are told by one look: a slot for the
+    low bits of a key names the most frequent one there."""
+
+    def __init__(self, keys: np.ndarray, weight: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        bits = max(8, int(2 * len(keys)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        by = np.argsort(weight[order], kind="stable").astype(np.int32)
+        self.slot[(self.keys[by] & self.mask).astype(np.int64)] = by  # the last one written stays
+        self.order = order
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place in keys, -1 where x is not in it."""
+        if not len(self.keys):
+            return np.full(len(x), -1, np.int64)
+        at = self.slot[(x & self.mask).astype(np.int64)].astype(np.int64)
+        other = np.flatnonzero((at >= 0) & (self.keys[at] != x))
+        i = np.minimum(np.searchsorted(self.keys, x[other]), len(self.keys) - 1)
+        at[other] = np.where(self.keys[i] == x[other], i, -1)
+        return at
 
 
 def filter_of(df: DataFrame, key: str) -> np.ndarray:
@@ -194,9 +148,9 @@ def filter_of(df: DataFrame, key: str) -> np.ndarray:
     so many that few texts are kept for runs that they do not hold."""
     bits = min(max(FILTER - 2, (16 * df.count()).bit_length()), FILTER)
     at = df.select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("set")).toPandas()
+    rows = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("set")).toArrow()
     out = np.zeros((1 << (bits - 15), 4096), np.uint8)
-    for block, part in zip(rows["block"], rows["set"]):
+    for block, part in zip(rows["block"].to_pylist(), rows["set"].to_pylist()):
         out[block] = np.frombuffer(part, np.uint8)
     return out.reshape(-1)
 
@@ -218,57 +172,85 @@ def frequent(df: DataFrame, most: int) -> DataFrame:
     return df.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-def with_hashes(found: DataFrame) -> DataFrame:
-    """found (ctx, shorter, n) with key, the run's own hash."""
-
-    def run(batches):
-        for b in batches:
-            ctx, shorter = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, signed(longer(ctx, shorter))], names=["ctx", "shorter", "n", "key"])
-
-    return arrowed(found.select("ctx", "shorter", "n"), run, "ctx long, shorter long, n long, key long")
-
-
-def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> tuple[DataFrame | None, int]:
-    """((key, value, n) of the runs with a value, words of the longest): one pass
-    over the training texts for each context length, until no candidate of a
-    length is retained."""
+def texts_of(batches):
+    """(tokens, tokens per text) of slices of texts."""
+    for _, text in text_slices(batches, 0):
+        yield token_stream(text)
+
+
+def lists_of_tokens(batches):
+    """The same of lists of hashes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.column(0).slice(lo, 1024)
+            yield part.flatten().to_numpy(zero_copy_only=False).view(np.uint64), part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def passages_kept(run: Runs, length: int, active: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the passages whose neighbouring words are all frequent
+    pairs, with the word after each, for those that hold an active run. A run that
+    is frequent lies within one such passage, as all of its pairs are frequent."""
+    joined = np.zeros(len(run.pos) + 1, bool)
+    at = run.ends(2)
+    joined[at] = maybe(pairs, run(at, 2))  # with the word before
+    first = np.flatnonzero(~joined[:-1])
+    stop = np.append(first[1:], len(run.pos))
+    holds = np.zeros(len(run.pos) + 1, np.int64)
+    np.cumsum(np.bincount(active, minlength=len(run.pos)), out=holds[1:])
+    some = (holds[stop] > holds[first]) & (stop - first >= length)
+    first, stop = first[some], stop[some]
+    more = np.append(run.pos, 0)[stop] > 0  # the next word is of the same text
+    return first, stop + more - first
+
+
+def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE, least_gain: float = LEAST_GAIN) -> tuple[DataFrame | None, int]:
+    """((key, value, n) of the runs of all states and explicit next words, words of
+    the longest): a pass over the training texts for each context length, until
+    the states of a length gain too little or none is retained. From the third length on only passages
+    that hold a candidate are read, and they get fewer."""
     spark = train.sparkSession
     end = int(END.view(np.int64))
     least_context, least_edge = max(min_context, 2), max(min_edge, 2)
     log_root = F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))
     edges = vocabulary.where(F.col("n") >= 2).select("key", "n", log_root.alias("log_p"))
     contexts = vocabulary.where((F.col("key") != end) & (F.col("n") >= least_context)).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-    values, d = [], 0
-    while (depth is None or d < depth) and contexts.limit(1).count():
+    source, slices, pairs = train.select("text"), texts_of, None
+    code_length = -(vocabulary.agg(F.sum(F.col("n") * log_root)).first()[0] or 0.0) * log(10)
+    values, d, gained = [], 0, code_length
+    while gained > least_gain * code_length and (depth is None or d < depth) and contexts.limit(1).count():
         d += 1
-        held = spark.sparkContext.broadcast((filter_of(contexts, "ctx"), filter_of(edges, "key")))
+        held = spark.sparkContext.broadcast((filter_of(contexts, "ctx"), filter_of(edges, "key"), pairs))
 
-        def run(batches, d=d, held=held):
-            wanted, often = held.value
+        def run(batches, d=d, held=held, slices=slices):
+            wanted, often, _ = held.value
 
-            def keys(text):
-                tokens, size = token_stream(text)
-                *_, (h, inside), (key, ok) = runs(tokens, size, d + 1)
-                state, next_ = inside & maybe(wanted, h), inside & maybe(often, h)
+            def keys(part):
+                of = Runs(*part)
+                state, next_ = (np.zeros(len(of.pos), bool) for _ in range(2))
+                at = of.ends(d)
+                h = of(at, d)
+                state[at], next_[at] = maybe(wanted, h), maybe(often, h)
                 # next words of candidates, and longer candidates
-                at = np.flatnonzero(ok[1:] & (state[:-1] & next_[1:] | state[1:])) + 1
-                return key[at], h[at - 1], h[at]
-
-            yield from counted(batches, keys, ("ctx", "shorter"))
-
-        def holding(batches, d=d, held=held):
-            wanted, _ = held.value
-            for part, text in text_slices(batches, 0):
-                tokens, size = token_stream(text)
-                *_, (h, inside) = runs(tokens, size, d)
-                hit = np.add.reduceat(inside & maybe(wanted, h), np.cumsum(size) - size, dtype=np.int64) > 0
-                yield part.filter(pa.array(hit))
-
-        if d >= 4 and d & (d - 1) == 0:  # texts without a candidate have no longer one
-            train = materialize(arrowed(train.select("text"), holding, "text string"), "holding")
-        found = arrowed(train.select("text"), run, "ctx long, shorter long, n long").groupBy("ctx", "shorter").agg(F.sum("n").alias("n"))
-        found = materialize(with_hashes(found.where(F.col("n") >= min(least_context, least_edge))), "runs")
+                at = of.ends(d + 1)
+                at = at[state[at - 1] & next_[at] | state[at]]
+                return of(at, d + 1), of(at - 1, d), of(at, d)
+
+            yield from counted(slices(batches), keys, ("key", "ctx", "shorter"))
+
+        def holding(batches, d=d, held=held, slices=slices):
+            wanted, _, pairs = held.value
+            for part in slices(batches):
+                of = Runs(*part)
+                at = of.ends(d)
+                first, size = passages_kept(of, d, at[maybe(wanted, of(at, d))], pairs)
+                flat = part[0][np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), signed(flat))], names=["tokens"])
+
+        if d >= 3 and (d == 3 or d & (d - 1) == 0):
+            source, slices = materialize(arrowed(source, holding, "tokens array<long>"), "holding"), lists_of_tokens
+            run.__defaults__ = (d, held, slices)
+        found = arrowed(source, run, "key long, ctx long, shorter long, n long").groupBy("key", "ctx", "shorter").agg(F.sum("n").alias("n"))
+        found = materialize(found.where(F.col("n") >= min(least_context, least_edge)), "runs")
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
         own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
         held.unpersist()
@@ -277,17 +259,19 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         rest, below = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
         gain = F.col("total") * (F.col("kl") + rest * F.log(rest / below))
         kept = gain > 0.5 * (F.col("k") + 1) * F.log("total")
-        state = materialize(state.select(F.col("ctx").alias("_ctx"), "total", F.when(kept, F.log10(rest / below)).alias("back"), (F.col("top") < F.col("total")).alias("open")), "states")
-        some = state.where("back is not null")
-        if not some.limit(1).count():
+        state = materialize(state.select(F.col("ctx").alias("_ctx"), "total", F.when(kept, F.log10(rest / below)).alias("back"), F.when(kept, gain).alias("gain"), (F.col("top") < F.col("total")).alias("open")), "states")
+        gained = state.agg(F.sum("gain")).first()[0]
+        if gained is None:
             break
+        if d == 1:
+            pairs = filter_of(found.where(F.col("n") >= least_context), "key")
         # where one next word always follows, longer contexts tell nothing more
         contexts = found.where(F.col("n") >= least_context).join(state.where("open").select(F.col("_ctx").alias("shorter")), "shorter", "left_semi")
         contexts = materialize(contexts.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "contexts")
-        edges = own.join(some.select("_ctx", "back"), F.col("ctx") == F.col("_ctx"), "left")
-        edges = edges.select("key", "n", F.when(F.col("back").isNull(), F.col("log_q")).otherwise(F.col("own")).alias("log_p"), (F.col("own") - F.col("log_q") - F.col("back")).alias("value"))
+        edges = own.join(state.select("_ctx", "back"), F.col("ctx") == F.col("_ctx"))
+        edges = edges.select("key", "n", F.when(F.col("back").isNull(), F.col("log_q")).otherwise(F.col("own")).alias("log_p"), F.coalesce(F.col("own") - F.col("log_q") - F.col("back"), F.lit(0.0)).alias("value"))
         edges = materialize(edges, "edges")
-        values += [some.select(F.col("_ctx").alias("key"), F.col("back").alias("value"), F.col("total").alias("n")), edges.where("value is not null").select("key", "value", "n")]
+        values += [state.select(F.col("_ctx").alias("key"), F.coalesce("back", F.lit(0.0)).alias("value"), F.col("total").alias("n")), edges.select("key", "value", "n")]
         del found, own, state
         spark.sparkContext._jvm.System.gc()  # the shuffles of finished passes can go
     if not values:
@@ -296,7 +280,7 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
     return materialize(every, "values"), len(values) // 2 + 1
 
 
-def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE) -> DataFrame:
+def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE, least_gain: float = LEAST_GAIN) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -310,41 +294,57 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
     train = rows.where("not held_out")
 
     def words(batches):
-        yield from counted(batches, lambda text: token_stream(text)[:1])
+        yield from counted(texts_of(batches), lambda part: part[:1])
 
     vocabulary = materialize(arrowed(train.select("text"), words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
-    values, most = learned(train, vocabulary, total, distinct, depth, min_context, min_edge)
+    before = written()
+    values, most = learned(train, vocabulary, total, distinct, depth, min_context, min_edge, least_gain)
+
+    if most:  # of all that learning wrote only the words and the values are read again
+        drop_written([*before, written()[-1]])
 
     def head(df, column):
-        rows = frequent(df, HEAD).select("key", column).toPandas()
-        key = rows["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return key[order], rows[column].to_numpy()[order]
+        rows = frequent(df, HEAD).select("key", F.col(column).alias("value"), F.col("n").alias("weight")).toArrow()
+        table = Table(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["weight"].to_numpy())
+        return table, rows["value"].to_numpy()[table.order]
 
     words_head, words_n = head(vocabulary, "n")
     log_root = np.log10((words_n + 0.5) / (total + 0.5 * (distinct + 1)))
-    runs_head, runs_value = head(values, "value") if most else (words_head[:0], log_root[:0])
-    held = spark.sparkContext.broadcast((words_head, log_root, runs_head, runs_value, filter_of(values, "key") if most else None))
+    bits = filter_of(values, "key") if most else None  # all runs, so that the end of a run that has a value is in it, too
+    values = values.where("value <> 0") if most else None
+    runs_head, runs_value = head(values, "value") if most else (None, None)
+    own = filter_of(values, "key") if most else None
+    held = spark.sparkContext.broadcast((words_head, log_root, runs_head, runs_value, bits, own))
 
     def run(batches):
-        words_head, log_root, runs_head, runs_value, bits = held.value
+        words_head, log_root, runs_head, runs_value, bits, own = held.value
         for part, text in text_slices(batches, 1, 512):
             tokens, size = token_stream(text)
-            start = np.cumsum(size) - size
+            of = Runs(tokens, size)
+            start = of.start
             owner = np.repeat(np.arange(len(size)), size)
-            w = lookup(words_head, tokens)
+            w = words_head.find(tokens)
             known = w >= 0
-            plain = np.where(known, log_root[np.maximum(w, 0)] if len(words_head) else 0.0, 0.0)
+            plain = np.where(known, log_root[np.maximum(w, 0)] if len(log_root) else 0.0, 0.0)
             log_p = plain.copy()
             more, more_owner = [], []
-            for h, inside in runs(tokens, size, most):
-                at = np.flatnonzero(inside & maybe(bits, h))
-                i = lookup(runs_head, h[at])
-                log_p[at[i >= 0]] += runs_value[i[i >= 0]]
-                more.append(h[at[i < 0]])
-                more_owner.append(owner[at[i < 0]])
+            at = np.arange(len(tokens))
+            for n in range(1, most + 1):
+                at = at[of.pos[at] >= n - 1]
+                h = of(at, n)
+                hit = maybe(bits, h)
+                end_, h = at[hit], h[hit]
+                at = at if n == 1 else end_  # a longer run can only be one whose end is
+                i = runs_head.find(h)
+                log_p[end_[i >= 0]] += runs_value[i[i >= 0]]
+                rest = np.flatnonzero(i < 0)
+                rest = rest[maybe(own, h[rest])]
+                more.append(h[rest])
+                more_owner.append(owner[end_[rest]])
+                if not len(at):
+                    break
             total_of = lambda x: np.add.reduceat(x, start)
 
             def lists(keys, of, size=size):

@@ -454,18 +454,22 @@ def test_suffix_tree_states_sum_to_one(spark):
     got = suffixtree.scored(df, min_context=1e-3, min_edge=1e-4).collect()
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)  # contexts tell the next word
-    vocabulary = df.sparkSession.createDataFrame([], "key long, n long")
-    del vocabulary
-    tree = suffixtree.Tree(np.arange(4, dtype=np.uint64), np.array([50, 30, 15, 5]), 100, 4)
-    tree.add(np.array([0, 1]), np.array([50, 30]), np.array([0 * 5 + 1, 0 * 5 + 2, 1 * 5 + 0]), np.array([40, 8, 30]))
-    assert tree.kept.pop().all()
-    tree.kept.append(np.array([True, True]))
-    for ctx in (0, 1):
-        w = np.array([x for t in range(4) for x in (ctx, t)])
-        log_p, root = tree.score(w, np.repeat(np.arange(0, 8, 2), 2))
-        unseen = 0.5 / (100 + 0.5 * 5)
-        back = 10 ** tree.back[0][ctx]
-        assert math.isclose(sum(10 ** log_p[1::2]) + back * (1 - (100 + 0.5 * 4) / (100 + 0.5 * 5)), 1, rel_tol=1e-9) and not root.any() and unseen > 0
+
+
+def test_runs_have_one_hash_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    words_ = rng.integers(0, 2**64, 5, dtype=np.uint64)
+    size = np.array([7, 1, 12])
+    picked = rng.integers(0, 5, 20)
+    of = suffixtree.Runs(words_[picked], size)
+    seen = {}
+    for n in range(1, 8):
+        for at in of.ends(n).tolist():
+            key = tuple(picked[at + 1 - n : at + 1])
+            assert seen.setdefault(int(of(np.array([at]), n)[0]), key) == key
+    assert len(set(seen.values())) == len(seen)
+    table = suffixtree.Table(words_, np.arange(5))
+    assert (table.keys[table.find(words_)] == words_).all() and (table.find(words_ + np.uint64(1)) == -1).all()
 
 
 def prose(rnd, vocab, n):
@@ -585,9 +589,13 @@ def test_suffix_tree_learns_by_count_at_every_length(spark, monkeypatch):
         kept.append(level)
     assert len(kept) == 5 and (b"alpha",) in kept[1]
     want = {i: sum(log_p(tuple(t[max(0, j - 14) : j]), w, len(kept) - 1) for j, w in enumerate(t)) for i, t in enumerate(toks)}
+    every = sorted({x for t in train for x in t}, key=str)
+    for ctx in [c for level in kept[1:] for c in list(level)[:4]]:  # with the one share of unseen words, next-word probabilities sum to 1
+        unseen = math.log10(0.5 / (n + 0.5 * (v + 1))) + sum(kept[d][ctx[-d:]][1] for d in range(1, len(ctx) + 1) if ctx[-d:] in kept[d])
+        assert math.isclose(sum(10 ** log_p(ctx, w, len(ctx)) for w in every) + 10**unseen, 1, rel_tol=1e-9)
     for head in (1 << 20, 20):
         monkeypatch.setattr(suffixtree, "HEAD", head)
-        got = {r.doc_id: r.score for r in suffixtree.scored(df, depth=4, min_context=2).collect()}
+        got = {r.doc_id: r.score for r in suffixtree.scored(df, depth=4, min_context=2, least_gain=0).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
