@@ -30,5 +30,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_written(first)
+        drop_written([*first, written()[-1]])
     return docs
