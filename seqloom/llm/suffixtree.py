@@ -91,31 +91,86 @@ class Runs:
         return self.up[at] * (self.sums[at + 1] - self.sums[at + 1 - n])
 
 
-def counted(parts, keys_of, names=("key",)):
-    """Batches of names and n: the rows that keys_of returns for each part (arrays,
-    the first of which tells rows apart), counted within buffers of bounded size."""
-    held, size = [], 0
-
-    def flush():
-        columns = [np.concatenate(x) for x in zip(*held)]
-        if len(columns) == 1:
-            key, n = np.unique(columns[0], return_counts=True)
-            return pa.RecordBatch.from_arrays([signed(key), pa.array(n, pa.int64())], names=[*names, "n"])
-        order = np.argsort(columns[0])
-        key = columns[0][order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
-        n = np.diff(np.append(first, len(key)))
-        return pa.RecordBatch.from_arrays([signed(key[first]), *[signed(c[order[first]]) for c in columns[1:]], pa.array(n, pa.int64())], names=[*names, "n"])
-
-    for part in parts:
-        keys = keys_of(part)
-        held.append(keys)
-        size += len(keys[0])
-        if size > BUFFER:
+def reduced(columns: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, told apart and sorted by their first column, and their counts."""
+    order = np.argsort(columns[0])
+    key = columns[0][order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+    many = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first) if len(key) else n
+    return [key[first], *[c[order[first]] for c in columns[1:]]], many.astype(np.int64)
+
+
+def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: int, rows: int) -> DataFrame:
+    """names (all of them hashes) and n: how often each row of keys_of (arrays, by
+    the first of which rows are told apart) comes up in all slices of source, from
+    `least` times on.
+
+    Buffers of bounded size are counted where they arise and leave as one block for
+    each range of the first column; ranges are so many that a task can hold what
+    all buffers have of one."""
+    bits = max(13, rows.bit_length() - 22)
+    blocks = ", ".join(f"{c} binary" for c in (*names, "n"))
+    space, shift = 1 << bits, np.uint64(64 - bits)
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            columns, n = reduced([np.concatenate(x) for x in zip(*held)], None)
+            cut = np.searchsorted(columns[0] >> shift, np.arange(space + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cut))
+            ends = np.append(cut[some], cut[-1])
+            block = lambda c: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(block, columns), block(n)], names=["range", *names, "n"])
+
+        for part in slices(batches):
+            keys = keys_of(part)
+            held.append(keys)
+            size += len(keys[0])
+            if size > BUFFER:
+                yield flush()
+                held, size = [], 0
+        if held:
             yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
+
+    def merged(held):
+        whole = [np.frombuffer(b"".join(x), np.uint64) for x in zip(*held)]
+        return reduced(whole[:-1], whole[-1].view(np.int64))
+
+    def merge(batches):
+        at, held, size, out = None, [], 0, []
+
+        def done():
+            columns, n = merged(held)
+            often = n >= least
+            out.append([*[c[often] for c in columns], n[often]])
+
+        def batch():
+            columns = [np.concatenate(x) for x in zip(*out)]
+            return pa.RecordBatch.from_arrays([*map(signed, columns[:-1]), pa.array(columns[-1])], names=[*names, "n"])
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for place, *row in zip(*columns):
+                if place != at and held:
+                    done()
+                    held, size = [], 0
+                    if sum(len(x[-1]) for x in out) > 100_000:
+                        yield batch()
+                        out.clear()
+                at = place
+                held.append(row)
+                size += len(row[-1])
+                if size > 8 * BUFFER:  # what is distinct may be much less
+                    columns_, n = merged(held)
+                    held, size = [[x.tobytes() for x in (*columns_, n)]], 0
+        if held:
+            done()
+        if out:
+            yield batch()
+
+    parts = arrowed(source, run, f"range int, {blocks}").repartition("range").sortWithinPartitions("range")
+    return arrowed(parts, merge, ", ".join(f"{c} long" for c in (*names, "n")))
 
 
 class Table:
@@ -221,21 +276,20 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         d += 1
         held = spark.sparkContext.broadcast((filter_of(contexts, "ctx"), filter_of(edges, "key"), pairs))
 
-        def run(batches, d=d, held=held, slices=slices):
-            wanted, often, _ = held.value
-
-            def keys(part):
-                of = Runs(*part)
-                state, next_ = (np.zeros(len(of.pos), bool) for _ in range(2))
-                at = of.ends(d)
-                h = of(at, d)
-                state[at], next_[at] = maybe(wanted, h), maybe(often, h)
-                # next words of candidates, and longer candidates
-                at = of.ends(d + 1)
-                at = at[state[at - 1] & next_[at] | state[at]]
-                return of(at, d + 1), of(at - 1, d), of(at, d)
-
-            yield from counted(slices(batches), keys, ("key", "ctx", "shorter"))
+        def keys(part, d=d, held=held):
+            wanted, often, pairs = held.value
+            of = Runs(*part)
+            state, next_ = (np.zeros(len(of.pos), bool) for _ in range(2))
+            at = of.ends(d)
+            h = of(at, d)
+            state[at], next_[at] = maybe(wanted, h), maybe(often, h)
+            # next words of candidates, and longer candidates; what comes before the last word is as frequent as these
+            frequent = state.copy()
+            if d == 2:
+                frequent[at] = maybe(pairs, h)
+            at = of.ends(d + 1)
+            at = at[state[at - 1] & next_[at] | state[at] & (frequent[at - 1] if d < 3 else True)]
+            return of(at, d + 1), of(at - 1, d), of(at, d)
 
         def holding(batches, d=d, held=held, slices=slices):
             wanted, _, pairs = held.value
@@ -248,9 +302,8 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
 
         if d >= 3 and (d == 3 or d & (d - 1) == 0):
             source, slices = materialize(arrowed(source, holding, "tokens array<long>"), "holding"), lists_of_tokens
-            run.__defaults__ = (d, held, slices)
-        found = arrowed(source, run, "key long, ctx long, shorter long, n long").groupBy("key", "ctx", "shorter").agg(F.sum("n").alias("n"))
-        found = materialize(found.where(F.col("n") >= min(least_context, least_edge)), "runs")
+        found = materialize(summed(source, slices, keys, ("key", "ctx", "shorter"), min(least_context, least_edge), total), "runs")
+        spark.sparkContext._jvm.System.gc()  # the shuffle can go
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
         own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
         held.unpersist()
@@ -272,8 +325,6 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         edges = edges.select("key", "n", F.when(F.col("back").isNull(), F.col("log_q")).otherwise(F.col("own")).alias("log_p"), F.coalesce(F.col("own") - F.col("log_q") - F.col("back"), F.lit(0.0)).alias("value"))
         edges = materialize(edges, "edges")
         values += [state.select(F.col("_ctx").alias("key"), F.coalesce("back", F.lit(0.0)).alias("value"), F.col("total").alias("n")), edges.select("key", "value", "n")]
-        del found, own, state
-        spark.sparkContext._jvm.System.gc()  # the shuffles of finished passes can go
     if not values:
         return None, 0
     every = reduce(DataFrame.union, values).groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
@@ -293,10 +344,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), fold(FOLDS, HELD).alias("held_out"), F.monotonically_increasing_id().alias("row"))
     train = rows.where("not held_out")
 
-    def words(batches):
-        yield from counted(texts_of(batches), lambda part: part[:1])
-
-    vocabulary = materialize(arrowed(train.select("text"), words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = materialize(summed(train.select("text"), texts_of, lambda part: part[:1], ("key",), 1, 1 << 32), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     before = written()
