@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import threading
@@ -43,14 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str = "part") -> DataFrame:
+def materialize(df: DataFrame, label: str = "part", sweep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the plan above starts
-    from files that outlive any executor."""
+    from files that outlive any executor. sweep: after it, have the executors
+    delete the shuffles that nothing refers to any more, as those of a large df."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"seqloom-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if sweep:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Rows of an Arrow batch, where the session has Spark's default: a batch of whole
