@@ -100,10 +100,11 @@ def reduced(columns: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.nd
     return [key[first], *[c[order[first]] for c in columns[1:]]], many.astype(np.int64)
 
 
-def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: int, rows: int) -> DataFrame:
+def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: int, rows: int, more=None) -> DataFrame:
     """names (all of them hashes) and n: how often each row of keys_of (arrays, by
     the first of which rows are told apart) comes up in all slices of source, from
-    `least` times on.
+    `least` times on. more: what makes another column of the others in the end,
+    so that it need not travel.
 
     Buffers of bounded size are counted where they arise and leave as one block for
     each range of the first column; ranges are so many that a task can hold what
@@ -111,6 +112,7 @@ def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: in
     bits = max(13, rows.bit_length() - 22)
     blocks = ", ".join(f"{c} binary" for c in (*names, "n"))
     space, shift = 1 << bits, np.uint64(64 - bits)
+    out_names = [*names, *([more[0]] if more else []), "n"]
 
     def run(batches):
         held, size = [], 0
@@ -146,8 +148,9 @@ def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: in
             out.append([*[c[often] for c in columns], n[often]])
 
         def batch():
-            columns = [np.concatenate(x) for x in zip(*out)]
-            return pa.RecordBatch.from_arrays([*map(signed, columns[:-1]), pa.array(columns[-1])], names=[*names, "n"])
+            *columns, n = [np.concatenate(x) for x in zip(*out)]
+            columns += [more[1](*columns)] if more else []
+            return pa.RecordBatch.from_arrays([*map(signed, columns), pa.array(n)], names=out_names)
 
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
@@ -170,7 +173,7 @@ def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: in
             yield batch()
 
     parts = arrowed(source, run, f"range int, {blocks}").repartition("range").sortWithinPartitions("range")
-    return arrowed(parts, merge, ", ".join(f"{c} long" for c in (*names, "n")))
+    return arrowed(parts, merge, ", ".join(f"{c} long" for c in out_names))
 
 
 class Table:
@@ -289,7 +292,7 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
                 frequent[at] = maybe(pairs, h)
             at = of.ends(d + 1)
             at = at[state[at - 1] & next_[at] | state[at] & (frequent[at - 1] if d < 3 else True)]
-            return of(at, d + 1), of(at - 1, d), of(at, d)
+            return of(at, d + 1), of(at - 1, d), *([of(at, d)] if d > 1 else [])
 
         def holding(batches, d=d, held=held, slices=slices):
             wanted, _, pairs = held.value
@@ -302,8 +305,9 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
 
         if d >= 3 and (d == 3 or d & (d - 1) == 0):
             source, slices = materialize(arrowed(source, holding, "tokens array<long>"), "holding"), lists_of_tokens
-        found = materialize(summed(source, slices, keys, ("key", "ctx", "shorter"), min(least_context, least_edge), total), "runs")
-        spark.sparkContext._jvm.System.gc()  # the shuffle can go
+        # a pair's last word follows from the hashes of the pair and of its first
+        names, last = (("key", "ctx"), ("shorter", lambda key, ctx: key - ctx * np.uint64(BASE))) if d == 1 else (("key", "ctx", "shorter"), None)
+        found = materialize(summed(source, slices, keys, names, min(least_context, least_edge), total, last), "runs", sweep=True)
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
         own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
         held.unpersist()
@@ -328,7 +332,7 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
     if not values:
         return None, 0
     every = reduce(DataFrame.union, values).groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
-    return materialize(every, "values"), len(values) // 2 + 1
+    return materialize(every, "values", sweep=True), len(values) // 2 + 1
 
 
 def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_CONTEXT, min_edge: float = MIN_EDGE, least_gain: float = LEAST_GAIN) -> DataFrame:
@@ -344,7 +348,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), fold(FOLDS, HELD).alias("held_out"), F.monotonically_increasing_id().alias("row"))
     train = rows.where("not held_out")
 
-    vocabulary = materialize(summed(train.select("text"), texts_of, lambda part: part[:1], ("key",), 1, 1 << 32), "vocabulary")
+    vocabulary = materialize(summed(train.select("text"), texts_of, lambda part: part[:1], ("key",), 1, 1 << 32), "vocabulary", sweep=True)
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     before = written()
