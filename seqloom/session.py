@@ -53,6 +53,7 @@ def materialize(df: DataFrame, label: str = "part", sweep: bool = False) -> Data
     df.write.option("compression", "zstd").parquet(path)
     _drop_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
     if sweep:
         del df
         gc.collect()
@@ -108,6 +109,13 @@ def drop_written(keep: list[str]) -> None:
         _drop(spark, path)
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these."""
+    for df in tables:
+        _to_drop[:] = [x for x in _to_drop if x[1] != df.written_to]
+        _drop(df.sparkSession, df.written_to)
+
+
 _to_drop: list[tuple[SparkSession, str, int]] = []
 
 
