@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.frames import fold
 from seqloom.llm.jaccard import signed
 from seqloom.llm.words import hashed_words, mix64, text_slices
-from seqloom.session import arrowed, drop_written, materialize, written
+from seqloom.session import arrowed, drop_table, drop_written, materialize, written
 
 MIN_CONTEXT = 5
 MIN_EDGE = 2
@@ -309,7 +309,7 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         names, last = (("key", "ctx"), ("shorter", lambda key, ctx: key - ctx * np.uint64(BASE))) if d == 1 else (("key", "ctx", "shorter"), None)
         found = materialize(summed(source, slices, keys, names, min(least_context, least_edge), total, last), "runs", sweep=True)
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
-        own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts")
+        own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts", sweep=True)
         held.unpersist()
         p, q = F.pow(10.0, F.col("own")), F.pow(10.0, F.col("log_q"))
         state = own.groupBy("ctx", "total").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("kl"), F.count("*").alias("k"), F.max("n").alias("top"))
@@ -327,7 +327,8 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         contexts = materialize(contexts.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "contexts")
         edges = own.join(state.select("_ctx", "back"), F.col("ctx") == F.col("_ctx"))
         edges = edges.select("key", "n", F.when(F.col("back").isNull(), F.col("log_q")).otherwise(F.col("own")).alias("log_p"), F.coalesce(F.col("own") - F.col("log_q") - F.col("back"), F.lit(0.0)).alias("value"))
-        edges = materialize(edges, "edges")
+        edges = materialize(edges, "edges", sweep=True)
+        drop_table(found, own)
         values += [state.select(F.col("_ctx").alias("key"), F.coalesce("back", F.lit(0.0)).alias("value"), F.col("total").alias("n")), edges.select("key", "value", "n")]
     if not values:
         return None, 0
