@@ -23,7 +23,7 @@ table has. All others are found by a join.
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,21 @@ def reduced(columns: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.nd
     return [key[first], *[c[order[first]] for c in columns[1:]]], many.astype(np.int64)
 
 
+def range_bits(rows: int) -> int:
+    """Of so many rows, a range of keys has a few millions at most."""
+    return max(13, rows.bit_length() - 22)
+
+
+def blocks_of(bits: int, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """(ranges, one binary block for each of them from each column) of rows that
+    are sorted by the first column."""
+    cut = np.searchsorted(columns[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cut))
+    ends = np.append(cut[some], cut[-1])
+    block = lambda c: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))])
+    return some, [*map(block, columns)]
+
+
 def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: int, rows: int, more=None) -> DataFrame:
     """names (all of them hashes) and n: how often each row of keys_of (arrays, by
     the first of which rows are told apart) comes up in all slices of source, from
@@ -109,9 +124,8 @@ def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: in
     Buffers of bounded size are counted where they arise and leave as one block for
     each range of the first column; ranges are so many that a task can hold what
     all buffers have of one."""
-    bits = max(13, rows.bit_length() - 22)
+    bits = range_bits(rows)
     blocks = ", ".join(f"{c} binary" for c in (*names, "n"))
-    space, shift = 1 << bits, np.uint64(64 - bits)
     out_names = [*names, *([more[0]] if more else []), "n"]
 
     def run(batches):
@@ -119,11 +133,8 @@ def summed(source: DataFrame, slices, keys_of, names: tuple[str, ...], least: in
 
         def flush():
             columns, n = reduced([np.concatenate(x) for x in zip(*held)], None)
-            cut = np.searchsorted(columns[0] >> shift, np.arange(space + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(cut))
-            ends = np.append(cut[some], cut[-1])
-            block = lambda c: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))])
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *map(block, columns), block(n)], names=["range", *names, "n"])
+            some, made = blocks_of(bits, [*columns, n])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *made], names=["range", *names, "n"])
 
         for part in slices(batches):
             keys = keys_of(part)
@@ -373,6 +384,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
 
     def run(batches):
         words_head, log_root, runs_head, runs_value, bits, own = held.value
+        asked, waiting = ([], []), 0
         for part, text in text_slices(batches, 1, 512):
             tokens, size = token_stream(text)
             of = Runs(tokens, size)
@@ -399,28 +411,95 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
                 if not len(at):
                     break
             total_of = lambda x: np.add.reduceat(x, start)
-
-            def lists(keys, of, size=size):
-                order = np.argsort(of, kind="stable")
-                ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(size))))
-                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(keys[order]))
-
             rare = np.flatnonzero(~known)
+            row = part.column(3).to_numpy()
+            for kind, keys, of_ in ((0, tokens[rare], owner[rare]), (1, np.concatenate([tokens[:0], *more]), np.concatenate([owner[:0], *more_owner]))):
+                asked[kind].append((keys, row[of_]))
+            waiting += sum(len(x[-1][0]) for x in asked)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), part.column(3), pa.array(size, pa.int64()), pa.array(total_of(known.astype(np.int64))), pa.array(total_of(plain)), pa.array(total_of(log_p)),
-                 lists(tokens[rare], owner[rare]), lists(np.concatenate([tokens[:0], *more]), np.concatenate([owner[:0], *more_owner]))],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rare", "more"])
-
-    part = arrowed(rows, run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, more array<long>")
-    part = materialize(part, "scored")
-    # rare words: both scores take the root's probability, with the count from the vocabulary
-    log_root = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1)))
-    rare = part.select("row", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
-    rare = rare.select("row", log_root.alias("base"), F.lit(0.0).alias("gain"), F.col("n").isNotNull().cast("long").alias("known"))
+                [pa.array(row % (2 << bits_of), pa.int32()), pa.array(np.full(len(row), 2), pa.int32()), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.int64()), part.column(3), part.column(0), part.column(2),
+                 pa.array(size, pa.int64()), pa.array(total_of(known.astype(np.int64))), pa.array(total_of(plain)), pa.array(total_of(log_p))], names=names)
+            if waiting > BUFFER:
+                yield from sent(asked)
+                asked, waiting = ([], []), 0
+        yield from sent(asked)
+
+    names = ["range", "kind", "a", "b", "first", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = "range int, kind int, a binary, b binary, first long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    bits_of = range_bits(total)
+
+    def block_rows(kind: int, words: bool, columns: list[np.ndarray], first: int) -> pa.RecordBatch:
+        ranges, (a, b) = blocks_of(bits_of, columns)
+        ranges = ranges + (0 if words else 1 << bits_of)
+        n = len(ranges)
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(np.full(n, kind), pa.int32()), a, b, pa.array(np.full(n, first), pa.int64()), *[pa.nulls(n, k) for k in kinds]], names=names)
+
+    def sent(asked):
+        """The keys that no broadcast table has, by range, with the rows that ask."""
+        for kind, held in enumerate(asked):
+            keys, row = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(keys):
+                order = np.argsort(keys)
+                yield block_rows(1, kind == 0, [keys[order], (row[order] - row.min()).astype(np.int32)], row.min())
+
+    def offered(words):
+        def run(batches):
+            for b in batches:
+                key = b.column(0).to_numpy().view(np.uint64)
+                order = np.argsort(key)
+                yield block_rows(0, words, [key[order], b.column(1).to_numpy()[order]], 0)
+
+        return run
+
+    def answer(batches):
+        """Of each range first what is offered, then what is asked. Partial sums by
+        row leave when they are many."""
+        at, keys, value, found, many = None, [], [], [], 0
+
+        def sums():
+            row, base, gain, known = (np.concatenate(x) for x in zip(*found))
+            rows_, of = np.unique(row, return_inverse=True)
+            add = lambda w: np.bincount(of, weights=w, minlength=len(rows_))
+            return pa.RecordBatch.from_arrays([pa.array(rows_), *[pa.nulls(len(rows_), k) for k in kinds[1:4]], pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(add(gain))], names=names[5:])
+
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            texts = np.flatnonzero(kind == 2)
+            if len(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(texts)) for i in range(5, 12)], names=names[5:])
+            blocks = batch.take(pa.array(np.flatnonzero(kind < 2)))
+            for place, kind_, a, b, first in zip(*[blocks.column(i).to_pylist() for i in range(5)]):
+                if place != at:
+                    at, keys, value = place, [], []
+                if kind_ == 0:
+                    keys.append(np.frombuffer(a, np.uint64))
+                    value.append(np.frombuffer(b, np.float64))
+                    continue
+                if len(keys) != 1:
+                    whole = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                    order = np.argsort(whole)
+                    keys, value = [whole[order]], [np.concatenate(value)[order] if value else np.zeros(0)]
+                asked, row = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int32) + np.int64(first)
+                i = np.minimum(np.searchsorted(keys[0], asked), max(len(keys[0]) - 1, 0))
+                hit = keys[0][i] == asked if len(keys[0]) else np.zeros(len(asked), bool)
+                got = np.where(hit, value[0][i], 0.0) if len(keys[0]) else np.zeros(len(asked))
+                words = place < 1 << bits_of
+                plain = np.where(hit, got, unseen) if words else np.zeros(len(asked))
+                found.append((row, plain, plain if words else got, (hit & words).astype(np.int64)))
+                many += len(row)
+                if many > BUFFER:
+                    yield sums()
+                    found, many = [], 0
+        if found:
+            yield sums()
+
+    unseen = log10(0.5 / (total + 0.5 * (distinct + 1)))
+    stream = arrowed(rows, run, schema)
+    offers = [arrowed(vocabulary.select("key", F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))).alias("value")), offered(True), schema)]
     if most:
-        runs_ = part.select("row", F.explode("more").alias("key")).join(values, "key")
-        rare = rare.union(runs_.select("row", F.lit(0.0), "value", F.lit(0).cast("long")))
-    rare = rare.groupBy(F.col("row").alias("_row")).agg(F.sum("base").alias("base"), F.sum("gain").alias("gain"), F.sum("known").alias("known"))
-    out = part.drop("rare", "more").join(rare, F.col("row") == F.col("_row"), "left")
-    base, gain = F.coalesce("base", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + gain).alias("score"))
+        offers.append(arrowed(values.select("key", "value"), offered(False), schema))
+    stream = reduce(DataFrame.union, offers, stream).repartition("range").sortWithinPartitions("range", "kind")
+    got = arrowed(stream, answer, schema.partition("first long, ")[2])
+    out = got.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
