@@ -381,6 +381,7 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
     runs_head, runs_value = head(values, "value") if most else (None, None)
     own = filter_of(values, "key") if most else None
     held = spark.sparkContext.broadcast((words_head, log_root, runs_head, runs_value, bits, own))
+    del words_head, words_n, log_root, runs_head, runs_value, bits, own
 
     def run(batches):
         words_head, log_root, runs_head, runs_value, bits, own = held.value
@@ -445,10 +446,21 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
 
     def offered(words):
         def run(batches):
-            for b in batches:
-                key = b.column(0).to_numpy().view(np.uint64)
+            held, size = [], 0
+
+            def made():
+                key, value = (np.concatenate(x) for x in zip(*held))
                 order = np.argsort(key)
-                yield block_rows(0, words, [key[order], b.column(1).to_numpy()[order]], 0)
+                return block_rows(0, words, [key[order], value[order]], 0)
+
+            for b in batches:
+                held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+                size += b.num_rows
+                if size > BUFFER:
+                    yield made()
+                    held, size = [], 0
+            if held:
+                yield made()
 
         return run
 
