@@ -57,6 +57,7 @@ def materialize(df: DataFrame, label: str = "part", sweep: bool = False) -> Data
     if sweep:
         del df
         gc.collect()
+        trim()
         spark.sparkContext._jvm.System.gc()
     return out
 
@@ -75,6 +76,19 @@ def arrowed(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(released(run), schema)
 
 
+def trim() -> None:
+    """Gives this process' free memory back."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def released(run):
     """run, after which the worker gives free memory back."""
 
@@ -82,15 +96,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                return
+            trim()
 
     return wrapped
 
