@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.frames import WORD, fold
 from seqloom.llm.words import SPACE, string_buffers, text_slices, word_bounds, word_hashes
-from seqloom.session import arrowed
+from seqloom.session import arrowed, trim
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -152,7 +152,7 @@ def fit(x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray, y:
     rng = np.random.Generator(np.random.PCG64(seed))
     f = x.shape[1] + WIDTH
     w = {"E": rng.normal(0, 0.1, (BUCKETS, WIDTH)), "W": rng.normal(0, f**-0.5, (f, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "a": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
-    fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3, "use": np.ones(x.shape[1]) if use is None else use}
+    fixed = {"mean": x.mean(0, dtype=float), "scale": x.std(0, dtype=float) + 1e-3, "use": np.ones(x.shape[1]) if use is None else use}
     names = list(w)
     m, v = ({k: np.zeros_like(w[k]) for k in names} for _ in range(2))
     first, word = np.cumsum(many) - many, np.cumsum(size) - size
@@ -204,20 +204,23 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: in
             x, n, words, size = passages(text)
             a, b = np.cumsum(n), np.cumsum(size)
             cut = lambda flat, stop: [flat[lo:hi].tobytes() for lo, hi in zip(np.append(0, stop[:-1]), stop)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(x.astype(np.float32), a), pa.binary()), pa.array(cut(words, b[a - 1]), pa.binary()), pa.array(cut(size.astype(np.int32), a), pa.binary())], names=["place", "y", "x", "words", "size"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cut(x.astype(np.float16), a), pa.binary()), pa.array(cut(words, b[a - 1]), pa.binary()), pa.array(cut(size.astype(np.int32), a), pa.binary())], names=["place", "y", "x", "words", "size"])
 
     # rows that repeat a whole document give the same bag
     got = arrowed(rows, run, "place long, y double, x binary, words binary, size binary").dropDuplicates(["place"]).toArrow().sort_by("place")
-    x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["x"].to_pylist()]
+    x = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got["x"].to_pylist()]
     whole = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in got[name].to_pylist()])
-    return np.concatenate(x).astype(float), np.array([len(b) for b in x]), whole("words", np.uint16).astype(np.int64), whole("size", np.int32).astype(np.int64), got["y"].to_numpy()
+    return np.concatenate(x, dtype=np.float32), np.array([len(b) for b in x]), whole("words", np.uint16), whole("size", np.int32).astype(np.int64), got["y"].to_numpy()
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """The network, from labels (doc_id, quality) outside the held-out fold; None
     without labels or with no text for them, when every score is 0.5."""
     got = sample_of(docs, labels, sample)
-    return fit(*got) if got else None
+    w = fit(*got) if got else None
+    del got
+    trim()
+    return w
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -95,7 +95,7 @@ def features(pairs: list[float]) -> dict[str, Column]:
     part = lambda pattern: (n - F.length(F.regexp_replace(text, pattern, ""))) / n
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     last = F.lower(before)
-    table = F.array(*[F.lit(x) for x in pairs])
+    table = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<double>")  # one literal, once it is folded
     letters = F.split(F.lower(text), "")
     steps = F.zip_with(F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))), F.slice(letters, 2, F.greatest(F.size(letters) - 1, F.lit(0))), lambda x, y: F.get(table, code(x) * 27 + code(y)))
     bucket = lambda word: F.pmod(F.xxhash64(F.lower(word)), F.lit(NEIGHBOURS))
@@ -139,7 +139,7 @@ def synthetic_findings(spark: SparkSession, vocabulary: list[str], n: int = 6000
     paths, dates, versions, rules and words behind a name are not."""
     h = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    held = F.array(*[F.lit(w) for w in vocabulary])
+    held = F.split(F.lit(" ".join(vocabulary)), " ")
     word = lambda salt: F.get(held, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(vocabulary))).cast("int"))
     size = lambda salt, a, b: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(b - a)) + a).cast("int")
     digits = lambda salt: F.translate(h(salt), "abcdef", "135790")
