@@ -29,7 +29,9 @@ SAMPLE = 6000
 PASSAGES = 60_000
 BUCKETS, WIDTH = 1 << 13, 16
 HIDDEN, GATE = 32, 16
-EPOCHS, BATCH, RATE, DECAY = 16, 128, 4e-3, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 12, 128, 4e-3, 1e-4
+#: At least so many steps are taken, over however few documents.
+STEPS = 240
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -157,10 +159,10 @@ def fit(x: np.ndarray, many: np.ndarray, words: np.ndarray, size: np.ndarray, y:
     m, v = ({k: np.zeros_like(w[k]) for k in names} for _ in range(2))
     first, word = np.cumsum(many) - many, np.cumsum(size) - size
     ranges = lambda at, n: np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, max(EPOCHS, -(-STEPS // max(1, -(-len(many) // BATCH))))
+    for epoch in range(epochs):
         order = rng.permutation(len(many))
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for lo in range(0, len(order), BATCH):
             bags = order[lo : lo + BATCH]
             rows = ranges(first[bags], many[bags])
