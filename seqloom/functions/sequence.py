@@ -39,6 +39,11 @@ def packed(kmer: Column | str) -> Column:
     return F.conv(F.translate(_c(kmer), "ACGT", "0123"), 4, 10).cast("long")
 
 
+def unpacked(kmer: Column | str, k: int) -> Column:
+    """The k bases of a packed k-mer."""
+    return F.translate(F.lpad(F.conv(_c(kmer).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def kmers(seq: Column | str, k: int) -> Column:
     """array of struct(pos, kmer) of all windows of k bases."""
     s = _c(seq)

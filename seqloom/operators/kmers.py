@@ -5,29 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import canonical_kmers, is_acgt, kmers, reverse_complement
+from seqloom.functions.sequence import canonical_kmers, is_acgt, kmers, reverse_complement, unpacked
+from seqloom.operators import rolling
+from seqloom.session import arrowed
 
 
 CHUNK = 256
+#: Longer sequences are cut into overlapping pieces first, so that a batch is bounded.
+PIECE = 1 << 16
+
+
+def pieces(seqs: DataFrame, k: int, keep: list[str], seq: str, size: int) -> DataFrame:
+    """keep, _from, _chunk: sequences of at least k bases in pieces that share k - 1 bases."""
+    n = F.length(seq)
+    first = F.explode(F.sequence(F.lit(0), F.floor((n - k) / size).cast("int")))
+    rows = seqs.where(n >= k).select(*keep, seq, first.alias("_part"))
+    return rows.select(*keep, (F.col("_part") * size).alias("_from"), F.col(seq).substr(F.col("_part") * size + 1, F.lit(size + k - 1)).alias("_chunk"))
 
 
 def exploded(seqs: DataFrame, k: int, keep: list[str], seq: str = "seq", canonical: bool = True) -> DataFrame:
     """keep, pos, kmer (and rc) of all windows without other letters than ACGT.
-    Sequences are cut into overlapping chunks first: a window's place in a long
-    string costs as much as the string before it."""
+    Packed windows are rolled over whole columns; k-mers of over 31 bases are cut
+    out by SQL functions, from pieces: a window's place in a long string costs as
+    much as the string before it."""
+    if k <= rolling.LONGEST:
+        rows = pieces(seqs, k, keep, seq, PIECE)
+        kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]] + ["pos int", "kmer string"] + (["rc boolean"] if canonical else []))
+        names = [*keep, "pos", "kmer", *(["rc"] if canonical else [])]
+        return arrowed(rows, rolling.exploded(k, len(keep), canonical, names), kinds)
     f = canonical_kmers if canonical else kmers
-    n = F.length(seq)
-    first = F.explode(F.sequence(F.lit(0), F.floor((n - k) / CHUNK).cast("int")))
-    rows = seqs.where(n >= k).select(*keep, seq, first.alias("_part"))
-    rows = rows.select(*keep, (F.col("_part") * CHUNK).alias("_from"), F.col(seq).substr(F.col("_part") * CHUNK + 1, F.lit(CHUNK + k - 1)).alias("_chunk"))
-    rows = rows.select(*keep, "_from", F.explode(f("_chunk", k)).alias("x"))
+    rows = pieces(seqs, k, keep, seq, CHUNK).select(*keep, "_from", F.explode(f("_chunk", k)).alias("x"))
     rest = ["x.kmer", "x.rc"] if canonical else ["x.kmer"]
     return rows.select(*keep, (F.col("_from") + F.col("x.pos")).alias("pos"), *rest).where(is_acgt("kmer"))
 
 
 def counts(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer, n): partial sums before the shuffle keep a hot k-mer cheap."""
-    return exploded(seqs, k, [], seq).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n) of canonical k-mers: up to 31 bases they are packed and counted
+    in buffers before the shuffle, and become strings in the end."""
+    if k > rolling.LONGEST:
+        return exploded(seqs, k, [], seq).groupBy("kmer").agg(F.count("*").alias("n"))
+    rows = pieces(seqs, k, [], seq, PIECE).select("_chunk")
+    found = arrowed(rows, rolling.canonical_counts(k), "packed long, n long").groupBy("packed").agg(F.sum("n").alias("n"))
+    return found.select(unpacked("packed", k).alias("kmer"), "n")
 
 
 def spectrum(kc: DataFrame, cap: int = 1000) -> DataFrame:
@@ -68,6 +87,15 @@ def haploid_depth(kc: DataFrame, default: int = 30) -> DataFrame:
 def minimizers(seqs: DataFrame, key: str, w: int = 10, k: int = 15, seq: str = "seq") -> DataFrame:
     """(key, value, pos, rc): the smallest canonical k-mer of each w consecutive
     ones, the latest of equals; pos is its last base. Equal neighbours once."""
+    if k <= rolling.LONGEST:
+        n, kind = F.length(seq), seqs.schema[key].dataType.simpleString()
+        short = arrowed(seqs.where((n >= k) & (n <= PIECE)).select(key, seq), rolling.minimizers(w, k), f"key {kind}, value string, pos int, rc boolean")
+        return short.withColumnRenamed("key", key).union(_long_minimizers(seqs.where(n > PIECE), key, w, k, seq))
+    return _long_minimizers(seqs, key, w, k, seq)
+
+
+def _long_minimizers(seqs: DataFrame, key: str, w: int, k: int, seq: str) -> DataFrame:
+    """The same by a window over all places of a sequence."""
     rows = exploded(seqs, k, [key], seq).withColumn("at", F.col("pos") + k - 1)
     over = Window.partitionBy(key).orderBy("pos")
     best = F.min(F.struct("kmer", (-F.col("at")).alias("neg"), "rc")).over(over.rowsBetween(-(w - 1), 0))
