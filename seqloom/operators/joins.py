@@ -26,21 +26,25 @@ def seed_hits(reads: DataFrame, contigs: DataFrame, w: int = 10, k: int = 15) ->
     return q.join(t, "value", "left").groupBy("read_id").agg(F.count("*").alias("n_seeds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"))
 
 
-def mapped(reads: DataFrame, contigs: DataFrame, w: int = 10, k: int = 15, cap: int = 64, top: int = 10) -> DataFrame:
-    """(read_id, cid, start, seeds, mm): the first of a read's ten best seed
-    chains that fits with at most a tenth of its bases different."""
-    q = minimizers(reads, "read_id", w, k)
-    t = capped(minimizers(contigs.select("cid", F.col("s").alias("seq")), "cid", w, k), "value", cap)
-    t = t.select("cid", "value", F.col("pos").alias("t_pos"), F.col("rc").alias("t_rc"))
-    hits = q.join(t, "value").where(F.col("rc") == F.col("t_rc"))
-    chains = hits.groupBy("read_id", "cid", (F.col("t_pos") - F.col("pos")).alias("start")).agg(F.count("*").alias("seeds")).where("start >= 0")
-    best = Window.partitionBy("read_id").orderBy(F.desc("seeds"), "cid", "start")
+def mapped(reads: DataFrame, contigs: DataFrame, w: int = 10, k: int = 15, top: int = 10) -> DataFrame:
+    """(read_id, cid, start, rc, seeds, mm): the first of a read's ten best seed
+    chains that fits with at most a tenth of its bases different; as it is, and
+    where no chain fits from the other strand. All places of a seed count; contigs
+    of equal text are the first of them, so that copies do not multiply."""
+    places = contigs.groupBy("s").agg(F.min("cid").alias("cid"))
+    v = views(reads, "read_id").select((F.col("read_id") * 2 + F.col("view")).alias("vid"), "seq")
+    q = minimizers(v, "vid", w, k)
+    t = minimizers(places.select("cid", F.col("s").alias("seq")), "cid", w, k).select("cid", F.col("value").alias("_value"), F.col("pos").alias("t_pos"), F.col("rc").alias("t_rc"))
+    hits = q.join(t, (F.col("value") == F.col("_value")) & (F.col("rc") == F.col("t_rc")))
+    chains = hits.groupBy("vid", "cid", (F.col("t_pos") - F.col("pos")).alias("start")).agg(F.count("*").alias("seeds")).where("start >= 0")
+    best = Window.partitionBy("vid").orderBy(F.desc("seeds"), "cid", "start")
     chains = chains.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    rows = chains.join(reads.select("read_id", "seq"), "read_id").join(contigs.select("cid", "s"), "cid")
+    rows = chains.join(v, "vid").join(places, "cid")
     rows = rows.select("*", F.col("s").substr(F.col("start") + 1, F.length("seq")).alias("there")).where(F.length("there") == F.length("seq"))
     rows = rows.withColumn("mm", hamming("seq", "there")).where(F.col("mm") <= F.greatest(F.lit(1), F.floor(F.length("seq") / 10)))
-    first = Window.partitionBy("read_id").orderBy("rank")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("read_id", "cid", "start", "seeds", "mm")
+    rows = rows.select(F.floor(F.col("vid") / 2).alias("read_id"), (F.col("vid") % 2 == 1).alias("rc"), "cid", "start", "seeds", "mm", "rank")
+    first = Window.partitionBy("read_id").orderBy("rc", "rank")
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("read_id", "cid", "start", "rc", "seeds", "mm")
 
 
 def mates(pairs: DataFrame, contigs: DataFrame, mean: int, spread: int, step: int = 5) -> DataFrame:
@@ -61,25 +65,29 @@ def views(seqs: DataFrame, key: str = "uid") -> DataFrame:
     return seqs.select(key, F.explode(both).alias("x")).select(key, "x.*")
 
 
-def overlaps(seqs: DataFrame, key: str = "uid", least: int = 24, top: int = 8, cap: int = 2000) -> DataFrame:
+def overlaps(seqs: DataFrame, key: str = "uid", least: int = 24, top: int = 8) -> DataFrame:
     """(to_id, to_view, from_id, from_view, overlap): for each strand of a
     sequence, the `top` longest suffixes of others that equal its prefix.
 
-    The first `least` bases join every window of other strands; what follows
-    the window must equal the prefix as well. Prefixes whose window occurs more
-    than cap times are left out, as the reference search does.
+    Prefixes and suffixes of every length from `least` on meet by two hashes, so
+    that only overlaps meet, however often a passage occurs. Of equal suffixes only
+    the first top + 1 are kept, one of which can be the sequence's own.
     """
-    v = views(seqs, key)
-    head = v.select(F.col(key).alias("to_id"), F.col("view").alias("to_view"), F.col("seq").alias("to_seq"), F.col("seq").substr(1, least).alias("seed")).where(F.length("to_seq") >= least)
-    cut = F.transform(F.sequence(F.lit(0), F.length("seq") - least), lambda i: F.struct(i.alias("at"), F.col("seq").substr(i + 1, F.lit(least)).alias("seed")))
-    tails = v.where(F.length("seq") >= least).select(F.col(key).alias("from_id"), F.col("view").alias("from_view"), F.col("seq").alias("from_seq"), F.explode(cut).alias("x"))
-    tails = tails.select("from_id", "from_view", "x.seed", F.col("from_seq").substr(F.col("x.at") + 1, F.length("from_seq")).alias("rest"))
-    tails = tails.join(head.select("seed").distinct(), "seed", "left_semi")
-    rows = head.join(capped(tails, "seed", cap), "seed")
-    n = F.length("rest")
-    rows = rows.where((F.col("to_id") != F.col("from_id")) | (F.col("to_view") != F.col("from_view")))
-    rows = rows.where((n <= F.length("to_seq")) & (F.col("to_seq").substr(F.lit(1), n) == F.col("rest")))
-    rows = rows.select("to_id", "to_view", "from_id", "from_view", n.alias("overlap"))
+    v = views(seqs, key).where(F.length("seq") >= least)
+    n = F.length("seq")
+    hashes = lambda x: [F.xxhash64(x), F.xxhash64(F.lit(1), x)]
+    sizes = F.explode(F.sequence(F.lit(least), n)).alias("n")
+    head = v.select(F.col(key).alias("to_id"), F.col("view").alias("to_view"), "seq", sizes)
+    a, b = hashes(F.col("seq").substr(F.lit(1), F.col("n")))
+    head = head.select("to_id", "to_view", "n", a.alias("a"), b.alias("b"))
+    tail = v.select(F.col(key).alias("from_id"), F.col("view").alias("from_view"), "seq", sizes)
+    a, b = hashes(F.col("seq").substr(F.length("seq") - F.col("n") + 1, F.col("n")))
+    tail = tail.select("from_id", "from_view", F.col("n").alias("_n"), a.alias("_a"), b.alias("_b"))
+    order = F.row_number().over(Window.partitionBy("_n", "_a", "_b").orderBy("from_id", "from_view"))
+    tail = tail.withColumn("r", order).where(F.col("r") <= top + 1).drop("r")
+    on = (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    rows = head.join(tail, on).where((F.col("to_id") != F.col("from_id")) | (F.col("to_view") != F.col("from_view")))
+    rows = rows.select("to_id", "to_view", "from_id", "from_view", F.col("n").alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("to_id", "to_view").orderBy(F.desc("overlap"), "from_id", "from_view"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 

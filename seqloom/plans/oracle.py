@@ -130,9 +130,9 @@ LSH = UNIQUE + ", buckets AS (SELECT uid, unnest([" + ", ".join("'" + str(h) + "
 DBG = TALK_READS + f""", kc AS {count_sql('reads', 'seq', 15)}, strands AS (SELECT kmer, false AS is_rc, n FROM kc UNION ALL SELECT {rc('kmer')}, true, n FROM kc WHERE {rc('kmer')} <> kmer),
     edges AS MATERIALIZED (SELECT substr(kmer, 1, 14) AS src, substr(kmer, 2, 14) AS dst, substr(kmer, 15, 1) AS base, is_rc, n FROM strands)"""
 OVERLAPS = UNIQUE + f""", views AS (SELECT uid, 0 AS view, seq FROM uniq UNION ALL SELECT uid, 1, {rc('seq')} FROM uniq), heads AS (SELECT *, substr(seq, 1, 24) AS seed FROM views WHERE length(seq) >= 24),
-    tails AS (SELECT uid, view, substr(seq, place + 1, 24) AS seed, substr(seq, place + 1) AS rest FROM (SELECT *, unnest(range(0, length(seq) - 23)) AS place FROM views WHERE length(seq) >= 24)), wanted AS (SELECT seed FROM tails WHERE seed IN (SELECT seed FROM heads) GROUP BY seed HAVING count(*) <= 2000),
+    tails AS (SELECT uid, view, substr(seq, place + 1, 24) AS seed, substr(seq, place + 1) AS rest FROM (SELECT *, unnest(range(0, length(seq) - 23)) AS place FROM views WHERE length(seq) >= 24)),
     over AS MATERIALIZED (SELECT to_id, CAST(to_view AS INTEGER) AS to_view, from_id, CAST(from_view AS INTEGER) AS from_view, CAST(overlap AS INTEGER) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY to_id, to_view ORDER BY overlap DESC, from_id, from_view) AS r FROM (
-        SELECT h.uid AS to_id, h.view AS to_view, t.uid AS from_id, t.view AS from_view, length(t.rest) AS overlap FROM heads h JOIN wanted USING (seed) JOIN tails t USING (seed) WHERE (h.uid <> t.uid OR h.view <> t.view) AND length(t.rest) <= length(h.seq) AND starts_with(h.seq, t.rest))) WHERE r <= 8)"""
+        SELECT h.uid AS to_id, h.view AS to_view, t.uid AS from_id, t.view AS from_view, length(t.rest) AS overlap FROM heads h JOIN tails t USING (seed) WHERE (h.uid <> t.uid OR h.view <> t.view) AND length(t.rest) <= length(h.seq) AND starts_with(h.seq, t.rest))) WHERE r <= 8)"""
 
 
 def freq(k: int) -> str:
@@ -162,11 +162,13 @@ SQL = {
     "minimizers": f"WITH {TALK_MIN} SELECT read_id, value, pos, rc FROM rm",
     "block_minimizers": f"WITH {TALK_READS} SELECT read_id, CAST(pos // 10 AS BIGINT) AS block, min(struct_pack(k := kmer, p := pos)).k AS kmer, min(struct_pack(k := kmer, p := pos)).p AS pos FROM {kmers_of('reads', 'seq', 15, 'read_id,')} GROUP BY read_id, pos // 10",
     "minimizer_hits": f"WITH {TALK_MIN}, {minimizers_of('cm', 'talk', 's', 'cid')} SELECT read_id, count(*) AS n_seeds, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_hits FROM rm LEFT JOIN (SELECT value, count(*) AS n FROM cm GROUP BY value) USING (value) GROUP BY read_id",
-    "map_reads": f"""WITH {TALK_MIN}, {minimizers_of('cm', 'talk', 's', 'cid')}, few AS (SELECT value FROM cm GROUP BY value HAVING count(*) <= 64),
-        chains AS (SELECT read_id, cid, c.pos - r.pos AS start, count(*) AS seeds FROM rm r JOIN cm c USING (value, rc) JOIN few USING (value) WHERE c.pos - r.pos >= 0 GROUP BY read_id, cid, c.pos - r.pos),
-        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY seeds DESC, cid, start) AS rank FROM chains) WHERE rank <= 10),
-        fit AS (SELECT b.*, CASE WHEN length(substr(t.s, start + 1, 100)) = 100 THEN hamming(r.seq, substr(t.s, start + 1, 100)) END AS mm FROM best b JOIN reads r USING (read_id) JOIN talk t ON t.cid = b.cid)
-        SELECT read_id, cid, start, seeds, CAST(mm AS INTEGER) AS mm FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY rank) AS n FROM fit WHERE mm <= 10) WHERE n = 1""",
+    "map_reads": f"""WITH {TALK_READS}, turned AS MATERIALIZED (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN {rc('seq')} ELSE seq END AS seq FROM reads),
+        strands AS MATERIALIZED (SELECT read_id * 2 AS vid, seq FROM turned UNION ALL SELECT read_id * 2 + 1, {rc('seq')} FROM turned), uniqt AS MATERIALIZED (SELECT min(cid) AS cid, s FROM talk GROUP BY s),
+        {minimizers_of('rm', 'strands', 'seq', 'vid')}, {minimizers_of('cm', 'uniqt', 's', 'cid')},
+        chains AS (SELECT vid, cid, c.pos - r.pos AS start, count(*) AS seeds FROM rm r JOIN cm c USING (value, rc) WHERE c.pos - r.pos >= 0 GROUP BY vid, cid, c.pos - r.pos),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY seeds DESC, cid, start) AS rank FROM chains) WHERE rank <= 10),
+        fit AS (SELECT b.*, CASE WHEN length(substr(t.s, start + 1, 100)) = 100 THEN hamming(r.seq, substr(t.s, start + 1, 100)) END AS mm FROM best b JOIN strands r USING (vid) JOIN talk t ON t.cid = b.cid)
+        SELECT vid // 2 AS read_id, cid, start, vid % 2 = 1 AS rc, seeds, CAST(mm AS INTEGER) AS mm FROM (SELECT *, row_number() OVER (PARTITION BY vid // 2 ORDER BY vid % 2, rank) AS n FROM fit WHERE mm <= 10) WHERE n = 1""",
     "mate_search": f"""WITH {TALK_READS}, p AS (SELECT r.read_id, r.cid, r.i * 50 AS pos, m.seq AS mseq FROM reads r JOIN reads m ON m.read_id = r.read_id + 2 AND m.cid = r.cid),
         c AS (SELECT read_id, CAST(pos + 100 + d AS INTEGER) AS place, hamming(mseq, substr(t.s, pos + 100 + d + 1, 100)) AS mm FROM (SELECT *, unnest(range(-30, 31, 5)) AS d FROM p) p JOIN talk t USING (cid) WHERE pos + 100 + d >= 0 AND pos + 200 + d <= length(t.s))
         SELECT read_id, first(place ORDER BY mm, place) AS mate_pos, CAST(min(mm) AS INTEGER) AS mm FROM c GROUP BY read_id""",
