@@ -37,7 +37,7 @@ DEPTH = 3
 END = 2
 RESERVE = 8
 #: Words that a worker keeps with their ids, some 150 bytes each.
-CACHE = 250_000
+CACHE = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -123,6 +123,13 @@ def tokenizer_bytes(path: str):
     words = words_of(path)
     special = [x.content.lower().encode() for x in words.of.get_added_tokens_decoder().values()]
 
+    def no_mark(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return not words.mark.search(text)
+
     def whole(text: str) -> bytes:
         return np.array(words.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -133,7 +140,7 @@ def tokenizer_bytes(path: str):
         low = raw.lower()
         if any(x in low for x in special):
             return whole(text)
-        if len(raw) == len(text) or not words.mark.search(text):
+        if no_mark(text):
             return b"".join(map(words.__getitem__, low.split()))
         # what a mark is joined with depends on the letter's case: such a chunk goes as it is
         pairs = zip(low.split(), raw.split())
