@@ -172,3 +172,82 @@ def tandem_in(seq: Column | str, flank: Column | str) -> Column:
     s, f = _c(seq), _c(flank)
     one = lambda u: (F.length(s) >= u) & (F.repeat(s.substr(1, u), 16).substr(F.lit(1), F.length(s)) == s) & (F.instr(f, s.substr(1, u)) > 0)
     return (F.length(s) >= 2) & (one(1) | one(2) | one(3) | one(4))
+
+
+LOW32 = 0xFFFFFFFF
+FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211  # fixed values of FNV-1a
+FMIX = ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53))  # fixed values of the fmix64 finalizer
+SPLITMIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))  # fixed values of splitmix64's finalizer
+
+
+def _signed(c: int) -> int:
+    return c - (1 << 64) if c >> 63 else c
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(LOW32))
+
+
+def _joined(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.bitwiseAND(F.lit(LOW32)), 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
+
+
+def wrapping_multiply(x: Column, c: int) -> Column:
+    """x * c modulo 2^64, from products of 32 by 16 bits."""
+    high, low = _halves(x)
+    part = lambda h, i: h * ((c >> (16 * i)) & 0xFFFF)
+    low16 = lambda v: F.shiftleft(v.bitwiseAND(F.lit(0xFFFF)), 16)
+    first = part(low, 0) + low16(part(low, 1))
+    carry = F.shiftrightunsigned(first, 32) + F.shiftrightunsigned(part(low, 1), 16)
+    cross = part(low, 2) + low16(part(low, 3)) + part(high, 0) + low16(part(high, 1))
+    return _joined(carry + cross, first)
+
+
+def fnv1a(text: Column | str) -> Column:
+    """FNV-1a of the characters' low bytes, 64 bits."""
+    step = lambda h, c: wrapping_multiply(h.bitwiseXOR(F.ascii(c).cast("long")), FNV_PRIME)
+    return F.aggregate(F.filter(F.split(_c(text), ""), lambda c: c != ""), F.lit(_signed(FNV_START)), step)
+
+
+def _mixed(x: Column, steps: tuple, last: int) -> Column:
+    """Folds by a shift, each with its product, and a last fold. Each step's
+    value is computed once, however often the next one names it."""
+    fed = lambda v, step: F.transform(F.array(v), step)[0]
+    folded = lambda shift: lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+    product = lambda c: lambda v: wrapping_multiply(v, c)
+    for shift, c in steps:
+        x = fed(fed(x, folded(shift)), product(c))
+    return fed(x, folded(last))
+
+
+def fmix(x: Column | str) -> Column:
+    """The 64-bit finalizer that spreads packed k-mers."""
+    return _mixed(_c(x).cast("long"), FMIX, 33)
+
+
+def splitmix(x: Column | str) -> Column:
+    """The finalizer of splitmix64, which spreads bucket numbers."""
+    return _mixed(_c(x).cast("long"), SPLITMIX, 31)
+
+
+def shifted_distance(a: Column | str, b: Column | str, most: int) -> Column:
+    """The least (2 mismatches + |shift|) / length of a, over shifts of b by up
+    to most places either way; 1 if either is empty."""
+    a, b = _c(a), _c(b)
+    n, m = F.length(a), F.length(b)
+
+    def cost(shift: int) -> Column:
+        x, y = max(shift, 0), max(-shift, 0)
+        size = F.least(n - x, m - y)
+        differ = hamming(a.substr(F.lit(x + 1), size), b.substr(F.lit(y + 1), size))
+        return F.when(size > 0, 2 * differ + abs(shift))
+
+    best = F.least(*[cost(s) for s in range(-most, most + 1)]) if most else cost(0)
+    return F.when((n == 0) | (m == 0), 1.0).otherwise(F.coalesce(best, 2 * n * n) / n)
+
+
+def around(seq: Column | str, pos: Column | str) -> Column:
+    """The base before, at and after a place as one number of base 5; 4 where there is none."""
+    s, p = _c(seq), _c(pos)
+    at = lambda i: F.when((i < 0) | (i >= F.length(s)), 4).otherwise(base_code(s.substr(i + 1, F.lit(1))))
+    return (at(p - 1) * 5 + at(p)) * 5 + at(p + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import canonical_kmers, is_acgt, kmers, reverse_complement, unpacked
+from seqloom.functions.sequence import canonical_kmers, fmix, is_acgt, kmers, packed, reverse_complement, unpacked
 from seqloom.operators import rolling
 from seqloom.session import arrowed
 
@@ -167,3 +167,18 @@ def corrections(seqs: DataFrame, key: str, kc: DataFrame, threshold: int, k: int
     one = solid.groupBy(key, "pos").agg(F.count("*").alias("many"), F.min("j").alias("j"), F.min("base").alias("base")).where("many = 1")
     at = one.groupBy(key, (F.col("pos") + F.col("j")).alias("pos")).agg(F.min("base").alias("base"), F.max("base").alias("other"))
     return at.where("base = other").select(key, "pos", "base")
+
+
+def hashed_minimizers(seqs: DataFrame, key: str, w: int = 10, k: int = 15) -> DataFrame:
+    """(key, pos, hash): of each w consecutive k-mers (all, if fewer) the first
+    of smallest hash, unsigned; equal neighbours once. K-mers with other letters
+    than ACGT never count."""
+    s = seqs.select(key, F.explode(kmers("seq", k)).alias("x"), F.greatest(F.length("seq") - k + 1, F.lit(0)).alias("n")).select(key, "n", "x.pos", "x.kmer")
+    h = F.when(is_acgt("kmer"), fmix(packed("kmer")))
+    s = s.select(key, "n", "pos", h.alias("hash"))
+    flipped = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))  # signed order as unsigned
+    by = Window.partitionBy(key).orderBy("pos")
+    m = F.min(F.when(F.col("hash").isNotNull(), F.struct(flipped.alias("h"), F.col("pos")))).over(by.rowsBetween(1 - w, 0))
+    s = s.select(key, "pos", "n", m.alias("m")).where((F.col("pos") >= F.least(F.lit(w), "n") - 1) & F.col("m").isNotNull())
+    s = s.select(key, F.col("m.pos").alias("at"), F.col("m.h").bitwiseXOR(F.lit(-(1 << 63))).alias("hash"), F.lag("m.pos").over(by).alias("l"))
+    return s.where(F.col("l").isNull() | (F.col("l") != F.col("at"))).select(key, F.col("at").alias("pos"), "hash")

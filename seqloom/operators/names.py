@@ -96,3 +96,27 @@ def deltas(rows: DataFrame, value: str, key: str = "read_id") -> DataFrame:
     rows = rows.withColumn("prev", inside).join(carried, "cell")
     d = (F.col(value) - F.coalesce("prev", "before", F.lit(0))).cast("long")
     return rows.select(key, d.alias("delta"), zigzag(d).alias("zigzag"), varint_bytes(zigzag(d)).alias("bytes"))
+
+
+def sequential(rows: DataFrame, group: str, place: str, name: str = "name") -> DataFrame:
+    """(group, prefix, first, sequential): whether a group's names are PREFIX.N
+    with N rising by one from place 0 on."""
+    n = lambda c: F.regexp_extract(c, r"(?s)^.+\.([0-9]{1,18})$", 1)
+    p = lambda c: F.regexp_extract(c, r"(?s)^(.+)\.[0-9]{1,18}$", 1)
+    # a leading zero is allowed in the first name alone
+    parsed = rows.select(group, F.col(place).alias("_at"), p(F.col(name)).alias("p"), n(F.col(name)).alias("n"))
+    num = F.expr("try_cast(n as long)")
+    plain = (F.col("_at") == 0) | ~F.col("n").startswith("0")
+    sums = parsed.groupBy(group).agg(
+        F.min("p").alias("prefix"), F.max("p").alias("_p"), F.min(num - F.col("_at")).alias("first"), F.max(num - F.col("_at")).alias("_f"),
+        F.bool_and(F.coalesce(num.isNotNull() & plain, F.lit(False))).alias("_ok"))
+    size = F.length("prefix")
+    ok = F.col("_ok") & (F.col("prefix") == F.col("_p")) & (F.col("first") == F.col("_f")) & (F.col("first") > 0) & (size > 0) & (size < 255)
+    ok = F.coalesce(ok, F.lit(False))
+    return sums.select(group, F.when(ok, F.col("prefix")).alias("prefix"), F.when(ok, F.col("first")).alias("first"), ok.alias("sequential"))
+
+
+def smallest(sizes: DataFrame, keys: list[str], codec: str = "codec", size: str = "bytes") -> DataFrame:
+    """For each key the codec of fewest bytes, the first by name of equals."""
+    best = F.min(F.struct(F.col(size), F.col(codec))).alias("b")
+    return sizes.groupBy(*keys).agg(best).select(*keys, F.col(f"b.{codec}").alias(codec), F.col(f"b.{size}").alias(size))

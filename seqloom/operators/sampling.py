@@ -34,3 +34,30 @@ def stratified(rows: DataFrame, key: str, n: int, strata: int = 3) -> DataFrame:
     runs = total.select(first.alias("x")).select("x.*")
     rows = numbered(rows, key)
     return rows.join(F.broadcast(runs), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("size"))).drop("lo", "size")
+
+
+def kept_first(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each key. Each task keeps n of a key before the
+    shuffle, so that a hot key sends n rows a task and no more."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
+def by_size(rows: DataFrame, size: str, key: str) -> DataFrame:
+    """rows with rank, their place by falling size and then key: ranks among
+    rows of one size, and the counts of larger sizes before."""
+    counts = rows.groupBy(F.col(size).alias("_s")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_s", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(size).orderBy(key)) - 1
+    rows = rows.withColumn("_nth", inside).join(counts, F.col(size) == F.col("_s"))
+    return rows.withColumn("rank", F.col("_before") + F.col("_nth")).drop("_s", "_nth", "_before")
+
+
+def stacked(rows: DataFrame, shard: str, place: str) -> DataFrame:
+    """rows of all shards as one table: id is the place in the shard after the
+    rows of the shards before it; places of a shard are 0, 1, 2, ..."""
+    counts = rows.groupBy(F.col(shard).alias("_s")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_s", before.alias("_before"))
+    return rows.join(counts, F.col(shard) == F.col("_s")).withColumn("id", F.col("_before") + F.col(place)).drop("_s", "_before")

@@ -11,6 +11,10 @@ from seqloom.operators import calling, coverage, graph, joins, kmers, names, qua
 from seqloom.session import materialize, read
 
 
+#: Shares of a read that its best overlaps must reach on both sides, in the order tried.
+HQ_SHARES = (0.65, 0.45, 0.15)
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Contigs of all documents."""
     return views.dna(read(spark, d, "documents"), F.col("doc_id"))
@@ -107,8 +111,11 @@ def hq_tail(spark, d):
 
 
 def hq_expected_errors(spark, d):
-    e = F.round(S.expected_errors("qual"), 6)
-    return text_reads(spark, d).select("read_id", e.alias("ee"), (e <= 20.0).alias("hq"))
+    # half of the reads with high qualities, so that both sides of the bound are met
+    r = text_reads(spark, d)
+    qual = F.when(F.col("read_id") % 2 == 0, F.translate("qual", views.AS_QUAL, views.AS_HIGH_QUAL)).otherwise(F.col("qual"))
+    e = F.round(S.expected_errors(qual), 6)
+    return r.select("read_id", e.alias("ee"), (e <= 1.0).alias("hq"))
 
 
 def dedup_exact(spark, d):
@@ -173,8 +180,9 @@ def hq_overlap(spark, d):
     u = distinct_reads(spark, d)
     o = joins.overlaps(u).groupBy(F.col("to_id").alias("_id")).agg(F.max(F.when(F.col("to_view") == 0, F.col("overlap"))).alias("l"), F.max(F.when(F.col("to_view") == 1, F.col("overlap"))).alias("r"))
     z = lambda c: F.coalesce(c, F.lit(0))
-    out = u.join(o, F.col("uid") == F.col("_id"), "left").select("uid", z("l").alias("best_left"), z("r").alias("best_right"))
-    return out.withColumn("hq", (F.col("best_left") >= 45) & (F.col("best_right") >= 45))
+    out = u.join(o, F.col("uid") == F.col("_id"), "left").select("uid", F.length("seq").alias("n"), z("l").alias("best_left"), z("r").alias("best_right"))
+    least = F.least("best_left", "best_right")
+    return out.select("uid", "best_left", "best_right", *[(least >= F.floor(f * F.col("n"))).alias(f"hq{int(100 * f)}") for f in HQ_SHARES])
 
 
 def fallback_place(spark, d):
@@ -387,8 +395,10 @@ def name_profile(spark, d):
 
 
 def order_recover(spark, d):
-    r = sampling.numbered(text_reads(spark, d), "read_id").select("read_id", F.col("at").alias("was"))
-    return sampling.numbered(r, "read_id").select("read_id", "was", F.col("at").alias("rank"))
+    # the ids come out of the name column, which rises with the file order
+    r = text_reads(spark, d).select("read_id", F.concat(F.lit("SRR7."), F.col("read_id") * 3 + 1).alias("name"))
+    val = F.regexp_extract("name", r"\.([0-9]+)$", 1).cast("long")
+    return sampling.numbered(r.select("read_id", val.alias("val")), "val").select("read_id", "val", F.col("at").alias("rank"))
 
 
 def value_dict(spark, d):
@@ -450,7 +460,7 @@ def reconstruct_lossless(spark, d):
 
 
 def components(spark, d):
-    return graph.components(joins.sampled_neighbours(distinct_reads(spark, d)).where("dist <= 0.2").select("u", "v"))
+    return graph.components(joins.sampled_neighbours(distinct_reads(spark, d)).where("dist <= 1.2").select("u", "v"))
 
 
 def mst(spark, d):
@@ -528,7 +538,108 @@ def read_order(spark, d):
     return n.groupBy("read_id").agg(F.median("n").alias("confidence"))
 
 
-NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans")]
+def hash_functions(spark, d):
+    u = distinct_reads(spark, d).withColumn("code", S.packed(F.col("seq").substr(1, 31)))
+    return u.select("uid", S.fnv1a("seq").alias("fnv"), S.fmix("code").alias("fmix"), S.splitmix("code").alias("splitmix"), F.crc32("seq").alias("crc"))
+
+
+def sampled_kmers(spark, d):
+    c = kmers.counts(talk_reads(spark, d), 15)
+    return c.where(S.fmix(S.packed("kmer")).bitwiseAND(F.lit(15)) == 0).select("kmer", "n")
+
+
+def hashed_minimizers(spark, d):
+    return kmers.hashed_minimizers(talk_reads(spark, d), "read_id")
+
+
+def shift_neighbours(spark, d):
+    u = materialize(distinct_reads(spark, d), "unique")
+    seqs = lambda i, s: u.select(F.col("uid").alias(i), F.col("seq").alias(s))
+    pairs = joins.sampled_neighbours(u).join(seqs("u", "a"), "u").join(seqs("v", "b"), "v")
+    pairs = pairs.select("u", "v", F.round(S.shifted_distance("a", "b", 3), 6).alias("dist"))
+    both = pairs.union(pairs.select("v", "u", "dist"))
+    return sampling.kept_first(both, ["u"], ["dist", "v"], 4)
+
+
+def name_sequences(spark, d):
+    step = F.when(F.col("cid") % 3 == 0, F.col("i") * 2).otherwise(F.col("i"))
+    r = text_reads(spark, d).withColumn("name", F.concat(F.lit("SRR.x"), F.col("cid"), F.lit("."), step + 5))
+    return names.sequential(r, "cid", "i")
+
+
+def mean_record(spark, d):
+    r = sampling.numbered(text_reads(spark, d), "read_id").where("at < 1000")
+    size = F.length("name") + 2 * F.length("seq") + 7
+    return r.agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_bytes"))
+
+
+def planted(spark, d):
+    places = F.filter(F.sequence(F.lit(0), F.length("s") - 1), lambda p: p % 97 == 48)
+    return talk(spark, d).where(F.length("s") >= 100).select("cid", F.explode(places).alias("pos"))
+
+
+def depth_recall(spark, d):
+    p = materialize(piles(spark, d), "piles")
+    depth = p.groupBy("cid", "pos").agg(F.count("*").alias("depth"))
+    called = calling.candidates(p).select("cid", "pos", F.lit(True).alias("called"))
+    t = planted(spark, d).join(depth, ["cid", "pos"], "left").join(called, ["cid", "pos"], "left")
+    t = t.select((F.coalesce("depth", F.lit(1)) >= 6).alias("deep"), F.coalesce("called", F.lit(False)).alias("called"))
+    return t.groupBy("deep").agg(F.count("*").alias("n"), F.count_if("called").alias("n_called"))
+
+
+def error_sets(spark, d):
+    p = materialize(piles(spark, d), "piles")
+    truth, found = planted(spark, d), calling.candidates(p).select("cid", "pos")
+    kind = lambda rows, k: rows.select("cid", "pos", F.lit(k).alias("kind"))
+    return kind(truth.intersect(found), "both").union(kind(truth.exceptAll(found), "missed")).union(kind(found.exceptAll(truth), "extra"))
+
+
+def contig_ranks(spark, d):
+    return sampling.by_size(texts(spark, d).select("cid", F.length("s").alias("len")), "len", "cid")
+
+
+def first_places(spark, d):
+    places = kmers.exploded(talk_reads(spark, d), 15, ["read_id"])
+    ids = places.groupBy("kmer", "read_id").agg(F.count("*").alias("n"))
+    return sampling.kept_first(ids, ["kmer"], ["read_id"], 4).select("kmer", "read_id")
+
+
+def smallest_codec(spark, d):
+    c = names.columns(talk_reads(spark, d)).where("is_num")
+    sums = c.groupBy("col").agg(F.sum(F.length("val")).cast("long").alias("text"), F.sum(S.varint_bytes(F.col("val").cast("long"))).alias("varint"), (F.count("*") * 4).alias("fixed"))
+    sizes = sums.select("col", F.explode(F.array(*[F.struct(F.lit(x).alias("codec"), F.col(x).alias("bytes")) for x in ("text", "varint", "fixed")])).alias("x"))
+    return names.smallest(sizes.select("col", "x.*"), ["col"])
+
+
+def top_symbols(spark, d):
+    return quality_contexts(spark, d).where("scaled > 100").select("q1", "posbin", "q", "scaled")
+
+
+def base_contexts(spark, d):
+    r = talk_reads(spark, d).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
+    return r.groupBy(S.around("seq", "pos").alias("ctx")).agg(F.count("*").alias("n"))
+
+
+def stacked_shards(spark, d):
+    r = sampling.numbered(talk_reads(spark, d), "read_id")
+    return sampling.stacked(r.select("read_id", (F.col("at") % 3).alias("shard"), F.floor(F.col("at") / 3).alias("place")), "shard", "place")
+
+
+def chunk_concat(spark, d):
+    w = views.windows(talk(spark, d), 50, 50)
+    parts = F.array_sort(F.collect_list(F.struct("i", "seq")))
+    return w.groupBy("cid").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("s"))
+
+
+def mate_ranks(spark, d):
+    # mates are neighbours in a contig; the first of each is ordered by its place from the end
+    r = talk_reads(spark, d).select("read_id", (F.col("cid") * 1000 + F.floor(F.col("i") / 2)).alias("pair_id"), (F.col("i") % 2).alias("mate"))
+    first = sampling.numbered(r.where("mate = 0").select("pair_id", (-F.col("read_id")).alias("order")), "order")
+    return r.where("mate = 1").join(first.select("pair_id", F.col("at").alias("rank")), "pair_id").select("read_id", "pair_id", "rank")
+
+
+
+NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted")]
 
 
 def queries() -> dict:

@@ -142,6 +142,41 @@ def freq(k: int) -> str:
 
 SKETCH = TALK + f", sketch AS MATERIALIZED (SELECT cid, CAST(rank AS INTEGER) AS rank, h FROM (SELECT cid, h, row_number() OVER (PARTITION BY cid ORDER BY h) AS rank FROM (SELECT cid, CAST('0x' || substr(md5(kmer), 1, 15) AS BIGINT) AS h FROM {kmers_of('talk', 's', 21, 'cid,')})) WHERE rank <= 50)"
 
+TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def times(x: str, c: int) -> str:
+    return f"CAST(CAST({x} AS UHUGEINT) * {c}::UHUGEINT % {TWO64} AS UBIGINT)"
+
+
+def mixed(x: str, steps: list, last: int) -> str:
+    """Folds and products of 64 bits; x is an UBIGINT, evaluated once a step by a list of one."""
+    for shift, c in steps:
+        x = f"list_transform([{x}], lambda v: {times(f'xor(v, v >> {shift})', c)})[1]"
+    return f"list_transform([{x}], lambda v: xor(v, v >> {last}))[1]"
+
+
+def signed(x: str) -> str:
+    return f"CAST(CAST({x} AS HUGEINT) - CASE WHEN {x} >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT)"
+
+
+def packed_sql(kmer: str) -> str:
+    return f"list_reduce(list_transform(string_split({kmer}, ''), lambda b: CAST(instr('ACGT', b) - 1 AS UBIGINT)), lambda h, b: h * 4 + b)"
+
+
+FMIX_STEPS = [(33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)]
+SPLIT_STEPS = [(30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)]
+FNV = "list_reduce(list_transform(string_split(seq, ''), lambda b: CAST(ascii(b) AS UBIGINT)), lambda h, b: " + times("xor(h, b)", 1099511628211) + ", 14695981039346656037::UBIGINT)"
+CRC = "xor(list_reduce(list_transform(range(0, length(seq) * 8), lambda i: CASE WHEN i % 8 = 0 THEN ascii(seq[i // 8 + 1]) ELSE 0 END::BIGINT), lambda h, b: CASE WHEN xor(h, b) & 1 = 1 THEN xor(xor(h, b) >> 1, 3988292384) ELSE xor(h, b) >> 1 END, 4294967295::BIGINT), 4294967295)"
+
+
+def shift_cost(n: int) -> str:
+    x, y = max(n, 0), max(-n, 0)
+    return f"(2 * hamming(substr(a, {x + 1}, {100 - abs(n)}), substr(b, {y + 1}, {100 - abs(n)})) + {abs(n)})"
+
+
+PLANTED = "planted AS (SELECT cid, p AS pos FROM (SELECT cid, unnest(range(0, length(s))) AS p FROM talk WHERE length(s) >= 100) WHERE p % 97 = 48)"
+
 SQL = {
     "reads_derive": f"WITH {TEXT_READS} SELECT read_id, cid, i, name, seq, qual FROM reads",
     "revcomp": f"WITH {TALK_READS} SELECT read_id, {rc('seq')} AS rc FROM reads",
@@ -152,7 +187,7 @@ SQL = {
     "haploid_depth": f"WITH {HAPS}, {DEPTH_H} SELECT h FROM depth_h",
     "quality_bins": f"WITH {TEXT_READS} SELECT read_id, {BIN(2)} AS bin2, {BIN(4)} AS bin4, {BIN(8)} AS bin8 FROM reads",
     "hq_tail": f"WITH {TEXT_READS} SELECT read_id, NOT regexp_matches(seq, '[Nn]') AND NOT regexp_matches(right(qual, 12), '[!\"#]') AS hq FROM reads",
-    "hq_expected_errors": f"WITH {TEXT_READS} SELECT read_id, ee, ee <= 20 AS hq FROM (SELECT read_id, round(list_sum(list_transform(range(1, length(qual) + 1), lambda x: pow(10.0, -(ascii(qual[x]) - 33) / 10.0))), 6) AS ee FROM reads)",
+    "hq_expected_errors": f"WITH {TEXT_READS} SELECT read_id, ee, ee <= 1 AS hq FROM (SELECT read_id, round(list_sum(list_transform(range(1, length(qual) + 1), lambda x: pow(10.0, -(ascii(qual[x]) - 33) / 10.0))), 6) AS ee FROM (SELECT read_id, CASE WHEN read_id % 2 = 0 THEN translate(qual, {q(AS_QUAL)}, {q(AS_HIGH_QUAL)}) ELSE qual END AS qual FROM reads))",
     "dedup_exact": f"WITH {TEXT_READS} SELECT seq, min(read_id) AS rep, count(*) AS n FROM reads GROUP BY seq",
     "duplicates_fan_out": f"WITH {TEXT_READS}, u AS (SELECT seq, min(read_id) AS uid FROM reads GROUP BY seq HAVING count(*) > 1) SELECT uid, read_id FROM reads JOIN u USING (seq)",
     "amplicon_clusters": f"WITH {TEXT_READS} SELECT min(read_id) AS cluster, count(*) AS n, least(" + ", ".join(f"least(substr(seq, {o + 1}, 24), {rc(f'substr(seq, {o + 1}, 24)')})" for o in (0, 25, 50, 76)) + ") AS order_key FROM reads GROUP BY seq",
@@ -173,7 +208,7 @@ SQL = {
         c AS (SELECT read_id, CAST(pos + 100 + d AS INTEGER) AS place, hamming(mseq, substr(t.s, pos + 100 + d + 1, 100)) AS mm FROM (SELECT *, unnest(range(-30, 31, 5)) AS d FROM p) p JOIN talk t USING (cid) WHERE pos + 100 + d >= 0 AND pos + 200 + d <= length(t.s))
         SELECT read_id, first(place ORDER BY mm, place) AS mate_pos, CAST(min(mm) AS INTEGER) AS mm FROM c GROUP BY read_id""",
     "apsp_overlaps": f"WITH {OVERLAPS} SELECT * FROM over",
-    "hq_overlap": f"WITH {OVERLAPS} SELECT uid, l AS best_left, r AS best_right, l >= 45 AND r >= 45 AS hq FROM (SELECT uid, coalesce(max(overlap) FILTER (to_view = 0), 0) AS l, coalesce(max(overlap) FILTER (to_view = 1), 0) AS r FROM uniq LEFT JOIN over ON to_id = uid GROUP BY uid)",
+    "hq_overlap": f"WITH {OVERLAPS} SELECT uid, l AS best_left, r AS best_right, least(l, r) >= floor(0.65 * n) AS hq65, least(l, r) >= floor(0.45 * n) AS hq45, least(l, r) >= floor(0.15 * n) AS hq15 FROM (SELECT uid, any_value(length(seq)) AS n, coalesce(max(overlap) FILTER (to_view = 0), 0) AS l, coalesce(max(overlap) FILTER (to_view = 1), 0) AS r FROM uniq LEFT JOIN over ON to_id = uid GROUP BY uid)",
     "fallback_place": f"""WITH {HAPS}, v AS (SELECT read_id, 0 AS view, seq FROM haps UNION ALL SELECT read_id, 1, {rc('seq')} FROM haps), seeds AS (SELECT *, substr(seq, off + 1, 24) AS kmer FROM (SELECT *, unnest([0, 38, 76]) AS off FROM v)),
         idx AS (SELECT cid, pos, kmer FROM {kmers_of('talk', 's', 24, 'cid,', False)}), few AS (SELECT kmer FROM idx GROUP BY kmer HAVING count(*) <= 64),
         cand AS (SELECT DISTINCT read_id, view, seq, x.cid, x.pos - off AS pos FROM seeds JOIN few USING (kmer) JOIN idx x USING (kmer) WHERE x.pos - off >= 0),
@@ -239,7 +274,7 @@ SQL = {
     "name_profile": f"""WITH {TEXT_READS}, c AS (SELECT read_id, CAST(col AS INTEGER) AS col, {NUM} AS is_num, val, CASE WHEN {NUM} THEN CAST(val AS BIGINT) END AS num FROM {TOKENS}), u AS (SELECT *, coalesce(num > lag(num) OVER (PARTITION BY col ORDER BY read_id), true) AS up FROM c),
         s AS (SELECT col, count(*) AS n, count(DISTINCT val) AS distinct_vals, bool_and(is_num) AS numeric, min(num) AS lo, max(num) AS hi, bool_and(up) AS up FROM u GROUP BY col)
         SELECT col, n, distinct_vals, numeric, distinct_vals = 1 AS constant, numeric AND up AS monotonic, numeric AND coalesce(lo = 1 AND hi = n, false) AND distinct_vals = n AS permutation FROM s""",
-    "order_recover": f"WITH {TEXT_READS} SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS was, row_number() OVER (ORDER BY read_id) - 1 AS rank FROM reads",
+    "order_recover": f"WITH {TEXT_READS} SELECT read_id, read_id * 3 + 1 AS val, row_number() OVER (ORDER BY read_id) - 1 AS rank FROM reads",
     "value_dict": f"""WITH {TALK_READS}, c AS (SELECT CAST(col AS INTEGER) AS col, val, {NUM} AS is_num FROM {TOKENS}), ok AS (SELECT col FROM c GROUP BY col HAVING bool_and(is_num)), g AS (SELECT col, CAST(val AS BIGINT) AS val, count(*) AS n FROM c JOIN ok USING (col) GROUP BY ALL)
         SELECT col, val, CAST(row_number() OVER (PARTITION BY col ORDER BY val) - 1 AS INTEGER) AS code, n, CAST(floor(n * 65536 / sum(n) OVER (PARTITION BY col)) AS BIGINT) AS scaled FROM g""",
     "illumina": f"WITH {TEXT_READS}, f AS (SELECT regexp_full_match(name, '(.*):([0-9]+):([0-9]+)(/[0-9]+)?') AS ok FROM reads ORDER BY read_id LIMIT 100) SELECT count(*) AS n, count(*) FILTER (ok) AS matching, count(*) FILTER (ok) * 10 >= count(*) * 9 AS looks_illumina FROM f",
@@ -260,7 +295,7 @@ SQL = {
     "mismatch_ranks": f"""WITH {FRAMED}, x AS (SELECT read_id, CAST(j AS INTEGER) AS off, substr(b, j + 1, 1) AS b, substr(s, pos + j + 1, 1) AS t FROM (SELECT f.*, t.s, unnest(range(0, 100)) AS j FROM framed f JOIN talk t USING (cid)))
         SELECT read_id, off, CAST(instr('ACGT', b) - 1 - CASE WHEN b > t THEN 1 ELSE 0 END AS INTEGER) AS rank, b AS base FROM x WHERE b <> t""",
     "reconstruct_lossless": f"WITH {HAPS} SELECT read_id, CASE WHEN read_id % 5 = 0 THEN substr(seq, 1, 40) || 'n' || substr(seq, 42) ELSE seq END AS seq, qual FROM haps",
-    "components": f"""WITH RECURSIVE {LSH}, e AS (SELECT u, v FROM near WHERE dist <= 0.2 UNION ALL SELECT v, u FROM near WHERE dist <= 0.2), r AS (SELECT DISTINCT u AS id, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""",
+    "components": f"""WITH RECURSIVE {LSH}, e AS (SELECT u, v FROM near WHERE dist <= 1.2 UNION ALL SELECT v, u FROM near WHERE dist <= 1.2), r AS (SELECT DISTINCT u AS id, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""",
     "dbg_edges": f"WITH {DBG} SELECT src, dst, base, is_rc, n FROM edges",
     "dbg_degrees": f"WITH {DBG} SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, sum(o) > sum(i) AS is_start, sum(o) <> sum(i) AS unbalanced FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
     "sam_rows": f"WITH {FRAMED} SELECT 'r' || read_id AS qname, CASE WHEN rc THEN 16 ELSE 0 END AS flag, 'contig_' || cid AS rname, CAST(pos + 1 AS BIGINT) AS pos, CAST(greatest(0, 60 - 6 * mm) AS INTEGER) AS mapq, length(b) || 'M' AS cigar, b AS seq, q AS qual FROM framed",
@@ -271,4 +306,22 @@ SQL = {
         SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM r""",
     "select_k": f"WITH {TEXTS} SELECT cid, CAST(length(s) AS INTEGER) AS len, CAST(CASE WHEN length(s) <= 50 THEN 15 WHEN length(s) >= 250 THEN 25 ELSE 21 END AS INTEGER) AS k FROM texts",
     "read_order": f"WITH {TEXT_READS}, w AS MATERIALIZED (SELECT read_id, kmer FROM {kmers_of('reads', 'seq', 12, 'read_id,')}), c AS (SELECT kmer, count(*) AS n FROM w GROUP BY kmer) SELECT read_id, median(n) AS confidence FROM w JOIN c USING (kmer) GROUP BY read_id",
+    "hash_functions": f"WITH {UNIQUE}, c AS (SELECT uid, seq, {packed_sql('substr(seq, 1, 31)')} AS code, {FNV} AS f, {CRC} AS crc FROM uniq), h AS (SELECT uid, f, crc, {mixed('code', FMIX_STEPS, 33)} AS m, {mixed('code', SPLIT_STEPS, 31)} AS p FROM c) SELECT uid, {signed('f')} AS fnv, {signed('m')} AS fmix, {signed('p')} AS splitmix, crc FROM h",
+    "sampled_kmers": f"WITH {TALK_READS} SELECT kmer, n FROM (SELECT kmer, n, {mixed(packed_sql('kmer'), FMIX_STEPS, 33)} AS h FROM {count_sql('reads', 'seq', 15)}) WHERE h & 15 = 0",
+    "hashed_minimizers": f"""WITH {TALK_READS}, h AS (SELECT read_id, pos, {mixed(packed_sql('kmer'), FMIX_STEPS, 33)} AS h FROM {kmers_of('reads', 'seq', 15, 'read_id,', False)}), windowed AS (SELECT read_id, pos, min(struct_pack(h := h, pos := pos)) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM h)
+        SELECT DISTINCT read_id, m.pos AS pos, {signed('m.h')} AS hash FROM windowed WHERE pos >= 9""",
+    "shift_neighbours": f"WITH {LSH}, p AS (SELECT u, v, round(least({', '.join(shift_cost(n) for n in range(-3, 4))}) / 100, 6) AS dist FROM (SELECT u, v, x.seq AS a, y.seq AS b FROM near JOIN uniq x ON x.uid = u JOIN uniq y ON y.uid = v)) SELECT u, v, dist FROM (SELECT u, v, dist FROM p UNION ALL SELECT v, u, dist FROM p) QUALIFY row_number() OVER (PARTITION BY u ORDER BY dist, v) <= 4",
+    "name_sequences": f"WITH {TEXT_READS}, g AS (SELECT cid, count(*) = 1 OR cid % 3 <> 0 AS ok FROM reads GROUP BY cid) SELECT cid, CASE WHEN ok THEN 'SRR.x' || cid END AS prefix, CASE WHEN ok THEN 5::BIGINT END AS first, ok AS sequential FROM g",
+    "mean_record": f"WITH {TEXT_READS} SELECT count(*) AS n, round(avg(length(name) + 2 * length(seq) + 7), 6) AS mean_bytes FROM (SELECT * FROM reads ORDER BY read_id LIMIT 1000)",
+    "depth_recall": f"WITH {CANDIDATES}, {PLANTED} SELECT coalesce(k.depth, 1) >= 6 AS deep, count(*) AS n, count(c.cid) AS n_called FROM planted p LEFT JOIN counts k USING (cid, pos) LEFT JOIN cand c ON c.cid = p.cid AND c.pos = p.pos GROUP BY 1",
+    "error_sets": f"WITH {CANDIDATES}, {PLANTED} SELECT cid, CAST(pos AS INTEGER) AS pos, CASE WHEN c.major IS NULL THEN 'missed' WHEN p.k IS NULL THEN 'extra' ELSE 'both' END AS kind FROM (SELECT *, 1 AS k FROM planted) p FULL JOIN cand c USING (cid, pos)",
+    "contig_ranks": f"WITH {TEXTS} SELECT cid, CAST(length(s) AS INTEGER) AS len, row_number() OVER (ORDER BY length(s) DESC, cid) - 1 AS rank FROM texts",
+    "first_places": f"WITH {TALK_READS} SELECT DISTINCT kmer, read_id FROM {kmers_of('reads', 'seq', 15, 'read_id,')} QUALIFY dense_rank() OVER (PARTITION BY kmer ORDER BY read_id) <= 4",
+    "smallest_codec": f"""WITH {TALK_READS}, c AS (SELECT CAST(col AS INTEGER) AS col, val FROM {TOKENS} WHERE {NUM}), z AS (SELECT col, unnest(['text', 'varint', 'fixed']) AS codec, unnest([sum(length(val)), sum(greatest(ceil(length(bin(CAST(val AS BIGINT))) / 7.0), 1)), count(*) * 4]) AS bytes FROM c GROUP BY col)
+        SELECT col, codec, CAST(bytes AS BIGINT) AS bytes FROM z QUALIFY row_number() OVER (PARTITION BY col ORDER BY bytes, codec) = 1""",
+    "base_contexts": f"WITH {TALK_READS}, p AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS j FROM reads) SELECT CAST((CASE WHEN j = 1 THEN 4 ELSE instr('ACGT', seq[j - 1]) - 1 END * 5 + instr('ACGT', seq[j]) - 1) * 5 + CASE WHEN j = length(seq) THEN 4 ELSE instr('ACGT', seq[j + 1]) - 1 END AS INTEGER) AS ctx, count(*) AS n FROM p GROUP BY 1",
+    "stacked_shards": f"WITH {TALK_READS}, o AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS nth FROM reads) SELECT read_id, nth % 3 AS shard, nth // 3 AS place, row_number() OVER (ORDER BY nth % 3, nth // 3) - 1 AS id FROM o",
+    "chunk_concat": f"WITH {TALK} SELECT cid, substr(s, 1, length(s) // 50 * 50) AS s FROM talk WHERE length(s) >= 50",
+    "mate_ranks": f"WITH {TALK_READS}, p AS (SELECT read_id, cid * 1000 + i // 2 AS pair_id, i % 2 AS mate FROM reads), f AS (SELECT pair_id, row_number() OVER (ORDER BY read_id DESC) - 1 AS rank FROM p WHERE mate = 0) SELECT read_id, pair_id, rank FROM p JOIN f USING (pair_id) WHERE mate = 1",
 }
+SQL["top_symbols"] = f"SELECT q1, posbin, q, scaled FROM ({SQL['quality_contexts']}) WHERE scaled > 100"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
 from seqloom.functions import tables
-from seqloom.operators import calling, coverage, graph, joins, kmers, scores, store
+from seqloom.operators import calling, coverage, graph, joins, kmers, names, sampling, scores, store
 from seqloom.sources import formats
 from seqloom.streaming import incremental
 
@@ -243,3 +243,59 @@ def test_placed_in_passages_that_many_contigs_share(spark):
     reads = spark.createDataFrame([(1, read), (2, read[:50] + ("A" if read[50] != "A" else "C") + read[51:]), (3, base(100)), (4, read)], "read_id long, seq string")
     got = {r.read_id: (r.cid, r.pos, r.rc, r.mm) for r in joins.placed(reads, contigs).collect()}
     assert got == {1: (0, 30, False, 0), 2: (0, 30, False, 1), 4: (0, 30, False, 0)}
+
+
+def test_hashes_equal_python(spark):
+    import zlib
+
+    texts = ["", "A", "GATTACA", "x" * 200]
+    full = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def fnv(t):
+        h = S.FNV_START
+        for c in t.encode():
+            h = (h ^ c) * S.FNV_PRIME & full
+        return signed(h)
+
+    def mixed(x, steps, last):
+        x &= full
+        for shift, c in steps:
+            x = (x ^ x >> shift) * c & full
+        return signed(x ^ x >> last)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fnv1a("t").alias("f"), F.crc32("t").alias("c")).collect()
+    assert {(r.t, r.f, r.c) for r in rows} == {(t, fnv(t), zlib.crc32(t.encode())) for t in texts}
+    values = [0, 1, -1, 1 << 62, -(1 << 63), 123456789012345]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", S.fmix("v").alias("a"), S.splitmix("v").alias("b")).collect()
+    assert {tuple(r) for r in rows} == {(v, mixed(v, S.FMIX, 33), mixed(v, S.SPLITMIX, 31)) for v in values}
+
+
+def test_hashed_minimizers_skip_other_letters_and_take_short_reads(spark):
+    g = genome(60)
+    rows = spark.createDataFrame([(1, g), (2, g[:17]), (3, g[:14]), (4, g[:20] + "N" + g[21:]), (5, "N" * 40), (6, None)], "read_id long, seq string")
+    got = {k: [r for r in kmers.hashed_minimizers(rows, "read_id").orderBy("read_id", "pos").collect() if r.read_id == k] for k in range(1, 7)}
+    assert got[1] and len(got[2]) == 1 and not got[3] and not got[5] and not got[6]
+    assert got[4] and all(r.pos + 15 <= 20 or r.pos > 20 for r in got[4])
+
+
+def test_sequential_names(spark):
+    cases = {1: ["P.7", "P.8", "P.9"], 2: ["P.007", "P.8"], 3: ["P.7", "P.08"], 4: ["P.7", "Q.8"], 5: ["P.7", "P.9"], 6: ["P.0", "P.1"], 7: [".7"], 8: ["a.b.3"], 9: ["x"], 10: [None]}
+    rows = [(g, i, n) for g, ns in cases.items() for i, n in enumerate(ns)]
+    got = {r.g: (r.prefix, r.first, r.sequential) for r in names.sequential(spark.createDataFrame(rows, "g long, i long, name string"), "g", "i").collect()}
+    assert {g for g, r in got.items() if r[2]} == {1, 2, 8}
+    assert got[1] == ("P", 7, True) and got[8] == ("a.b", 3, True)
+
+
+def test_shifted_distance(spark):
+    g = genome(40)
+    rows = spark.createDataFrame([(g, g), (g, g[2:] + "AC"), (g, "TT" + g[:-2]), ("", g), ("A", "")], "a string, b string")
+    got = [r[0] for r in rows.select(S.shifted_distance("a", "b", 3)).collect()]
+    assert got[0] == 0.0 and got[1] <= 2 / 40 and got[2] <= 2 / 40 and got[3:] == [1.0, 1.0]
+
+
+def test_empty_rows_of_ranks_and_shards(spark):
+    none = spark.createDataFrame([], "cid long, len int, place long")
+    assert sampling.by_size(none, "len", "cid").count() == 0
+    assert sampling.stacked(none, "cid", "place").count() == 0
+    assert sampling.kept_first(none, ["cid"], ["len"], 2).count() == 0
