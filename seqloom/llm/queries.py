@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, urlgraph
+from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, trie, urlgraph
 from seqloom.session import read
 
 
@@ -58,11 +58,44 @@ def op10_mixing(spark, sf_dir):
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: CRC-32 of a decimal number's text.
+CRC = """xor(list_reduce(list_transform(range(0, length(k) * 8), lambda i: CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END::BIGINT),
+                lambda h, b: CASE WHEN xor(h, b) & 1 = 1 THEN xor(xor(h, b) >> 1, 3988292384) ELSE xor(h, b) >> 1 END, 4294967295::BIGINT), 4294967295)"""
+
 SQL = {
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || t)) AS nth, r, t
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce("text", '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+        ), conv AS (
+            SELECT c, c - c % 100 AS first, h FROM (SELECT c, {CRC} % 6 AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS k FROM t))
+        ), rebuilt AS (
+            SELECT v.c, t.nth, r, t FROM conv v JOIN t ON t.c = v.first AND t.nth <= v.h
+            UNION ALL SELECT v.c, t.nth + 1000000, r, t FROM conv v JOIN t ON t.c = v.c AND t.nth > v.h
+        ), seqs AS (
+            SELECT v.c, list(struct_pack(r := r, t := t) ORDER BY nth) FILTER (nth IS NOT NULL) AS x FROM conv v LEFT JOIN rebuilt b ON b.c = v.c GROUP BY v.c
+        ), pre AS (
+            SELECT c, d, coalesce(x[1:d], []) AS p, d = coalesce(len(x), 0) AS last FROM (SELECT c, x, unnest(range(0, coalesce(len(x), 0) + 1)) AS d FROM seqs)
+        ), node AS (
+            SELECT d, p, min(c) AS conv_id, count(*) AS n, coalesce(length(p[d].t), 0) AS chars, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends
+            FROM pre GROUP BY d, p
+        ), fam AS (
+            SELECT n.*, m.conv_id AS parent, (SELECT count(*) FROM node k WHERE k.d = n.d + 1 AND k.p[1:n.d] = n.p) AS kids
+            FROM node n LEFT JOIN node m ON m.d = n.d - 1 AND m.p = n.p[1:n.d - 1]
+        ), under AS (
+            SELECT a.d, a.p, CAST(count(*) FILTER (b.kids = 0) AS BIGINT) AS leaves, CAST(sum((b.n - 1) * b.chars) AS BIGINT) AS saved
+            FROM fam a JOIN fam b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.d, a.p
+        )
+        SELECT conv_id, f.d AS depth, parent AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, ends AS ends_sha256
+        FROM fam f JOIN under u ON u.d = f.d AND u.p = f.p""",
     "op4_chat": """
         WITH c AS (
             SELECT conv_id, turn, role, coalesce("text", '') AS t FROM conversations
