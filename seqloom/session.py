@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -35,23 +36,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local temporary one where that is unset (local mode only)."""
+    local temporary one where that is unset and driver and executors are one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.sparkContext.setCheckpointDir(base)
         _drop_at_exit(spark, base)
     return base
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted with those of materialize()."""
+    path = os.path.join(shared_dir(spark), f"seqloom-{label}-{uuid.uuid4().hex}")
+    _drop_at_exit(spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "part", sweep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the plan above starts
     from files that outlive any executor. sweep: after it, have the executors
     delete the shuffles that nothing refers to any more, as those of a large df."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"seqloom-{label}-{uuid.uuid4().hex}")
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _drop_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     if sweep:
@@ -68,10 +77,11 @@ BATCH_ROWS = 1000
 
 
 def arrowed(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema) in small batches; the worker gives free memory
-    back after each task, as workers live on and an executor's limit covers all."""
+    """df.mapInArrow(run, schema) in small batches, unless the session says how
+    large they are; the worker gives free memory back after each task, as workers
+    live on and an executor's limit covers all."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
+    if name not in conf.getAll:
         conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(released(run), schema)
 
