@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, trie, urlgraph
+from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, trie, urlgraph, warc
 from seqloom.session import read
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_warc(spark, sf_dir):
+    return warc.reread(read(spark, sf_dir, "pages"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -70,6 +74,10 @@ def queries():
 CRC = """xor(list_reduce(list_transform(range(0, length(k) * 8), lambda i: CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END::BIGINT),
                 lambda h, b: CASE WHEN xor(h, b) & 1 = 1 THEN xor(xor(h, b) >> 1, 3988292384) ELSE xor(h, b) >> 1 END, 4294967295::BIGINT), 4294967295)"""
 
+#: Base 32 of 40 hexadecimal digits: four letters for every five digits.
+BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')"""
+
 SQL = {
     "op11_prefix_trie": f"""
         WITH t AS (
@@ -110,6 +118,14 @@ SQL = {
         SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM x""",
+    "op12_warc": f"""
+        WITH p AS (
+            SELECT page_id, strlen(h) AS size, sha1(h) AS x, first_value(page_id) OVER w AS top, row_number() OVER w AS r
+            FROM (SELECT page_id, url, coalesce(html, '') AS h FROM pages) WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+        )
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN r > 1 THEN top END AS refers_to
+        FROM p""",
     "op6_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
