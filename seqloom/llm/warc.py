@@ -147,7 +147,7 @@ def archived(pages: DataFrame, path: str | None = None, gzip: bool = True, archi
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["value"])
 
     out = arrowed(kept.union(again), build, "value binary").select(F.col("value").cast("string").alias("value"))
-    a_file = max(1, int(archive // max(1, (whole["size"] or 0) / max(1, whole["n"]) + 600)))
+    a_file = max(1, int(archive // max(1, (whole["size"] or 0) / (whole["n"] or 1) + 600)))
     out.write.option("lineSep", "\0" if gzip else END.decode()).option("maxRecordsPerFile", a_file).mode("overwrite").text(path)
     return path
 
