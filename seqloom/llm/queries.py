@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import capfilters, chat, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, trie, urlgraph, warc
+from seqloom.llm import capfilters, chat, hardneg, jaccard, mixing, packing, quality, secretscan, suffixtree, topk, trie, urlgraph, warc
 from seqloom.session import read
 
 
@@ -66,6 +66,11 @@ def op12_warc(spark, sf_dir):
     return warc.reread(read(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mined(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -126,6 +131,21 @@ SQL = {
         SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN r > 1 THEN top END AS refers_to
         FROM p""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS a, c.vec_id AS x, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+        ), pos AS (
+            SELECT a, x AS positive_id, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, x) <= 5
+        ), neg AS (
+            SELECT pos.a, positive_id, p, x, score, CAST(row_number() OVER (PARTITION BY pos.a, positive_id ORDER BY score DESC, x) AS INTEGER) AS rank
+            FROM pos JOIN s ON s.a = pos.a AND NOT same AND 80 * p <= 100 * score AND 100 * score <= 100 * p
+        )
+        SELECT a AS anchor_id, positive_id, rank, x AS negative_id, p AS positive_score, score AS negative_score FROM neg WHERE rank <= 5""",
     "op6_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
