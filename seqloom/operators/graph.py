@@ -10,32 +10,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import reverse_complement
-from seqloom.session import materialize
+from seqloom.session import drop_table, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of edges (u, v): the smallest id that
-    its links reach. Each round hooks every vertex to its smallest neighbour,
-    jumps once more along those pointers and contracts the edges."""
+    its links reach.
+
+    Each round every vertex goes to the one of smallest hash among itself and
+    its neighbours, and on to where that one goes; edges are contracted. Hashes
+    are new in each round, so a part of the vertices that does not depend on
+    the graph's shape goes, long chains in the order of their ids included, and
+    the number of rounds is logarithmic. The smallest ids are taken in the end."""
     e = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     maps: list[DataFrame] = []
     while e.limit(1).count():
+        hashed = lambda c, n=len(maps): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("p"))
         both = e.union(e.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("p"))
+        hook = both.groupBy("u").agg(F.min(hashed("v")).alias("m")).select(F.col("u").alias("id"), F.least("m", hashed("u"))["p"].alias("p"))
         up = hook.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
         jump = materialize(hook.join(up, F.col("p") == F.col("_i")).select("id", F.col("_p").alias("p")), "jump")
         maps.append(jump)
         a, b = (jump.select(F.col("id").alias(f"_{x}"), F.col("p").alias(f"_p{x}")) for x in "uv")
-        e = e.join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v"))
-        e = e.select(F.least("_pu", "_pv").alias("u"), F.greatest("_pu", "_pv").alias("v")).where("u <> v").distinct()
-        e = materialize(e, "edges")
+        was, e = e, e.join(a, F.col("u") == F.col("_u")).join(b, F.col("v") == F.col("_v"))
+        e = materialize(e.select(F.least("_pu", "_pv").alias("u"), F.greatest("_pu", "_pv").alias("v")).where("u <> v").distinct(), "edges")
+        drop_table(was)
     if not maps:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    out = maps[0].select("id", F.col("p").alias("component"))
+    out = maps[0].select("id", F.col("p").alias("at"))
     for m in maps[1:]:
         m = m.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
-        out = out.join(m, F.col("component") == F.col("_i"), "left").select("id", F.coalesce("_p", "component").alias("component"))
-    return out
+        out = out.join(m, F.col("at") == F.col("_i"), "left").select("id", F.coalesce("_p", "at").alias("at"))
+    out = materialize(out, "labels")
+    drop_table(*maps)
+    least = out.groupBy(F.col("at").alias("_at")).agg(F.min("id").alias("component"))
+    return out.join(least, F.col("at") == F.col("_at")).select("id", "component")
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
@@ -74,22 +83,35 @@ def matched(proposals: DataFrame) -> DataFrame:
     return done
 
 
-def paths(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def paths(links: DataFrame, nodes: DataFrame, cyclic: bool = True) -> DataFrame:
     """(id, head, rank) of every node along links (src, dst) in which no node
     has two links out or two in: the first node of its path and the steps from
-    it. Pointers double each round. Cycles are cut before their smallest node."""
+    it. Pointers double each round. Cycles are cut before their smallest node;
+    cyclic says whether there can be any."""
+    if cyclic:
+        links = _opened(links)
+    return _doubled(links, nodes)
+
+
+def _opened(links: DataFrame) -> DataFrame:
+    """links without the one into the smallest node of each cycle."""
     comp = components(links.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     starts = links.select("src").join(links.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
     headed = comp.join(starts.select(F.col("src").alias("id")), "id").select("component").distinct()
     cyclic = comp.join(headed, "component", "left_anti").select("component").distinct()
-    links = links.join(cyclic.select(F.col("component").alias("dst")), "dst", "left_anti")
+    return links.join(cyclic.select(F.col("component").alias("dst")), "dst", "left_anti")
+
+
+def _doubled(links: DataFrame, nodes: DataFrame) -> DataFrame:
     at = nodes.join(links.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("rank"))
     at = materialize(at, "at")
     while True:
         up = at.select(F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("rank").alias("_rank"))
         new = materialize(at.join(up, F.col("up") == F.col("_i")).select("id", F.col("_up").alias("up"), (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("_up") != F.col("up")).alias("moved")), "at")
         moved = new.where("moved").limit(1).count()
+        drop_table(at)
         at = new.drop("moved")
+        at.written_to = new.written_to
         if not moved:
             return at.select("id", F.col("up").alias("head"), "rank")
 

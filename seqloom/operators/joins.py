@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import hamming, reverse_complement
@@ -92,22 +92,23 @@ def overlaps(seqs: DataFrame, key: str = "uid", least: int = 24, top: int = 8) -
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
 
-def placed(reads: DataFrame, contigs: DataFrame, k: int = 24) -> DataFrame:
+def placed(reads: DataFrame, contigs: DataFrame, k: int = 24, parts: int = 2, most: Column | None = None) -> DataFrame:
     """(read_id, cid, pos, rc, mm): fallback placement. Seeds at a read's start,
-    middle and end, both strands, give places; the one of fewest mismatches, at
-    most an eighth of the read, wins (ties: cid, pos, strand). Places of equal
-    text around a seed count as their first one, and equal reads as one read, so
-    that copies do not multiply."""
+    end and between (parts + 1 in all), both strands, give places; the one of
+    fewest mismatches, at most an eighth of the read's length n or `most`, wins
+    (ties: cid, pos, strand). Places of equal text around a seed count as their
+    first one, and equal reads as one read, so that copies do not multiply."""
+    most = F.greatest(F.lit(1), F.floor(F.col("n") / 8)) if most is None else most
     texts = materialize(reads.where(F.col("seq").isNotNull()).select("seq").distinct().select("seq", F.col("seq").alias("text")), "texts")
     v = views(texts, "text")
     n = F.length("seq")
-    offs = F.array_distinct(F.array(F.lit(0), ((n - k) / 2).cast("int"), n - k))
+    offs = F.array_distinct(F.array(*[F.floor((n - k) * i / parts).cast("int") for i in range(parts + 1)]))
     seeds = v.where(n >= k).select("*", n.alias("n"), F.explode(offs).alias("off")).select("*", F.col("seq").substr(F.col("off") + 1, F.lit(k)).alias("kmer"))
     index = exploded(contigs, k, ["cid"], "s", canonical=False).select("cid", "kmer", F.col("pos").alias("c_pos"))
     wanted = index.join(seeds.select("kmer", "off", "n").distinct(), "kmer").select("kmer", "off", "n", "cid", (F.col("c_pos") - F.col("off")).alias("pos")).where("pos >= 0")
     windows = wanted.join(contigs.select("cid", "s"), "cid").select("kmer", "off", "n", "cid", "pos", F.col("s").substr(F.col("pos") + 1, F.col("n")).alias("there")).where(F.length("there") == F.col("n"))
     windows = windows.groupBy("kmer", "off", "n", "there").agg(F.min(F.struct("cid", "pos")).alias("at"))
-    rows = seeds.join(windows, ["kmer", "off", "n"]).select("text", "at", "view", "n", hamming("seq", "there").alias("mm")).where(F.col("mm") <= F.greatest(F.lit(1), F.floor(F.col("n") / 8)))
+    rows = seeds.join(windows, ["kmer", "off", "n"]).select("text", "at", "view", "n", hamming("seq", "there").alias("mm")).where(F.col("mm") <= most)
     best = rows.groupBy("text").agg(F.min(F.struct("mm", F.col("at.cid").alias("cid"), F.col("at.pos").alias("pos"), "view")).alias("b"))
     best = reads.select("read_id", F.col("seq").alias("text")).join(best, "text").groupBy("read_id").agg(F.min("b").alias("b"))
     return best.select("read_id", F.col("b.cid").alias("cid"), F.col("b.pos").alias("pos"), (F.col("b.view") == 1).alias("rc"), F.col("b.mm").alias("mm"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
-from seqloom.operators import calling, coverage, graph, joins, kmers, names, quality, sampling, store, views
+from seqloom.operators import calling, coverage, graph, growth, joins, kmers, names, quality, sampling, store, views
 from seqloom.session import materialize, read
 
 
@@ -25,6 +25,10 @@ def talk(spark: SparkSession, d: str) -> DataFrame:
     return views.dna(read(spark, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), high=True)
 
 
+def _turn_id():
+    return F.col("conv_id") * 1000 + F.col("turn")
+
+
 def text_reads(spark, d):
     return views.reads(texts(spark, d))
 
@@ -638,8 +642,67 @@ def mate_ranks(spark, d):
     return r.where("mate = 1").join(first.select("pair_id", F.col("at").alias("rank")), "pair_id").select("read_id", "pair_id", "rank")
 
 
+def graded_reads(spark, d):
+    """Reads of both strands, some with other bases, of high and low quality."""
+    r = views.haplotype_reads(views.dna(read(spark, d, "conversations"), _turn_id()))
+    return r.select(F.col("read_id").alias("uid"), "seq", S.passes_tail("seq", "qual").alias("hq"))
+
+
+def graded_starts(spark, d):
+    """One contig for each 300 bases of a turn, so that ends overlap by 60 and
+    hold other bases, and every second one from the other strand."""
+    w = views.windows(talk(spark, d), 360, 300).select((F.col("cid") * 1000 + F.col("i")).alias("cid"), "seq", "i")
+    off = F.concat(F.col("seq").substr(1, 330), F.translate(F.col("seq").substr(331, 1), "ACGT", "CGTA"), F.col("seq").substr(332, 29))
+    return w.select("cid", F.when(F.col("i") % 2 == 1, S.reverse_complement(off)).otherwise(off).alias("s"))
+
+
+def anchor_overlaps(spark, d):
+    v = growth.oriented(graded_reads(spark, d))
+    o = growth.suffix_prefix(v.withColumnRenamed("id", "src"), v.withColumnRenamed("id", "dst"), 24, F.lit(4))
+    return o.where("src <> dst")
+
+
+def anchor_assembly(spark, d):
+    return growth.anchor_grown(graded_reads(spark, d))[0]
+
+
+def multi_contig_placement(spark, d):
+    return growth.placed_all(graded_reads(spark, d), error=0.06)[0]
+
+
+def frontier_placement(spark, d):
+    return growth.placed_all(graded_reads(spark, d), error=0.10, batches=4, open_all=False)[0]
+
+
+def merge_overlaps(spark, d):
+    return growth.merge_overlaps(graded_starts(spark, d))
+
+
+def contig_merge(spark, d):
+    return growth.merged(graded_starts(spark, d))[0]
+
+
+def nested(spark, d):
+    """Contigs, a part of each with two other bases, and a part of that part;
+    every second one from the other strand."""
+    a = talk(spark, d).select("cid", "s").where(F.length("s") >= 200)
+    swap = lambda c, i: F.concat(F.col(c).substr(1, i - 1), F.translate(F.col(c).substr(i, 1), "ACGT", "CGTA"), F.col(c).substr(F.lit(i + 1), F.length(c)))
+    turn = lambda c: F.when(F.col("cid") % 2 == 0, S.reverse_complement(c)).otherwise(F.col(c))
+    b = a.select("cid", F.col("s").substr(11, 150).alias("s")).select("cid", swap("s", 20).alias("s")).select("cid", swap("s", 90).alias("s"))
+    c = b.select("cid", F.col("s").substr(41, 80).alias("s"))
+    return a.select(F.col("cid") * 3, "s").union(b.select(F.col("cid") * 3 + 1, turn("s"))).union(c.select(F.col("cid") * 3 + 2, "s")).toDF("cid", "s")
+
+
+def contained_inexact(spark, d):
+    return growth.hosts(nested(spark, d))
+
+
+def contained_resolved(spark, d):
+    return growth.resolved(growth.hosts(nested(spark, d)))
+
+
 
-NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted")]
+NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted", "graded_reads", "graded_starts", "nested")]
 
 
 def queries() -> dict:

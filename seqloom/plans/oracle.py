@@ -177,7 +177,43 @@ def shift_cost(n: int) -> str:
 
 PLANTED = "planted AS (SELECT cid, p AS pos FROM (SELECT cid, unnest(range(0, length(s))) AS p FROM talk WHERE length(s) >= 100) WHERE p % 97 = 48)"
 
+GRADED = dna("lowtalk", "conversations", "conv_id * 1000 + turn", AS_QUAL) + ", " + HAPS.replace(TALK + ", ", "").replace("FROM talk", "FROM lowtalk")
+VIEWS2 = f"""v AS MATERIALIZED (SELECT 2 * read_id AS id, seq FROM haps UNION ALL SELECT 2 * read_id + 1, {rc('seq')} FROM haps)"""
+STARTS = TALK + f""", w AS (SELECT cid * 1000 + i AS cid, i, substr(s, 1 + 300 * i, 330) || translate(substr(s, 331 + 300 * i, 1), 'ACGT', 'CGTA') || substr(s, 332 + 300 * i, 29) AS x
+        FROM (SELECT cid, s, CAST(unnest(range(0, (length(s) - 360) // 300 + 1)) AS INTEGER) AS i FROM talk WHERE length(s) >= 360)),
+    v AS MATERIALIZED (SELECT 2 * cid AS id, CASE WHEN i % 2 = 1 THEN {rc('x')} ELSE x END AS seq FROM w UNION ALL SELECT 2 * cid + 1, CASE WHEN i % 2 = 1 THEN x ELSE {rc('x')} END FROM w)"""
+
+
+def suffix_prefix(k: int, steps: int, least: int, most: str, more: str) -> str:
+    """SQL of inexact overlaps of the views v (id, seq)."""
+    return f"""seeds AS (SELECT id AS src, length(seq) AS n, b, substr(seq, length(seq) - b - {k - 1}, {k}) AS kmer FROM (SELECT *, unnest(range(0, {steps * k}, {k})) AS b FROM v) WHERE length(seq) >= b + {k}),
+    km AS (SELECT id AS dst, length(seq) AS m, p, substr(seq, CAST(p + 1 AS INTEGER), {k}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS p FROM v)),
+    pr AS (SELECT DISTINCT src, dst, p + {k} + b AS overlap FROM seeds JOIN km USING (kmer) WHERE p + {k} + b <= n AND p + {k} + b <= m AND p + {k} + b >= {least} {more}),
+    ov AS (SELECT src, dst, CAST(overlap AS INTEGER) AS overlap, CAST(hamming(substr(a.seq, CAST(length(a.seq) - overlap + 1 AS INTEGER), CAST(overlap AS INTEGER)), substr(b.seq, 1, CAST(overlap AS INTEGER))) AS INTEGER) AS mm FROM pr JOIN v a ON a.id = src JOIN v b ON b.id = dst)
+    SELECT src, dst, overlap, mm FROM ov WHERE mm <= {most}"""
+
+
+def swapped(x: str, i: int) -> str:
+    return f"(substr({x}, 1, {i - 1}) || translate(substr({x}, {i}, 1), 'ACGT', 'CGTA') || substr({x}, {i + 1}))"
+
+
+NESTED = TALK + f""", parts AS (SELECT cid, s, {swapped(swapped('substr(s, 11, 150)', 20), 90)} AS b FROM talk WHERE length(s) >= 200),
+    nested AS MATERIALIZED (SELECT cid * 3 AS cid, s FROM parts UNION ALL SELECT cid * 3 + 1, CASE WHEN cid % 2 = 0 THEN {rc('b')} ELSE b END FROM parts UNION ALL SELECT cid * 3 + 2, substr(b, 41, 80) FROM parts),
+    v AS MATERIALIZED (SELECT cid, 0 AS view, s AS seq, length(s) AS n FROM nested UNION ALL SELECT cid, 1, {rc('s')}, length(s) FROM nested),
+    seeds AS (SELECT cid, view, n, off, substr(seq, CAST(off + 1 AS INTEGER), 11) AS kmer FROM (SELECT DISTINCT cid, view, n, seq, (n - 11) * i // 8 AS off FROM v, range(0, 9) AS t(i))),
+    km AS (SELECT cid AS to_cid, length(s) AS m, p AS spot, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM (SELECT *, unnest(range(0, length(s) - 10)) AS p FROM nested)),
+    pl AS (SELECT DISTINCT cid, view, to_cid, spot - off AS pos, n FROM seeds JOIN km USING (kmer) WHERE cid <> to_cid AND (m > n OR (m = n AND to_cid < cid)) AND spot >= off AND spot - off + n <= m),
+    fit AS (SELECT pl.*, hamming(v.seq, substr(t.s, CAST(pos + 1 AS INTEGER), CAST(pl.n AS INTEGER))) AS mm FROM pl JOIN v USING (cid, view) JOIN nested t ON t.cid = to_cid),
+    hosts AS MATERIALIZED (SELECT cid, to_cid, pos, view = 1 AS rc, CAST(n AS INTEGER) AS len, CAST(mm AS INTEGER) AS mm FROM fit WHERE mm <= floor(n * 0.06) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY mm, to_cid, pos, view) = 1)"""
+
 SQL = {
+    "anchor_overlaps": f"WITH {GRADED}, {VIEWS2}, {suffix_prefix(24, 1, 0, '4', 'AND src <> dst')}",
+    "merge_overlaps": f"WITH {STARTS}, {suffix_prefix(11, 7, 16, 'floor(overlap * 0.06)', 'AND src // 2 <> dst // 2 AND p + 11 + b < n AND p + 11 + b < m')}",
+    "contained_inexact": f"WITH {NESTED} SELECT * FROM hosts",
+    "contained_resolved": f"""WITH RECURSIVE {NESTED}, up AS (
+        SELECT cid, to_cid, pos, rc, len FROM hosts
+        UNION ALL SELECT u.cid, h.to_cid, CASE WHEN h.rc THEN h.pos + h.len - u.pos - u.len ELSE h.pos + u.pos END, u.rc <> h.rc, u.len FROM up u JOIN hosts h ON h.cid = u.to_cid)
+        SELECT cid, to_cid, CAST(pos AS BIGINT) AS pos, rc, len FROM up WHERE to_cid NOT IN (SELECT cid FROM hosts)""",
     "reads_derive": f"WITH {TEXT_READS} SELECT read_id, cid, i, name, seq, qual FROM reads",
     "revcomp": f"WITH {TALK_READS} SELECT read_id, {rc('seq')} AS rc FROM reads",
     "kmer_count": f"WITH {TEXT_READS} SELECT kmer, n FROM {count_sql('reads', 'seq', 8)}",
