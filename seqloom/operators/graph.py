@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import reverse_complement
+from seqloom.operators.sampling import indexed, running
 from seqloom.session import drop_table, materialize
 
 
@@ -66,23 +67,6 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
     return tree
 
 
-def matched(proposals: DataFrame) -> DataFrame:
-    """(out_end, in_end, weight): edges that are the best both of their out end
-    and of their in end, in rounds, until none is left; larger weight first,
-    then the ends' order. Each end is used once."""
-    left = materialize(proposals.select("out_end", "in_end", "weight").distinct(), "proposals")
-    done = left.limit(0)
-    while left.limit(1).count():
-        order = F.struct((-F.col("weight")).alias("w"), "out_end", "in_end")
-        a = left.groupBy("out_end").agg(F.min(order).alias("x")).select("x.*")
-        b = left.groupBy("in_end").agg(F.min(order).alias("x")).select("x.*")
-        new = materialize(a.join(b, ["w", "out_end", "in_end"]).select("out_end", "in_end", (-F.col("w")).alias("weight")), "new")
-        done = materialize(done.union(new), "done")
-        left = left.join(new.select("out_end"), "out_end", "left_anti").join(new.select("in_end"), "in_end", "left_anti")
-        left = materialize(left, "left")
-    return done
-
-
 def paths(links: DataFrame, nodes: DataFrame, cyclic: bool = True) -> DataFrame:
     """(id, head, rank) of every node along links (src, dst) in which no node
     has two links out or two in: the first node of its path and the steps from
@@ -117,31 +101,42 @@ def _doubled(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def tree_order(tree: DataFrame) -> DataFrame:
-    """(id, component, at): vertices of a spanning forest in depth-first order
-    from the smallest of each component, smaller neighbours first. Components
-    are ordered in one task each, streamed by component."""
-    comp = components(tree.select("u", "v"))
-    rows = tree.join(comp.select(F.col("id").alias("u"), "component"), "u").select("component", "u", "v")
-
-    def walk(pdf):
-        import pandas as pd
-
-        near: dict[int, list[int]] = {}
-        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        first = int(pdf.component.iloc[0])
-        out, stack, seen = [], [first], {first}
-        while stack:
-            x = stack.pop()
-            out.append(x)
-            for y in sorted(near[x], reverse=True):
-                if y not in seen:
-                    seen.add(y)
-                    stack.append(y)
-        return pd.DataFrame({"id": out, "component": first, "at": range(len(out))})
-
-    return rows.groupBy("component").applyInPandas(walk, "id long, component long, at long")
+    """(id, component, at, parent, depth): vertices of a forest (u, v) in
+    depth-first order from the smallest of each component, smaller neighbours
+    first; the root's parent is null.
+
+    Every edge is walked both ways in one tour of its tree; list ranking by
+    doubling gives each step's place in the tour, hence parents and subtree
+    sizes. A vertex comes after its parent and the subtrees of its smaller
+    siblings, so running sums along the tour are the order. All steps of a
+    vertex of many edges, and of a long tour, are spread over tasks."""
+    both = tree.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b")
+    arcs = materialize(indexed(both.union(both.select("b", "a")).distinct(), ["a", "b"]), "arcs")
+    ends = materialize(arcs.groupBy(F.col("a").alias("_a")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")), "ends")
+    root = components(tree.select("u", "v")).where("id = component").select(F.col("id").alias("_a"))
+    starts = ends.join(root, "_a").select(F.col("lo").alias("start"))
+    # behind an edge into a vertex comes that vertex's next edge, behind its last one the first
+    last = ends.select(F.col("hi").alias("_i"), "lo")
+    then = arcs.join(last, F.col("idx") == F.col("_i"), "left").select(F.col("a").alias("b"), F.col("b").alias("a"), F.coalesce("lo", F.col("idx") + 1).alias("dst"))
+    links = arcs.select("a", "b", F.col("idx").alias("src")).join(then, ["a", "b"]).select("src", "dst")
+    links = links.join(starts, F.col("dst") == F.col("start"), "left_anti")
+    tour = paths(materialize(links, "links"), arcs.select(F.col("idx").alias("id")), cyclic=False)
+    tour = materialize(arcs.join(tour, F.col("idx") == F.col("id")).select("a", "b", "idx", "part", "head", "rank"), "tour")
+    back = tour.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("rank").alias("back"))
+    steps = tour.join(back, ["a", "b"]).withColumn("down", F.col("rank") < F.col("back"))
+    # subtrees of smaller siblings, by parent and range of the sorted edges
+    size = F.when(F.col("down"), (F.col("back") - F.col("rank") + 1) / 2).otherwise(0).cast("long")
+    steps = materialize(running(steps.withColumn("size", size), "a", "part", [F.col("idx")], {"upto": F.col("size")}), "steps")
+    jump = steps.where("down").select(F.col("a").alias("p"), F.col("b").alias("c"), (F.col("upto") - F.col("size") + 1).alias("jump"))
+    down = steps.where("down").join(jump.select(F.col("p").alias("a"), F.col("c").alias("b"), "jump"), ["a", "b"])
+    up = steps.where("not down").join(jump.select(F.col("c").alias("a"), F.col("p").alias("b"), (-F.col("jump")).alias("jump")), ["a", "b"])
+    walk = down.select("a", "b", "head", "rank", "down", "jump").union(up.select("a", "b", "head", "rank", "down", "jump")).withColumn("block", F.floor(F.col("rank") / 65536))
+    walk = running(walk, "head", "block", [F.col("rank")], {"at": F.col("jump"), "depth": F.when(F.col("down"), 1).otherwise(-1)})
+    roots = steps.join(starts, F.col("idx") == F.col("start")).select(F.col("idx").alias("head"), F.col("a").alias("component"))
+    rows = walk.where("down").join(roots.withColumnRenamed("head", "_h"), F.col("head") == F.col("_h"))
+    rows = rows.select(F.col("b").alias("id"), "component", F.col("at").cast("long").alias("at"), F.col("a").alias("parent"), F.col("depth").cast("long").alias("depth"))
+    zero = F.lit(0).cast("long")
+    return rows.union(roots.select("component", "component", zero, F.lit(None).cast("long"), zero))
 
 
 # de Bruijn graphs: a k-mer is an edge from its first k - 1 bases to its last
@@ -164,24 +159,31 @@ def dbg_degrees(edges: DataFrame) -> DataFrame:
 
 
 def without_tips(edges: DataFrame, longest: int) -> DataFrame:
-    """edges without simple paths of fewer than `longest` edges that start at a
-    node without links in and dead-end, again and again until none is left."""
+    """edges without tips, again and again until none is left: from a node that
+    nothing leads to (in edges as given), along nodes with one way on, to one
+    without any, in fewer than `longest` steps. All nodes of the walk lose their
+    edges, also where several walks have met; walks that led to them end there.
+
+    The ways on are followed by doubling, and so are the marks of the walks."""
     e = materialize(edges, "edges")
+    starts = materialize(e.select("src").distinct().join(e.select(F.col("dst").alias("src")), "src", "left_anti"), "starts")
     while True:
-        d = dbg_degrees(e)
-        simple = d.where("n_out <= 1 and n_in <= 1").select("node")
-        inner = e.join(simple.select(F.col("node").alias("src")), "src").join(simple.select(F.col("node").alias("dst")), "dst").select("src", "dst")
-        if not inner.limit(1).count():
+        out = e.groupBy("src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("to"))
+        jumps = [materialize(out.where("n = 1").select(F.col("src").alias("node"), "to", F.lit(1).cast("long").alias("steps")), "jump")]
+        while 2 ** (len(jumps) - 1) < longest:
+            on = jumps[-1].select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("steps").alias("_s"))
+            far = jumps[-1].join(on, F.col("to") == F.col("_n"), "left")
+            jumps.append(materialize(far.select("node", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")), "jump"))
+        ended = jumps[-1].where(F.col("steps") < longest).join(out.select(F.col("src").alias("to")), "to", "left_anti")
+        gone = materialize(ended.select("node").join(starts.select(F.col("src").alias("node")), "node", "left_semi"), "gone")
+        found = gone.limit(1).count()
+        if found:
+            for jump in jumps:
+                gone = materialize(gone.union(gone.join(jump, "node").select(F.col("to").alias("node"))).distinct(), "gone")
+            e = materialize(e.join(gone.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
+        drop_table(*jumps)
+        if not found:
             return e
-        comp = materialize(components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v"))), "comp")
-        own = comp.join(d.withColumnRenamed("node", "id"), "id")
-        whole = own.groupBy("component").agg(F.count("*").alias("n"), F.min("n_in").alias("i"), F.min("n_out").alias("o"))
-        # a path on its own: its ends have no other links
-        dead = whole.where(F.expr("i = 0 and o = 0") & (F.col("n") - 1 < longest))
-        gone = materialize(comp.join(dead.select("component"), "component").select(F.col("id").alias("src")), "gone")
-        if not gone.limit(1).count():
-            return e
-        e = materialize(e.join(gone, "src", "left_anti"), "edges")
 
 
 def unitigs(edges: DataFrame) -> DataFrame:
@@ -199,34 +201,69 @@ def unitigs(edges: DataFrame) -> DataFrame:
     return rows.select(F.element_at("x", 1)["src"].alias("head"), F.element_at("x", -1)["dst"].alias("tail"), F.size("x").alias("n_edges"), seq.alias("seq"))
 
 
-def euler_string(edges: DataFrame) -> str | None:
-    """The string of an Eulerian path when at most two nodes are unbalanced, by
-    Hierholzer's walk over one component in one task; None otherwise (then the
-    contigs, longest first, stand in)."""
-    if dbg_degrees(edges).where("unbalanced").limit(3).count() > 2:
-        return None
-
-    def walk(pdf):
-        import pandas as pd
-
-        out: dict[str, list[str]] = {}
-        degree: dict[str, int] = {}
-        for s, t in sorted(zip(pdf.src, pdf.dst), reverse=True):
-            out.setdefault(s, []).append(t)
-            degree[s] = degree.get(s, 0) + 1
-            degree[t] = degree.get(t, 0) - 1
-        start = min((n for n, x in degree.items() if x > 0), default=min(out))
-        stack, path = [start], []
-        while stack:
-            if out.get(stack[-1]):
-                stack.append(out[stack[-1]].pop())
-            else:
-                path.append(stack.pop())
-        path.reverse()
-        return pd.DataFrame({"s": [path[0] + "".join(n[-1] for n in path[1:])], "n": [len(path)]})
-
-    rows = edges.select("src", "dst").groupBy(F.lit("all")).applyInPandas(walk, "s string, n long").collect()
-    return rows[0].s if rows else ""
+def euler_trails(edges: DataFrame) -> DataFrame:
+    """(id, trail, at) of every edge (id, src, dst): its trail, named by one of
+    its edges, and its place there. Every edge lies on one trail, and there are
+    as few as can be: where more edges leave nodes of a component than enter
+    them, one for each such edge, else one circuit.
+
+    Edges into a node are paired with edges out of it, which gives trails and
+    circuits. Circuits of one half, by a hash, then join trails of the other
+    half that they share a node with, by exchanging what comes next there; half
+    of those that can join do so in a round."""
+    e = edges.select("id", "src", "dst")
+    way = lambda node, key, side: e.select(F.col(node).alias("node"), F.col("id").alias(key)).withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(key)))
+    into, out = way("dst", "a", 0), way("src", "b", 1)
+    pairs = into.join(out, ["node", "nth"], "full").select("node", "a", "b")
+    pairs = materialize(pairs, "pairs")  # a without b: a trail ends; b without a: one begins
+    same = materialize(components(pairs.where("a is not null and b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))), "same")
+    label = e.select("id").join(same, "id", "left").select("id", F.coalesce("component", "id").alias("trail"))
+    begun = pairs.where("a is null").select(F.col("b").alias("id")).join(label, "id").select("trail").withColumn("open", F.lit(True))
+    label = materialize(label.join(begun, "trail", "left").select("id", "trail", F.coalesce("open", F.lit(False)).alias("open")), "label")
+    done = 0
+    while True:
+        # a pair is a passage through a node of its edges' trail; one that begins there counts too
+        own = pairs.withColumn("id", F.coalesce("a", "b")).join(label, "id").drop("id")
+        at = materialize(own.select("node", "a", "b", "trail", "open"), "passages")
+        mixed = at.groupBy("node").agg(F.min("trail").alias("x"), F.max("trail").alias("y"), F.min("open").alias("o")).where("x <> y and not o").select("node")
+        if not mixed.limit(1).count():
+            break
+        near = at.join(mixed, "node", "left_semi")
+        # who stays: open trails, and circuits whose hash says so
+        stays = F.col("open") | (F.pmod(F.xxhash64("trail", F.lit(done)), F.lit(2)) == 0)
+        near = near.withColumn("stays", stays)
+        pick = lambda rows: rows.groupBy("node").agg(F.min(F.struct("trail", "a", "b", "open")).alias("k"))
+        hosts = pick(near.where("stays"))
+        guests = near.where("not stays").join(hosts, "node").groupBy("trail").agg(F.min(F.struct("node", "a", "b", "k")).alias("g"))
+        guests = materialize(guests.select(F.col("trail").alias("guest"), "g.node", "g.a", "g.b", F.col("g.k").alias("k")), "guests")
+        done += 1
+        if guests.limit(1).count():
+            # at a node: host's edge, then the guests' in turn; each goes on where the one before did
+            ring = guests.select("node", F.col("guest").alias("o"), "a", "b").union(guests.select("node", F.lit(None).cast("long"), "k.a", "k.b").distinct())
+            w = Window.partitionBy("node").orderBy(F.asc_nulls_first("o"))
+            lo, hi = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lead("b").over(w)
+            more = F.lead(F.lit(1)).over(w)
+            turned = ring.select("node", "a", F.col("b").alias("was"), F.when(more == 1, hi).otherwise(lo).alias("b"))
+            keep = pairs.join(turned.select("node", F.col("a").alias("_a"), F.col("was")).withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("was")), "left_anti")
+            pairs = materialize(keep.select("node", "a", "b").union(turned.select("node", "a", "b")), "pairs")
+            into_ = guests.select(F.col("guest").alias("trail"), F.col("k.trail").alias("host"), F.col("k.open").alias("host_open"))
+            label = materialize(label.join(into_, "trail", "left").select("id", F.coalesce("host", "trail").alias("trail"), F.coalesce("host_open", "open").alias("open")), "label")
+    links = materialize(pairs.where("a is not null and b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    # a circuit begins with its smallest edge
+    cut = label.where("not open").groupBy("trail").agg(F.min("id").alias("dst")).select("dst")
+    links = materialize(links.join(cut, "dst", "left_anti"), "links")
+    return paths(links, e.select("id"), cyclic=False).select("id", F.col("head").alias("trail"), F.col("rank").alias("at"))
+
+
+def euler_strings(edges: DataFrame) -> DataFrame:
+    """(trail, n_edges, seq) of the trails over edges (src, dst): the first
+    node and then the last base of each node after it, longest first when read
+    in the order of n_edges."""
+    named = materialize(indexed(edges.select("src", "dst"), ["src", "dst"]).select(F.col("idx").alias("id"), "src", "dst"), "named")
+    rows = euler_trails(named).join(named, "id")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.right("dst", F.lit(1)).alias("base"), "src")))
+    rows = rows.groupBy("trail").agg(parts.alias("x"))
+    return rows.select("trail", F.size("x").alias("n_edges"), F.concat(F.element_at("x", 1)["src"], F.array_join(F.transform("x", lambda p: p["base"]), "")).alias("seq"))
 
 
 def greedy_superstring(seqs: DataFrame, k: int, key: str = "uid") -> DataFrame:

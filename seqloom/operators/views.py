@@ -15,6 +15,8 @@ AS_QUAL = "".join(chr(35 + i) for i in range(26))
 AS_HIGH_QUAL = "".join(chr(55 + i) for i in range(26))
 WIDTH, STRIDE = 100, 50
 HAP_STRIDE = 10
+#: Windows of a contig that ids keep apart.
+WINDOWS = 1_000_000
 
 
 def dna(texts: DataFrame, cid: Column, high: bool = False) -> DataFrame:
@@ -24,6 +26,11 @@ def dna(texts: DataFrame, cid: Column, high: bool = False) -> DataFrame:
     return rows.select("cid", F.translate("t", LETTERS, AS_BASE).alias("s"), F.translate("t", LETTERS, AS_HIGH_QUAL if high else AS_QUAL).alias("q"))
 
 
+def window_id() -> Column:
+    """cid * WINDOWS + i; more windows than that stop the query."""
+    return F.when(F.col("i") < WINDOWS, F.col("cid") * WINDOWS + F.col("i")).otherwise(F.raise_error("a contig of too many windows"))
+
+
 def windows(contigs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """(cid, i, seq, qual): windows of width bases every stride bases."""
     rows = contigs.where(F.length("s") >= width).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - width) / stride).cast("int"))).alias("i"))
@@ -34,7 +41,7 @@ def windows(contigs: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> Dat
 def reads(contigs: DataFrame) -> DataFrame:
     """read_id, cid, i, name, seq, qual."""
     name = F.concat(F.lit("RUN"), F.col("cid") % 7, F.lit(":"), F.col("cid"), F.lit(":"), F.col("i"), F.lit(":"), F.col("i") * STRIDE, F.lit("/"), F.col("i") % 2 + 1)
-    return windows(contigs).select((F.col("cid") * 100000 + F.col("i")).alias("read_id"), "cid", "i", name.alias("name"), "seq", "qual")
+    return windows(contigs).select(window_id().alias("read_id"), "cid", "i", name.alias("name"), "seq", "qual")
 
 
 def haplotype_reads(contigs: DataFrame) -> DataFrame:
@@ -52,5 +59,5 @@ def haplotype_reads(contigs: DataFrame) -> DataFrame:
     rc = F.col("i") % 3 == 0
     back = F.reverse(F.translate(seq, "ACGT", "TGCA"))
     return w.select(
-        (F.col("cid") * 100000 + F.col("i")).alias("read_id"), "cid", "pos", rc.alias("rc"),
+        window_id().alias("read_id"), "cid", "pos", rc.alias("rc"),
         F.when(rc, back).otherwise(seq).alias("seq"), F.when(rc, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))

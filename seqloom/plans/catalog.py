@@ -22,11 +22,14 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 def talk(spark: SparkSession, d: str) -> DataFrame:
     """Contigs of all conversation turns, with high qualities."""
-    return views.dna(read(spark, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), high=True)
+    return views.dna(read(spark, d, "conversations"), _turn_id(), high=True)
 
 
 def _turn_id():
-    return F.col("conv_id") * 1000 + F.col("turn")
+    """Turns of a conversation are apart by 1 and conversations by 100,000; the
+    upper half of those is for second haplotypes."""
+    fits = F.col("turn").isNull() | F.col("turn").between(0, 49_999)
+    return F.when(fits, F.col("conv_id") * 100_000 + F.col("turn")).otherwise(F.raise_error("a turn of 50,000 or more"))
 
 
 def text_reads(spark, d):
@@ -64,7 +67,7 @@ def twins(spark, d):
     less = rest.substr(g + 1, F.length("s"))
     other = F.concat(F.translate(rest.substr(1, 1), "ACGT", "CGTA"), rest.substr(F.lit(2), F.length("s")))
     b = F.concat(F.col("s").substr(1, 100), F.when(F.col("cid") % 3 == 2, other).when(F.col("cid") % 2 == 1, more).otherwise(less))
-    return a.union(a.select(F.col("cid") + 500, b))
+    return a.union(a.select(F.col("cid") + 50_000, b))
 
 
 def twin_depth(spark, d):
@@ -203,7 +206,7 @@ def knn_lsh(spark, d):
 
 def contained_contigs(spark, d):
     a = talk(spark, d).select("cid", "s").where(F.length("s") >= 80)
-    part = a.select((F.col("cid") + 500).alias("cid"), F.when(F.col("cid") % 2 == 0, S.reverse_complement(F.col("s").substr(11, 60))).otherwise(F.col("s").substr(11, 60)).alias("s"))
+    part = a.select((F.col("cid") + 50_000).alias("cid"), F.when(F.col("cid") % 2 == 0, S.reverse_complement(F.col("s").substr(11, 60))).otherwise(F.col("s").substr(11, 60)).alias("s"))
     return joins.contained(a.union(part))
 
 
@@ -283,8 +286,8 @@ def indel_calls(spark, d):
 def cross_contig_snvs(spark, d):
     c = twins(spark, d)
     cov = materialize(twin_depth(spark, d), "depth")
-    none = c.select("cid", F.lit(-1).alias("pos")).limit(0)
-    return calling.cross_contig_snvs(calling.bubbles(c, calling.anchor_pairs(c)), c, coverage.smoothed(cov), coverage.upper_medians(cov), 30, none)
+    called = materialize(snv_calls(spark, d).select("cid", "pos"), "called")
+    return calling.cross_contig_snvs(calling.bubbles(c, calling.anchor_pairs(c)), c, coverage.smoothed(cov), coverage.upper_medians(cov), 30, called)
 
 
 def coverage_depth(spark, d):
@@ -364,9 +367,8 @@ def contig_jump(spark, d):
 
 def contig_offsets(spark, d):
     c = talk(spark, d).select("cid", F.length("s").alias("len"))
-    cell = c.withColumn("cell", F.floor(F.col("cid") / 100_000))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cell.groupBy("cell").agg(F.sum("len").alias("t")).select(F.col("cell").alias("_cell"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    cell = c.withColumn("cell", F.floor(F.col("cid") / 10_000_000))
+    cells = sampling.before(cell.groupBy("cell").agg(F.sum("len").alias("n")), "cell").select(F.col("cell").alias("_cell"), F.col("before").alias("base"))
     inside = Window.partitionBy("cell").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
     return cell.withColumn("own", F.coalesce(F.sum("len").over(inside), F.lit(0))).join(cells, F.col("cell") == F.col("_cell")).select("cid", "len", (F.col("base") + F.col("own")).alias("base_off"))
 
@@ -443,7 +445,7 @@ def dense_alphabet(spark, d):
 
 
 def mate_contexts(spark, d):
-    r = talk_reads(spark, d).select("read_id", (F.col("cid") * 1000 + F.floor(F.col("i") / 2)).alias("pair_id"), (F.col("i") % 2 + 1).alias("mate"), "qual")
+    r = talk_reads(spark, d).select("read_id", (F.col("cid") * 1_000_000 + F.floor(F.col("i") / 2)).alias("pair_id"), (F.col("i") % 2 + 1).alias("mate"), "qual")
     return quality.mate_contexts(r)
 
 
@@ -637,7 +639,7 @@ def chunk_concat(spark, d):
 
 def mate_ranks(spark, d):
     # mates are neighbours in a contig; the first of each is ordered by its place from the end
-    r = talk_reads(spark, d).select("read_id", (F.col("cid") * 1000 + F.floor(F.col("i") / 2)).alias("pair_id"), (F.col("i") % 2).alias("mate"))
+    r = talk_reads(spark, d).select("read_id", (F.col("cid") * 1_000_000 + F.floor(F.col("i") / 2)).alias("pair_id"), (F.col("i") % 2).alias("mate"))
     first = sampling.numbered(r.where("mate = 0").select("pair_id", (-F.col("read_id")).alias("order")), "order")
     return r.where("mate = 1").join(first.select("pair_id", F.col("at").alias("rank")), "pair_id").select("read_id", "pair_id", "rank")
 
@@ -651,7 +653,7 @@ def graded_reads(spark, d):
 def graded_starts(spark, d):
     """One contig for each 300 bases of a turn, so that ends overlap by 60 and
     hold other bases, and every second one from the other strand."""
-    w = views.windows(talk(spark, d), 360, 300).select((F.col("cid") * 1000 + F.col("i")).alias("cid"), "seq", "i")
+    w = views.windows(talk(spark, d), 360, 300).select((F.col("cid") * 1_000_000 + F.col("i")).alias("cid"), "seq", "i")
     off = F.concat(F.col("seq").substr(1, 330), F.translate(F.col("seq").substr(331, 1), "ACGT", "CGTA"), F.col("seq").substr(332, 29))
     return w.select("cid", F.when(F.col("i") % 2 == 1, S.reverse_complement(off)).otherwise(off).alias("s"))
 

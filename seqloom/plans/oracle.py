@@ -16,7 +16,7 @@ def dna(name: str, table: str, cid: str, qual: str) -> str:
 
 
 def reads_of(name: str, src: str) -> str:
-    return f"""{name} AS MATERIALIZED (SELECT cid * 100000 + i AS read_id, cid, i, 'RUN' || (cid % 7) || ':' || cid || ':' || i || ':' || (i * 50) || '/' || (1 + i % 2) AS name,
+    return f"""{name} AS MATERIALIZED (SELECT cid * 1000000 + i AS read_id, cid, i, 'RUN' || (cid % 7) || ':' || cid || ':' || i || ':' || (i * 50) || '/' || (1 + i % 2) AS name,
         substr(s, 1 + 50 * i, 100) AS seq, substr(q, 1 + 50 * i, 100) AS qual
         FROM (SELECT cid, s, q, CAST(unnest(range(0, (length(s) - 100) // 50 + 1)) AS INTEGER) AS i FROM {src} WHERE length(s) >= 100))"""
 
@@ -26,7 +26,7 @@ def rc(x: str) -> str:
 
 
 TEXTS = dna("texts", "documents", "doc_id", AS_QUAL)
-TALK = dna("talk", "conversations", "conv_id * 1000 + turn", AS_HIGH_QUAL)
+TALK = dna("talk", "conversations", "conv_id * 100000 + turn", AS_HIGH_QUAL)
 TEXT_READS = TEXTS + ", " + reads_of("reads", "texts")
 TALK_READS = TALK + ", " + reads_of("reads", "talk")
 UNIQUE = TALK_READS + ", uniq AS MATERIALIZED (SELECT min(read_id) AS uid, seq FROM reads GROUP BY seq)"
@@ -34,7 +34,7 @@ HAPS = TALK + f""", haps0 AS (SELECT cid, i, i * 10 AS pos, substr(s, 1 + 10 * i
         FROM (SELECT cid, s, q, CAST(unnest(range(0, (length(s) - 100) // 10 + 1)) AS INTEGER) AS i FROM talk WHERE length(s) >= 100)),
     haps1 AS (SELECT *, CASE WHEN i % 2 = 1 THEN substr(w, 1, off) || translate(substr(w, off + 1, 1), 'ACGT', 'CGTA') || substr(w, off + 2, 100) ELSE w END AS a FROM haps0),
     haps2 AS (SELECT *, CASE WHEN i % 2 = 1 AND off + 97 < 100 THEN substr(a, 1, off + 97) || translate(substr(a, off + 98, 1), 'ACGT', 'CGTA') || substr(a, off + 99, 100) ELSE a END AS b FROM haps1),
-    haps AS MATERIALIZED (SELECT cid * 100000 + i AS read_id, cid, pos, i % 3 = 0 AS rc, CASE WHEN i % 3 = 0 THEN {rc('b')} ELSE b END AS seq, CASE WHEN i % 3 = 0 THEN reverse(qq) ELSE qq END AS qual FROM haps2)"""
+    haps AS MATERIALIZED (SELECT cid * 1000000 + i AS read_id, cid, pos, i % 3 = 0 AS rc, CASE WHEN i % 3 = 0 THEN {rc('b')} ELSE b END AS seq, CASE WHEN i % 3 = 0 THEN reverse(qq) ELSE qq END AS qual FROM haps2)"""
 FRAMED = HAPS + f""", framed AS MATERIALIZED (SELECT read_id, cid, pos, rc, b, qual2 AS q, mm FROM (
         SELECT h.*, CASE WHEN h.rc THEN {rc('h.seq')} ELSE h.seq END AS b, CASE WHEN h.rc THEN reverse(h.qual) ELSE h.qual END AS qual2,
                hamming(CASE WHEN h.rc THEN {rc('h.seq')} ELSE h.seq END, substr(t.s, h.pos + 1, 100)) AS mm
@@ -90,18 +90,22 @@ def sites(ploidy: int) -> str:
 
 
 TWINS = TALK + """, twin_a AS (SELECT cid, s, CAST(cid % 12 + 1 AS INTEGER) AS g, substr(s, 101) AS rest FROM talk WHERE length(s) >= 200),
-    twins AS MATERIALIZED (SELECT cid, s FROM twin_a UNION ALL SELECT cid + 500, substr(s, 1, 100) || CASE WHEN cid % 3 = 2 THEN translate(substr(rest, 1, 1), 'ACGT', 'CGTA') || substr(rest, 2)
+    twins AS MATERIALIZED (SELECT cid, s FROM twin_a UNION ALL SELECT cid + 50000, substr(s, 1, 100) || CASE WHEN cid % 3 = 2 THEN translate(substr(rest, 1, 1), 'ACGT', 'CGTA') || substr(rest, 2)
         WHEN cid % 2 = 1 THEN substr('ACGTTGCATCAG', 1, g) || rest ELSE substr(rest, g + 1) END FROM twin_a)"""
 ANCHORS = TWINS + f""", occ AS (SELECT kmer, cid, pos, n, own <> kmer AS rc FROM (SELECT cid, n, CAST(p AS INTEGER) AS pos, substr(s, p + 1, 25) AS own, least(substr(s, p + 1, 25), substr(back, n - p - 24, 25)) AS kmer FROM (SELECT cid, s, length(s) AS n, {rc('s')} AS back, unnest(range(0, length(s) - 24)) AS p FROM twins))),
     anchors AS MATERIALIZED (SELECT kmer, a.cid AS ref_cid, a.pos AS ref_pos, b.cid AS alt_cid, CASE WHEN a.rc <> b.rc THEN b.n - b.pos - 25 ELSE b.pos END AS alt_pos, a.rc <> b.rc AS opposite FROM (
         SELECT kmer, first(x ORDER BY x.n DESC, x.cid, x.pos) AS a, last(x ORDER BY x.n DESC, x.cid, x.pos) AS b, count(*) AS many FROM (SELECT kmer, {{'cid': cid, 'pos': pos, 'n': n, 'rc': rc}} AS x FROM occ) GROUP BY kmer) WHERE many = 2 AND a.cid <> b.cid)"""
-BUBBLES = ANCHORS + f""", sided AS (SELECT ref_cid, alt_cid, ref_pos, alt_pos, substr(r.s, ref_pos + 1) AS A, substr(CASE WHEN opposite THEN {rc('t.s')} ELSE t.s END, alt_pos + 1) AS B FROM anchors JOIN twins r ON r.cid = ref_cid JOIN twins t ON t.cid = alt_cid),
-    met AS (SELECT *, coalesce(list_position(list_transform(range(1, least(length(A), length(B)) + 1), lambda x: A[x] = B[x]), false), least(length(A), length(B)) + 1) - 1 AS d FROM sided),
-    gaps AS (SELECT *, list_filter(range(1, 31), lambda g: length(substr(B, d + g + 1, 15)) = 15 AND substr(B, d + g + 1, 15) = substr(A, d + 1, 15))[1] AS gi,
-        list_filter(range(1, 31), lambda g: length(substr(A, d + g + 1, 15)) = 15 AND substr(A, d + g + 1, 15) = substr(B, d + 1, 15))[1] AS gd,
-        length(substr(A, d + 2, 15)) = 15 AND substr(A, d + 2, 15) = substr(B, d + 2, 15) AS snv FROM met WHERE d > 0 AND d < least(length(A), length(B))),
-    events AS (SELECT ref_cid AS cid, ref_pos + d AS apos, CASE WHEN gi IS NOT NULL THEN 'ins' WHEN gd IS NOT NULL THEN 'del' WHEN snv THEN 'snv' END AS kind, coalesce(gi, gd, 1) AS len, CASE WHEN gi IS NOT NULL THEN substr(B, d + 1, gi) WHEN gd IS NULL AND snv THEN substr(B, d + 1, 1) ELSE '' END AS ins, alt_cid, alt_pos FROM gaps),
-    bubbles AS MATERIALIZED (SELECT cid, CAST(apos AS INTEGER) AS apos, kind, CAST(len AS INTEGER) AS len, ins, count(*) AS anchors, min(x).alt_cid AS alt_cid, CAST(min(x).alt_pos AS INTEGER) AS alt_pos FROM (SELECT *, {{'alt_cid': alt_cid, 'alt_pos': alt_pos}} AS x FROM events WHERE kind IS NOT NULL AND apos > 0) GROUP BY cid, apos, kind, len, ins)"""
+BUBBLES = ANCHORS + f""", lines AS (SELECT ref_cid, alt_cid, opposite, diag, r.s AS R, CASE WHEN opposite THEN {rc('t.s')} ELSE t.s END AS T FROM (SELECT DISTINCT ref_cid, alt_cid, opposite, ref_pos - alt_pos AS diag FROM anchors) l JOIN twins r ON r.cid = ref_cid JOIN twins t ON t.cid = alt_cid),
+    -- the places that differ, once for each diagonal of a pair, and the first of them behind each anchor
+    places AS MATERIALIZED (SELECT ref_cid, alt_cid, opposite, diag, p FROM (SELECT *, unnest(range(greatest(diag, 0), least(length(R), length(T) + diag))) AS p FROM lines) WHERE R[p + 1] <> T[p - diag + 1]),
+    met AS (SELECT a.ref_cid, a.alt_cid, a.opposite, a.diag, p AS apos, a.alt_pos FROM (SELECT *, ref_pos - alt_pos AS diag FROM anchors) a ASOF JOIN places x ON x.ref_cid = a.ref_cid AND x.alt_cid = a.alt_cid AND x.opposite = a.opposite AND x.diag = a.diag AND a.ref_pos <= x.p),
+    sums AS (SELECT ref_cid, alt_cid, opposite, diag, apos, count(*) AS anchors, min(alt_pos) AS alt_pos FROM met GROUP BY ALL),
+    sided AS (SELECT s.*, substr(R, CAST(apos + 1 AS INTEGER), 60) AS A, substr(T, CAST(apos - s.diag + 1 AS INTEGER), 60) AS B FROM sums s JOIN lines l ON l.ref_cid = s.ref_cid AND l.alt_cid = s.alt_cid AND l.opposite = s.opposite AND l.diag = s.diag),
+    gaps AS (SELECT *, list_filter(range(1, 31), lambda g: length(substr(B, g + 1, 15)) = 15 AND substr(B, g + 1, 15) = substr(A, 1, 15))[1] AS gi,
+        list_filter(range(1, 31), lambda g: length(substr(A, g + 1, 15)) = 15 AND substr(A, g + 1, 15) = substr(B, 1, 15))[1] AS gd,
+        length(substr(A, 2, 15)) = 15 AND substr(A, 2, 15) = substr(B, 2, 15) AS snv FROM sided),
+    events AS (SELECT ref_cid AS cid, apos, CASE WHEN gi IS NOT NULL THEN 'ins' WHEN gd IS NOT NULL THEN 'del' WHEN snv THEN 'snv' END AS kind, coalesce(gi, gd, 1) AS len, CASE WHEN gi IS NOT NULL THEN substr(B, 1, gi) WHEN gd IS NULL AND snv THEN substr(B, 1, 1) ELSE '' END AS ins, anchors, alt_cid, alt_pos FROM gaps),
+    bubbles AS MATERIALIZED (SELECT cid, CAST(apos AS INTEGER) AS apos, kind, CAST(len AS INTEGER) AS len, ins, CAST(sum(anchors) AS BIGINT) AS anchors, min(x).alt_cid AS alt_cid, CAST(min(x).alt_pos AS INTEGER) AS alt_pos FROM (SELECT *, {{'alt_cid': alt_cid, 'alt_pos': alt_pos}} AS x FROM events WHERE kind IS NOT NULL AND apos > 0) GROUP BY cid, apos, kind, len, ins)"""
 
 
 def depth_of(name: str, contigs: str, spans: str) -> str:
@@ -177,9 +181,9 @@ def shift_cost(n: int) -> str:
 
 PLANTED = "planted AS (SELECT cid, p AS pos FROM (SELECT cid, unnest(range(0, length(s))) AS p FROM talk WHERE length(s) >= 100) WHERE p % 97 = 48)"
 
-GRADED = dna("lowtalk", "conversations", "conv_id * 1000 + turn", AS_QUAL) + ", " + HAPS.replace(TALK + ", ", "").replace("FROM talk", "FROM lowtalk")
+GRADED = dna("lowtalk", "conversations", "conv_id * 100000 + turn", AS_QUAL) + ", " + HAPS.replace(TALK + ", ", "").replace("FROM talk", "FROM lowtalk")
 VIEWS2 = f"""v AS MATERIALIZED (SELECT 2 * read_id AS id, seq FROM haps UNION ALL SELECT 2 * read_id + 1, {rc('seq')} FROM haps)"""
-STARTS = TALK + f""", w AS (SELECT cid * 1000 + i AS cid, i, substr(s, 1 + 300 * i, 330) || translate(substr(s, 331 + 300 * i, 1), 'ACGT', 'CGTA') || substr(s, 332 + 300 * i, 29) AS x
+STARTS = TALK + f""", w AS (SELECT cid * 1000000 + i AS cid, i, substr(s, 1 + 300 * i, 330) || translate(substr(s, 331 + 300 * i, 1), 'ACGT', 'CGTA') || substr(s, 332 + 300 * i, 29) AS x
         FROM (SELECT cid, s, CAST(unnest(range(0, (length(s) - 360) // 300 + 1)) AS INTEGER) AS i FROM talk WHERE length(s) >= 360)),
     v AS MATERIALIZED (SELECT 2 * cid AS id, CASE WHEN i % 2 = 1 THEN {rc('x')} ELSE x END AS seq FROM w UNION ALL SELECT 2 * cid + 1, CASE WHEN i % 2 = 1 THEN x ELSE {rc('x')} END FROM w)"""
 
@@ -246,8 +250,8 @@ SQL = {
     "apsp_overlaps": f"WITH {OVERLAPS} SELECT * FROM over",
     "hq_overlap": f"WITH {OVERLAPS} SELECT uid, l AS best_left, r AS best_right, least(l, r) >= floor(0.65 * n) AS hq65, least(l, r) >= floor(0.45 * n) AS hq45, least(l, r) >= floor(0.15 * n) AS hq15 FROM (SELECT uid, any_value(length(seq)) AS n, coalesce(max(overlap) FILTER (to_view = 0), 0) AS l, coalesce(max(overlap) FILTER (to_view = 1), 0) AS r FROM uniq LEFT JOIN over ON to_id = uid GROUP BY uid)",
     "fallback_place": f"""WITH {HAPS}, v AS (SELECT read_id, 0 AS view, seq FROM haps UNION ALL SELECT read_id, 1, {rc('seq')} FROM haps), seeds AS (SELECT *, substr(seq, off + 1, 24) AS kmer FROM (SELECT *, unnest([0, 38, 76]) AS off FROM v)),
-        idx AS (SELECT cid, pos, kmer FROM {kmers_of('talk', 's', 24, 'cid,', False)}), few AS (SELECT kmer FROM idx GROUP BY kmer HAVING count(*) <= 64),
-        cand AS (SELECT DISTINCT read_id, view, seq, x.cid, x.pos - off AS pos FROM seeds JOIN few USING (kmer) JOIN idx x USING (kmer) WHERE x.pos - off >= 0),
+        idx AS (SELECT cid, pos, kmer FROM {kmers_of('talk', 's', 24, 'cid,', False)}),
+        cand AS (SELECT DISTINCT read_id, view, seq, x.cid, x.pos - off AS pos FROM seeds JOIN idx x USING (kmer) WHERE x.pos - off >= 0),
         fit AS (SELECT read_id, cid, pos, view, hamming(seq, substr(t.s, pos + 1, 100)) AS mm FROM cand JOIN talk t USING (cid) WHERE pos + 100 <= length(t.s))
         SELECT read_id, b.cid AS cid, CAST(b.pos AS INTEGER) AS pos, b.view = 1 AS rc, CAST(b.mm AS INTEGER) AS mm FROM (SELECT read_id, min(struct_pack(mm := mm, cid := cid, pos := pos, view := view)) AS b FROM fit WHERE mm <= 12 GROUP BY read_id)""",
     "knn_kmer": f"""WITH {UNIQUE}, bm AS (SELECT uid, min(struct_pack(k := kmer, p := pos)).k AS kmer, min(struct_pack(k := kmer, p := pos)).p AS pos FROM {kmers_of('uniq', 'seq', 15, 'uid,')} GROUP BY uid, pos // 10), few AS (SELECT kmer FROM bm GROUP BY kmer HAVING count(*) <= 500),
@@ -256,7 +260,7 @@ SQL = {
         best AS (SELECT u, v, min(round(hamming(x, y) / n, 6)) AS dist FROM cut WHERE hamming(x, y) <= 8 GROUP BY u, v), twoway AS (SELECT u, v, dist FROM best UNION ALL SELECT v, u, dist FROM best)
         SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v, dist FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY dist, v) AS r FROM twoway) WHERE r <= 20""",
     "knn_lsh": f"WITH {LSH} SELECT u, v, dist FROM near",
-    "contained_contigs": f"""WITH {TALK}, c AS (SELECT cid, s FROM talk WHERE length(s) >= 80), cs AS (SELECT cid, s FROM c UNION ALL SELECT cid + 500, CASE WHEN cid % 2 = 0 THEN {rc('substr(s, 11, 60)')} ELSE substr(s, 11, 60) END FROM c),
+    "contained_contigs": f"""WITH {TALK}, c AS (SELECT cid, s FROM talk WHERE length(s) >= 80), cs AS (SELECT cid, s FROM c UNION ALL SELECT cid + 50000, CASE WHEN cid % 2 = 0 THEN {rc('substr(s, 11, 60)')} ELSE substr(s, 11, 60) END FROM c),
         v AS (SELECT cid, 0 AS view, s FROM cs UNION ALL SELECT cid, 1, {rc('s')} FROM cs), idx AS (SELECT cid, pos, kmer FROM {kmers_of('cs', 's', 31, 'cid,', False)}),
         hit AS (SELECT v.cid, i.cid AS in_cid, i.pos, v.view FROM v JOIN idx i ON i.kmer = substr(v.s, 1, 31) JOIN cs t ON t.cid = i.cid WHERE v.cid <> i.cid AND (length(t.s) > length(v.s) OR (length(t.s) = length(v.s) AND t.cid < v.cid)) AND substr(t.s, i.pos + 1, length(v.s)) = v.s)
         SELECT cid, b.in_cid AS in_cid, b.pos AS pos, b.view = 1 AS rc FROM (SELECT cid, min(struct_pack(in_cid := in_cid, pos := pos, view := view)) AS b FROM hit GROUP BY cid)""",
@@ -278,7 +282,8 @@ SQL = {
     "bubbles": f"WITH {BUBBLES} SELECT * FROM bubbles",
     "vcf_strata": f"WITH {BUBBLES} SELECT kind, CASE WHEN len = 1 THEN '1' WHEN len <= 5 THEN '2-5' ELSE '6+' END AS size, count(*) AS n FROM bubbles WHERE kind IN ('ins', 'del') GROUP BY ALL",
     "cross_contig_snvs": f"""WITH {TWIN_COVER}, x AS (SELECT b.cid, b.apos + 1 AS pos, substr(t.s, b.apos + 1, 1) AS ref, ins AS alt, coalesce(r.cov, 0) AS refd, coalesce(m.median, 0) AS altd, anchors FROM bubbles b JOIN twins t USING (cid) LEFT JOIN smooth r ON r.cid = b.cid AND r.pos = b.apos LEFT JOIN medians m ON m.cid = b.alt_cid WHERE kind = 'snv' AND anchors >= 15),
-        y AS (SELECT *, CAST(refd + altd AS BIGINT) AS dp, round(altd / greatest(1, refd + altd), 3) AS af FROM x) SELECT cid, pos, ref, alt, af, dp, anchors FROM y WHERE af >= 0.25 AND af <= 0.75 AND dp <= 54""",
+        y AS (SELECT *, CAST(refd + altd AS BIGINT) AS dp, round(altd / greatest(1, refd + altd), 3) AS af FROM x) SELECT cid, pos, ref, alt, af, dp, anchors FROM y WHERE af >= 0.25 AND af <= 0.75 AND dp <= 54
+        AND (cid, pos) NOT IN (SELECT (cid, pos) FROM (WITH {sites(2)} SELECT cid, pos + 1 AS pos FROM kept))""",
     "coverage_depth": f"WITH {COVER} SELECT cid, pos, CAST(cov AS BIGINT) AS cov FROM cov",
     "coverage_window": f"WITH {COVER}, {SMOOTH} SELECT * FROM smooth",
     "coverage_bins": f"WITH {TEXT_READS} SELECT cid, CAST(i * 50 // 1000 AS BIGINT) AS bin, CAST(count(*) * 100 AS BIGINT) AS bases FROM reads GROUP BY ALL",
@@ -326,7 +331,7 @@ SQL = {
         c AS (SELECT cid, pos, ctx, count(*) OVER (PARTITION BY cid, ctx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t, count(*) OVER (PARTITION BY cid, ctx, b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM p)
         SELECT cid, pos, CAST(CASE WHEN ctx IS NULL THEN 2 WHEN t = 0 THEN 3 WHEN (n + 1) / (t + 4) >= 0.85 THEN 0 WHEN (n + 1) / (t + 4) >= 0.60 THEN 1 WHEN (n + 1) / (t + 4) >= 0.35 THEN 2 ELSE 3 END AS INTEGER) AS bucket FROM c""",
     "dense_alphabet": f"WITH {TEXT_READS}, s AS (SELECT DISTINCT ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads) SELECT CAST(q AS INTEGER) AS q, CAST(row_number() OVER (ORDER BY q) - 1 AS INTEGER) AS code, count(*) OVER () AS levels, count(*) OVER () <= 24 AS binned FROM s",
-    "mate_contexts": f"""WITH {TALK_READS}, s AS (SELECT read_id, cid * 1000 + i // 2 AS pair_id, i % 2 + 1 AS mate, pos, ascii(substr(qual, pos + 1, 1)) - 33 AS q FROM (SELECT *, CAST(unnest(range(0, length(qual))) AS INTEGER) AS pos FROM reads))
+    "mate_contexts": f"""WITH {TALK_READS}, s AS (SELECT read_id, cid * 1000000 + i // 2 AS pair_id, i % 2 + 1 AS mate, pos, ascii(substr(qual, pos + 1, 1)) - 33 AS q FROM (SELECT *, CAST(unnest(range(0, length(qual))) AS INTEGER) AS pos FROM reads))
         SELECT b.read_id, b.pos, CAST(b.q AS INTEGER) AS q, CAST(CASE WHEN a.q < 10 THEN 0 WHEN a.q < 20 THEN 1 WHEN a.q < 30 THEN 2 WHEN a.q IS NOT NULL THEN 3 ELSE 4 END AS INTEGER) AS mate_bin FROM s b LEFT JOIN s a ON a.pair_id = b.pair_id AND a.mate = 1 AND a.pos = b.pos WHERE b.mate = 2""",
     "mismatch_ranks": f"""WITH {FRAMED}, x AS (SELECT read_id, CAST(j AS INTEGER) AS off, substr(b, j + 1, 1) AS b, substr(s, pos + j + 1, 1) AS t FROM (SELECT f.*, t.s, unnest(range(0, 100)) AS j FROM framed f JOIN talk t USING (cid)))
         SELECT read_id, off, CAST(instr('ACGT', b) - 1 - CASE WHEN b > t THEN 1 ELSE 0 END AS INTEGER) AS rank, b AS base FROM x WHERE b <> t""",
@@ -358,6 +363,6 @@ SQL = {
     "base_contexts": f"WITH {TALK_READS}, p AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS j FROM reads) SELECT CAST((CASE WHEN j = 1 THEN 4 ELSE instr('ACGT', seq[j - 1]) - 1 END * 5 + instr('ACGT', seq[j]) - 1) * 5 + CASE WHEN j = length(seq) THEN 4 ELSE instr('ACGT', seq[j + 1]) - 1 END AS INTEGER) AS ctx, count(*) AS n FROM p GROUP BY 1",
     "stacked_shards": f"WITH {TALK_READS}, o AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS nth FROM reads) SELECT read_id, nth % 3 AS shard, nth // 3 AS place, row_number() OVER (ORDER BY nth % 3, nth // 3) - 1 AS id FROM o",
     "chunk_concat": f"WITH {TALK} SELECT cid, substr(s, 1, length(s) // 50 * 50) AS s FROM talk WHERE length(s) >= 50",
-    "mate_ranks": f"WITH {TALK_READS}, p AS (SELECT read_id, cid * 1000 + i // 2 AS pair_id, i % 2 AS mate FROM reads), f AS (SELECT pair_id, row_number() OVER (ORDER BY read_id DESC) - 1 AS rank FROM p WHERE mate = 0) SELECT read_id, pair_id, rank FROM p JOIN f USING (pair_id) WHERE mate = 1",
+    "mate_ranks": f"WITH {TALK_READS}, p AS (SELECT read_id, cid * 1000000 + i // 2 AS pair_id, i % 2 AS mate FROM reads), f AS (SELECT pair_id, row_number() OVER (ORDER BY read_id DESC) - 1 AS rank FROM p WHERE mate = 0) SELECT read_id, pair_id, rank FROM p JOIN f USING (pair_id) WHERE mate = 1",
 }
 SQL["top_symbols"] = f"SELECT q1, posbin, q, scaled FROM ({SQL['quality_contexts']}) WHERE scaled > 100"

@@ -81,7 +81,8 @@ def test_unitigs_spell_the_genome(spark):
     assert seqs == {g, rc(g)}
     assert graph.without_tips(e, 5).count() == e.count()
     one = spark.createDataFrame([(g[i : i + 14], g[i + 1 : i + 15]) for i in range(286)], "src string, dst string").withColumn("base", F.right("dst", F.lit(1)))
-    assert graph.euler_string(one) == g
+    rows = graph.euler_strings(one).collect()
+    assert [r.seq for r in rows] == [g]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
