@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import hamming, reverse_complement
 from seqloom.operators.kmers import block_minimizers, exploded, minimizers
+from seqloom.operators.sampling import running
 from seqloom.session import materialize
 
 
@@ -190,6 +191,34 @@ def overlapping(items: DataFrame, spans: DataFrame, cell: int = 1024, group: str
     return rows.drop("_cell", "s__cell", f"s_{group}")
 
 
+def uncovered(spans: DataFrame, cell: int = 65536, group: str = "cid") -> DataFrame:
+    """(group, start, end): where no span (group, start, end) lies, between two
+    of them or before the first (start null) and behind the last (end null). Starts and
+    ends are summed up in ranges of places, so a group of many spans is spread."""
+    events = spans.where("end > start").select(group, F.col("start").alias("at"), F.lit(1).alias("n")).union(spans.where("end > start").select(group, "end", F.lit(-1)))
+    events = events.groupBy(group, "at").agg(F.sum("n").alias("n")).withColumn("cell", F.floor(F.col("at") / cell))
+    events = materialize(running(events, group, "cell", [F.col("at")], {"deep": F.col("n")}), "events")
+    inside, later = Window.partitionBy(group, "cell").orderBy("at"), Window.partitionBy("_g").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = events.groupBy(F.col(group).alias("_g"), F.col("cell").alias("_cell")).agg(F.min("at").alias("_first"))
+    cells = cells.select("_g", "_cell", F.min("_first").over(later).alias("_next"))
+    rows = events.withColumn("_lead", F.lead("at").over(inside)).where("deep = 0").join(cells, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_cell")))
+    gaps = rows.select(group, F.col("at").alias("start"), F.coalesce("_lead", "_next").alias("end"))
+    return gaps.union(events.groupBy(group).agg(F.min("at").alias("end")).select(group, F.lit(None).cast("long"), "end"))
+
+
+def subtracted(items: DataFrame, spans: DataFrame, cell: int = 1024, group: str = "cid") -> DataFrame:
+    """items (group, start, end, ...) without what spans (group, start, end)
+    cover: a row for each remaining part, in place of the item's start and end.
+    Items of a group without spans stay; empty items are no rows."""
+    items = items.where("end > start")
+    bounds = items.groupBy(F.col(group).alias("_b")).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"))
+    gaps = uncovered(spans, group=group).join(bounds, F.col(group) == F.col("_b"))
+    gaps = gaps.select(group, F.greatest("_lo", F.coalesce("start", "_lo")).alias("start"), F.least("_hi", F.coalesce("end", "_hi")).alias("end")).where("start < end")
+    free = items.join(spans.where("end > start").select(group).distinct(), group, "left_anti").select(*items.columns)
+    part = overlapping(items, gaps, cell, group).withColumns({"start": F.greatest("start", "s_start"), "end": F.least("end", "s_end")}).select(*items.columns)
+    return part.union(free)
+
+
 def lifted(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     """Contig coordinates on a genome. variants: cid, pos (1-based), ref, alt;
     blocks: cid, start, end (in the contig), chrom, g_start, rc, one for each

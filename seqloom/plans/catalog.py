@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
-from seqloom.operators import calling, coverage, graph, growth, joins, kmers, names, quality, sampling, store, views
+from seqloom.operators import calling, coverage, delta, graph, growth, joins, kmers, names, quality, sampling, store, views
 from seqloom.session import materialize, read
 
 
@@ -703,6 +703,37 @@ def contained_resolved(spark, d):
     return growth.resolved(growth.hosts(nested(spark, d)))
 
 
+def euler_trails(spark, d):
+    """The trails through the graph of all distinct 15-mers."""
+    e = sampling.indexed(dbg_edges(spark, d).select("src", "dst"), ["src", "dst"])
+    return graph.euler_trails(e.select(F.col("idx").alias("id"), "src", "dst"))
+
+
+def _near_reads(spark, d):
+    u = materialize(distinct_reads(spark, d).select(F.col("uid").alias("id"), "seq"), "unique")
+    return u, joins.neighbours(u, "id")
+
+
+def chain_delta(spark, d):
+    u, near = _near_reads(spark, d)
+    return delta.chain_decoded(materialize(delta.chained(near, u), "chained"))
+
+
+def tree_delta(spark, d):
+    u, near = _near_reads(spark, d)
+    order = graph.tree_order(graph.spanning_tree(near)).select("id", "parent", "depth")
+    alone = u.join(order, "id", "left_anti").select("id", F.lit(None).cast("long"), F.lit(0).cast("long"))
+    return delta.tree_decoded(delta.tree_encoded(order.union(alone), u, most=60))
+
+
+def interval_subtract(spark, d):
+    """Reads without the parts that lie in the first 30 bases of any 97."""
+    r = talk_reads(spark, d)
+    items = r.select("read_id", "cid", (F.col("i") * 50).cast("long").alias("start"), (F.col("i") * 50 + 100).cast("long").alias("end"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.length("s").cast("long"), F.lit(97).cast("long")))
+    spans = talk(spark, d).where("cid % 5 <> 0").select("cid", first.alias("start")).withColumn("end", F.col("start") + 30)
+    return joins.subtracted(items, spans)
+
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted", "graded_reads", "graded_starts", "nested")]
 
