@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
-from seqloom.operators import calling, coverage, delta, graph, growth, joins, kmers, names, quality, sampling, store, views
+from seqloom.operators import calling, coverage, delta, graph, growth, joins, kmers, names, quality, repeats, sampling, store, views
 from seqloom.session import materialize, read
 
 
@@ -734,6 +734,13 @@ def interval_subtract(spark, d):
     spans = talk(spark, d).where("cid % 5 <> 0").select("cid", first.alias("start")).withColumn("end", F.col("start") + 30)
     return joins.subtracted(items, spans)
 
+def repeat_parse(spark, d):
+    return repeats.parsed(talk(spark, d))
+
+
+def repeat_replay(spark, d):
+    return repeats.replayed(repeats.parsed(talk(spark, d)))
+
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted", "graded_reads", "graded_starts", "nested")]
 

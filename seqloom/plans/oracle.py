@@ -211,6 +211,7 @@ NESTED = TALK + f""", parts AS (SELECT cid, s, {swapped(swapped('substr(s, 11, 1
     hosts AS MATERIALIZED (SELECT cid, to_cid, pos, view = 1 AS rc, CAST(n AS INTEGER) AS len, CAST(mm AS INTEGER) AS mm FROM fit WHERE mm <= floor(n * 0.06) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY mm, to_cid, pos, view) = 1)"""
 
 SQL = {
+    "repeat_replay": f"WITH {TALK} SELECT cid, s FROM talk WHERE s <> ''",
     "chain_delta": f"WITH {UNIQUE} SELECT uid AS id, seq FROM uniq",
     "tree_delta": f"WITH {UNIQUE} SELECT uid AS id, seq FROM uniq",
     "interval_subtract": f"""WITH {TALK_READS}, bare AS (SELECT read_id, cid, p, row_number() OVER (PARTITION BY read_id ORDER BY p) AS r FROM (SELECT read_id, cid, unnest(range(50 * i, 50 * i + 100)) AS p FROM reads) WHERE cid % 5 = 0 OR p % 97 >= 30)
