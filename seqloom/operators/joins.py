@@ -60,6 +60,18 @@ def mates(pairs: DataFrame, contigs: DataFrame, mean: int, spread: int, step: in
     return best.select("read_id", F.col("b.at").alias("mate_pos"), F.col("b.mm").alias("mm"))
 
 
+def mated(pairs: DataFrame, contigs: DataFrame, mean: int, spread: int, most: int, step: int = 5) -> DataFrame:
+    """(read_id, cid, pos, rc, mm, near) of the mates of pairs (read_id, cid,
+    pos, mate_seq): the best place near the first mate, if at most `most` bases
+    differ there; else, and where the first mate has no place (null cid or pos),
+    the place that mapped() gives the mate. Mates that fit nowhere have no row."""
+    placed_ = pairs.where(F.col("cid").isNotNull() & F.col("pos").isNotNull())
+    near = materialize(mates(placed_, contigs, mean, spread, step).where(F.col("mm") <= most).join(placed_.select("read_id", "cid"), "read_id"), "near")
+    rest = pairs.join(near.select("read_id"), "read_id", "left_anti").select("read_id", F.col("mate_seq").alias("seq"))
+    far = mapped(rest, contigs).select("read_id", "cid", F.col("start").cast("int").alias("pos"), "rc", "mm", F.lit(False).alias("near"))
+    return near.select("read_id", "cid", F.col("mate_pos").cast("int").alias("pos"), F.lit(True).alias("rc"), "mm", F.lit(True).alias("near")).union(far)
+
+
 def views(seqs: DataFrame, key: str = "uid") -> DataFrame:
     """Both strands: (key, view, seq), view 0 as given and 1 from the other strand."""
     both = F.array(F.struct(F.lit(0).alias("view"), F.col("seq").alias("seq")), F.struct(F.lit(1).alias("view"), reverse_complement("seq").alias("seq")))
@@ -231,3 +243,36 @@ def lifted(variants: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("cid", "pos", F.col("s_chrom").alias("chrom"), (F.when(F.col("s_rc"), back).otherwise(ahead) + 1).alias("g_pos"), flip("ref").alias("ref"), flip("alt").alias("alt"))
 
 
+def haplotype_lifted(variants: DataFrame, contigs: DataFrame, genome: DataFrame, flank: int = 25, reach: int = 300) -> DataFrame:
+    """(cid, pos, chrom, g_pos, g_ref, g_alt): variants (cid, pos from 1, ref,
+    alt, chrom, at) in the genome's frame, found by their haplotypes. contigs:
+    cid, s; genome: chrom, s; at: about where the variant lies in chrom, from 0.
+
+    The contig's flanks around either allele are looked up within `reach` bases
+    of `at`, on both strands; the allele that the genome carries is its
+    reference, the other one the alternative. On the other strand both are turned
+    and get the genome's base to their left; equal ends go. Variants whose flanks
+    leave the contig, whose reference is not the contig's, or that the genome
+    carries neither way, have no row."""
+    rows = variants.join(contigs.select("cid", "s"), "cid")
+    at, n = F.col("pos") - 1, F.length("ref")
+    rows = rows.where((at >= flank) & (at + n + flank <= F.length("s")) & (F.col("s").substr(F.col("pos"), n) == F.col("ref")))
+    left, right = F.col("s").substr((at - flank + 1).cast("int"), F.lit(flank)), F.col("s").substr((at + n + 1).cast("int"), F.lit(flank))
+    tries = [F.struct(F.lit(i).alias("nth"), F.col(mine).alias("mine"), F.col(other).alias("other"), F.lit(turn).alias("turn"), (reverse_complement(x) if turn else x).alias("hap"))
+             for i, (mine, other, turn) in enumerate((m, o, t) for m, o in (("ref", "alt"), ("alt", "ref")) for t in (False, True)) for x in [F.concat(left, mine, right)]]
+    rows = rows.withColumn("try", F.explode(F.array(*tries))).select("cid", "pos", "ref", "alt", "chrom", "at", "try.*")
+    rows = rows.join(genome.select("chrom", F.col("s").alias("g")), "chrom")
+    low = F.greatest(F.col("at") - reach, F.lit(0))
+    rows = rows.withColumn("lo", low.cast("int")).withColumn("k", F.instr(F.upper(F.col("g").substr(F.col("lo") + 1, F.lit(2 * reach))), F.col("hap"))).where("k > 0")
+    first = rows.groupBy("cid", "pos", "ref", "alt").agg(F.min(F.struct("nth", "mine", "other", "turn", F.col("lo").alias("lo"), "k", "chrom")).alias("x")).select("cid", "pos", "x.*")
+    first = first.join(genome.select(F.col("chrom").alias("_chrom"), F.col("s").alias("g")), F.col("chrom") == F.col("_chrom"))
+    start = F.col("lo") + F.col("k") - 1 + flank  # of the allele, from 0
+    before = F.upper(F.col("g").substr(start.cast("int"), F.lit(1)))
+    turned = lambda c: F.concat(before, reverse_complement(c).substr(F.lit(1), F.length(c) - 1))
+    first = first.select("cid", "pos", "chrom", "g", F.when(F.col("turn"), start).otherwise(start + 1).alias("g_pos"), *[F.when(F.col("turn"), turned(c)).otherwise(F.col(c)).alias(o) for c, o in (("mine", "r"), ("other", "a"))])
+    shared = F.least(F.length("r"), F.length("a")) - 1
+    # bases that both end with, without the first one
+    same = F.array_position(F.transform(F.sequence(F.lit(1), shared + 1), lambda i: (i > shared) | (F.right("r", i) != F.right("a", i))), True) - 1
+    cut = lambda c: F.col(c).substr(F.lit(1), (F.length(c) - F.greatest(same, F.lit(0))).cast("int"))
+    first = first.select("cid", "pos", "chrom", "g_pos", "g", cut("r").alias("g_ref"), cut("a").alias("g_alt"))
+    return first.where(F.upper(F.col("g").substr(F.col("g_pos").cast("int"), F.length("g_ref"))) == F.col("g_ref")).drop("g")

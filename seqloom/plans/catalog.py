@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
 from seqloom.operators import calling, coverage, delta, graph, growth, joins, kmers, names, quality, repeats, sampling, store, views
-from seqloom.session import materialize, read
+from seqloom.session import materialize, read, shared_path
+from seqloom.sources import files
 
 
 #: Shares of a read that its best overlaps must reach on both sides, in the order tried.
@@ -741,6 +742,20 @@ def repeat_parse(spark, d):
 def repeat_replay(spark, d):
     return repeats.replayed(repeats.parsed(talk(spark, d)))
 
+def fastq_written(spark, d):
+    """All reads of the texts, written as FASTQ and read again."""
+    path = shared_path(spark, "fastq")
+    files.write_fastq(text_reads(spark, d), path)
+    return files.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+def sam_written(spark, d):
+    """Placed reads as SAM files with a head, and read again."""
+    path, contigs = shared_path(spark, "sam"), talk(spark, d)
+    rows = sam_rows(spark, d).withColumns({"rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0)})
+    files.write_sam(rows, contigs.select(F.concat(F.lit("contig_"), "cid").alias("name"), F.length("s").alias("len")), path)
+    return files.read_sam(spark, path).select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")
+
 
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("texts", "talk", "text_reads", "talk_reads", "distinct_reads", "haplotypes", "framed", "piles", "twins", "twin_depth", "spans", "planted", "graded_reads", "graded_starts", "nested")]
 

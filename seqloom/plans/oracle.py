@@ -211,6 +211,7 @@ NESTED = TALK + f""", parts AS (SELECT cid, s, {swapped(swapped('substr(s, 11, 1
     hosts AS MATERIALIZED (SELECT cid, to_cid, pos, view = 1 AS rc, CAST(n AS INTEGER) AS len, CAST(mm AS INTEGER) AS mm FROM fit WHERE mm <= floor(n * 0.06) QUALIFY row_number() OVER (PARTITION BY cid ORDER BY mm, to_cid, pos, view) = 1)"""
 
 SQL = {
+    "fastq_written": f"WITH {TEXT_READS} SELECT name, seq, qual FROM reads",
     "repeat_replay": f"WITH {TALK} SELECT cid, s FROM talk WHERE s <> ''",
     "chain_delta": f"WITH {UNIQUE} SELECT uid AS id, seq FROM uniq",
     "tree_delta": f"WITH {UNIQUE} SELECT uid AS id, seq FROM uniq",
@@ -371,3 +372,4 @@ SQL = {
     "mate_ranks": f"WITH {TALK_READS}, p AS (SELECT read_id, cid * 1000000 + i // 2 AS pair_id, i % 2 AS mate FROM reads), f AS (SELECT pair_id, row_number() OVER (ORDER BY read_id DESC) - 1 AS rank FROM p WHERE mate = 0) SELECT read_id, pair_id, rank FROM p JOIN f USING (pair_id) WHERE mate = 1",
 }
 SQL["top_symbols"] = f"SELECT q1, posbin, q, scaled FROM ({SQL['quality_contexts']}) WHERE scaled > 100"
+SQL["sam_written"] = SQL["sam_rows"]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import graph, growth, sampling
+from seqloom.operators import graph, growth, joins, sampling
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -246,3 +246,41 @@ def test_running_counts_and_places(spark):
     cells = spark.createDataFrame([(x * x, x) for x in range(100)], "cell long, n long")
     got = {r.cell: r.before for r in sampling.before(cells, "cell", fan=4, levels=3).collect()}
     assert got == {x * x: sum(range(x)) for x in range(100)}
+
+
+def test_mates_near_or_mapped(spark):
+    g = genome(900, 31)
+    contigs = spark.createDataFrame([(0, g), (1, genome(400, 32))], "cid long, s string")
+    other = genome(400, 32)
+    rows = [(0, 0, 100, rc(g[205:285])), (1, 0, 100, g[600:680]), (2, None, None, other[50:130]), (3, 0, 100, genome(80, 33)), (4, 1, 20, rc(other[120:200])), (5, 0, 880, rc(g[10:90]))]
+    got = joins.mated(spark.createDataFrame(rows, "read_id long, cid long, pos int, mate_seq string"), contigs, 100, 5, 6)
+    got = {r.read_id: (r.cid, r.pos, r.rc, r.mm, r.near) for r in got.collect()}
+    assert got == {0: (0, 205, True, 0, True), 1: (0, 600, False, 0, False), 2: (1, 50, False, 0, False), 4: (1, 120, True, 0, True), 5: (0, 10, True, 0, False)}
+
+
+def test_haplotypes_are_found_on_the_genome(spark):
+    g = genome(1500, 41)
+    part = g[300:700]
+    snv = part[:100] + part[100].translate(str.maketrans("ACGT", "CGTA")) + part[101:]
+    deletion = part[:200] + part[203:]
+    contigs = {0: part, 1: rc(part), 2: snv, 3: rc(deletion), 4: genome(200, 42)}
+    at = lambda c, i: contigs[c][i]
+    v = [
+        (0, 51, at(0, 50), at(0, 50).translate(str.maketrans("ACGT", "CGTA")), "x", 350),  # as it is
+        (1, 51, at(1, 50), at(1, 50).translate(str.maketrans("ACGT", "CGTA")), "x", 640),  # other strand
+        (2, 101, at(2, 100), part[100], "x", 380),  # the genome has the alternative
+        (0, 200, part[199:203], part[199], "x", 500),  # a deletion
+        (3, len(deletion) - 200, at(3, len(deletion) - 201), at(3, len(deletion) - 201) + rc(part[200:203]), "x", 505),  # an insertion that the genome has, turned
+        (0, 10, at(0, 9), "T", "x", 300), (4, 101, at(4, 100), "T", "x", 300), (0, 61, rc(at(0, 60)), at(0, 60), "x", 300)]
+    names = "cid long, pos int, ref string, alt string, chrom string, at long"
+    got = joins.haplotype_lifted(spark.createDataFrame(v, names), spark.createDataFrame(list(contigs.items()), "cid long, s string"), spark.createDataFrame([("x", g)], "chrom string, s string")).collect()
+    got = {(r.cid, r.pos): (r.g_pos, r.g_ref, r.g_alt) for r in got}
+    assert set(got) == {x[:2] for x in v[:5]}
+    for c, pos, ref, alt, *_ in v[:5]:
+        p, r, a = got[c, pos]
+        assert g[p - 1 : p - 1 + len(r)] == r
+        # both texts are the genome, as it is and with the other allele
+        new = g[: p - 1] + a + g[p - 1 + len(r) :]
+        mine = contigs[c][: pos - 1] + alt + contigs[c][pos - 1 + len(ref) :]
+        assert {contigs[c], mine} & {g[300:700], rc(g[300:700])}
+        assert any(x in new or rc(x) in new for x in (contigs[c], mine) if x not in (part, rc(part)))
