@@ -250,8 +250,9 @@ def haplotype_lifted(variants: DataFrame, contigs: DataFrame, genome: DataFrame,
 
     The contig's flanks around either allele are looked up within `reach` bases
     of `at`, on both strands; the allele that the genome carries is its
-    reference, the other one the alternative. On the other strand both are turned
-    and get the genome's base to their left; equal ends go. Variants whose flanks
+    reference, the other one the alternative. On the other strand both are turned,
+    and those of an indel, which share their first base, get the genome's base to
+    their left in its place; equal ends go. Variants whose flanks
     leave the contig, whose reference is not the contig's, or that the genome
     carries neither way, have no row."""
     rows = variants.join(contigs.select("cid", "s"), "cid")
@@ -269,7 +270,9 @@ def haplotype_lifted(variants: DataFrame, contigs: DataFrame, genome: DataFrame,
     start = F.col("lo") + F.col("k") - 1 + flank  # of the allele, from 0
     before = F.upper(F.col("g").substr(start.cast("int"), F.lit(1)))
     turned = lambda c: F.concat(before, reverse_complement(c).substr(F.lit(1), F.length(c) - 1))
-    first = first.select("cid", "pos", "chrom", "g", F.when(F.col("turn"), start).otherwise(start + 1).alias("g_pos"), *[F.when(F.col("turn"), turned(c)).otherwise(F.col(c)).alias(o) for c, o in (("mine", "r"), ("other", "a"))])
+    plain = F.length("mine") == F.length("other")  # a substitution needs no base to its left
+    allele = lambda c: F.when(~F.col("turn"), F.col(c)).when(plain, reverse_complement(c)).otherwise(turned(c))
+    first = first.select("cid", "pos", "chrom", "g", F.when(F.col("turn") & ~plain, start).otherwise(start + 1).alias("g_pos"), allele("mine").alias("r"), allele("other").alias("a"))
     shared = F.least(F.length("r"), F.length("a")) - 1
     # bases that both end with, without the first one
     same = F.array_position(F.transform(F.sequence(F.lit(1), shared + 1), lambda i: (i > shared) | (F.right("r", i) != F.right("a", i))), True) - 1
