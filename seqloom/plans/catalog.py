@@ -669,6 +669,10 @@ def anchor_assembly(spark, d):
     return growth.anchor_grown(graded_reads(spark, d))[0]
 
 
+def assembly_trials(spark, d):
+    return growth.best_trial(talk_reads(spark, d).select(F.col("read_id").alias("uid"), "seq"))[1]
+
+
 def multi_contig_placement(spark, d):
     return growth.placed_all(graded_reads(spark, d), error=0.06)[0]
 

@@ -284,3 +284,19 @@ def test_haplotypes_are_found_on_the_genome(spark):
         mine = contigs[c][: pos - 1] + alt + contigs[c][pos - 1 + len(ref) :]
         assert {contigs[c], mine} & {g[300:700], rc(g[300:700])}
         assert any(x in new or rc(x) in new for x in (contigs[c], mine) if x not in (part, rc(part)))
+
+
+def test_the_shortest_trial_is_kept(spark):
+    reads = [(u, s) for u, s, _ in noisy_reads(13)]
+    df = spark.createDataFrame(reads, "uid long, seq string")
+    share, places, contigs = growth.best_trial(df)
+    text = {r.cid: r.s for r in contigs.collect()}
+    found = places.collect()
+    assert sorted(p.uid for p in found) == [u for u, _ in reads] and len(text) == contigs.count()
+    for p in found:
+        s = dict(reads)[p.uid] or ""
+        there = text[p.cid][p.pos : p.pos + len(s)]
+        assert differ(rc(s) if p.rc else s, there) == p.mm <= max(1, len(s) // 8)
+    size = sum(map(len, text.values()))
+    others = [growth.best_trial(df, [x])[2].agg(F.sum(F.length("s"))).first()[0] for x in (0.65, 0.15)]
+    assert size <= min(others) and share in (0.65, 0.45, 0.15)
