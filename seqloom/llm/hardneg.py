@@ -110,14 +110,15 @@ class Block:
         self.rest = matrix(batch.column(5), parts)
 
     def bounds(self, q: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by lookup, how far they may be off) for anchors x rows."""
+        """(least, greatest) scores for anchors x rows: those by lookup, less and
+        plus how far they may be off, held like scores."""
         parts = cut(q, book.shape[2])
         score, off = np.zeros((len(q), len(self.x))), np.zeros((len(q), len(self.x)))
         for m, p in enumerate(parts):
             score += (p @ book[m].T)[:, self.codes[:, m]]
             off += np.outer(np.sqrt((p**2).sum(1)), self.rest[:, m])
         off += 1e-9 * (1 + np.abs(score) + off)  # rounding
-        return score, off
+        return np.clip(score - off, -LARGEST, LARGEST), np.clip(score + off, -LARGEST, LARGEST)
 
 
 class Windows:
@@ -160,8 +161,8 @@ def positives_of(blocks, q_row, q_label, q, book, k: int) -> Windows:
             same = (q_label[s][:, None] == b.label[None, :]) & (q_row[s][:, None] != b.row[None, :])
             if not same.any():
                 continue
-            score, off = b.bounds(q[s], book)
-            at, col = np.nonzero(same & (score + off >= np.maximum(best.floor()[s], sure(score - off, same, k))[:, None]))
+            low, high = b.bounds(q[s], book)
+            at, col = np.nonzero(same & (high >= np.maximum(best.floor()[s], sure(low, same, k))[:, None]))
             at += a
             best.add(at, exact(q, b.x, at, col), b.id[col], b.row[col])
     return best
@@ -189,15 +190,14 @@ def negatives_of(blocks, q_label, q, book, q_of: np.ndarray, score_of: np.ndarra
             if not len(w):
                 continue
             other = q_label[a:stop][:, None] != b.label[None, :]
-            score, off = b.bounds(q[a:stop], book)
+            lo, hi = b.bounds(q[a:stop], book)
             near = q_of[w] - a
-            lo, hi, ok = score - off, score + off, other
             floor = np.maximum(best.floor()[w], least[w])
             # rows of any window of an anchor get their exact score once
             need = np.zeros_like(other)
             for i in range(0, len(w), ANCHORS):
                 j = near[i : i + ANCHORS]
-                inside = ok[j] & (lo[j] <= score_of[w[i : i + ANCHORS], None]) & (hi[j] >= floor[i : i + ANCHORS, None])
+                inside = other[j] & (lo[j] <= score_of[w[i : i + ANCHORS], None]) & (hi[j] >= floor[i : i + ANCHORS, None])
                 np.logical_or.at(need, j, inside)
             at, col = np.nonzero(need)
             got = exact(q, b.x, at + a, col)

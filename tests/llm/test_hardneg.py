@@ -60,7 +60,7 @@ def test_ties_copies_and_odd_rows(spark, monkeypatch):
     rows = table(4, 120, 6)
     copy = rows[0][1]
     rows += [(i, copy, i % 3) for i in range(5000, 5200)]
-    rows += [(None, copy, 1), (7000, None, 1), (7100, [1.0, None, 0, 0, 0, 0], 1), (7200, [float("nan")] + [1.0] * 5, 1), (7300, [float("inf")] * 6, 1), (7400, copy, None), (7500, [], 1), (7600, [-x for x in copy], 1)]
+    rows += [(None, copy, 1), (7000, None, 1), (7100, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (7200, [float("nan")] + [1.0] * 5, 1), (7300, [float("inf")] * 6, 1), (7400, copy, None), (7500, [], 1), (7600, [-x for x in copy], 1)]
     rows += [(5000, copy, 0), (5000, copy, 1), (7700, [2.0], 2)]
     padded = [(a, None if v is None else v + [0.0] * (6 - len(v)), m) for a, v, m in rows]
     assert mined(spark, rows) == brute(padded)
