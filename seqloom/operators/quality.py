@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import widened
+
 
 def symbols(reads: DataFrame, key: str = "read_id", qual: str = "qual") -> DataFrame:
     """(key, pos, q)."""
@@ -79,4 +81,4 @@ def mate_contexts(reads: DataFrame) -> DataFrame:
     b = F.when(F.col("q1") < 10, 0).when(F.col("q1") < 20, 1).when(F.col("q1") < 30, 2).when(F.col("q1").isNotNull(), 3).otherwise(4)
     one = s.where("mate = 1").select(F.col("pair_id").alias("_p"), F.col("pos").alias("_pos"), F.col("q").alias("q1"))
     two = s.where("mate = 2")
-    return two.join(one, (F.col("pair_id") == F.col("_p")) & (F.col("pos") == F.col("_pos")), "left").select("read_id", "pos", "q", b.alias("mate_bin"))
+    return two.join(widened(one), (F.col("pair_id") == F.col("_p")) & (F.col("pos") == F.col("_pos")), "left").select("read_id", "pos", "q", b.alias("mate_bin"))
