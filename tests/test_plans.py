@@ -11,3 +11,10 @@ SMALL = "/root/testdata/sf0.001"
 def test_exploded_sides_are_not_broadcast(spark, name):
     plan = getattr(catalog, name)(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["snv_candidates", "three_hypotheses", "precision_recall"])
+def test_bases_of_reads_are_not_joined_with_their_columns(spark, name):
+    """Reads meet their contig by a join; their bases are counted where they are."""
+    plan = getattr(catalog, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
