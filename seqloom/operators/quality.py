@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import widened
+from seqloom.operators import rolling
+from seqloom.session import arrowed, widened
 
 
 def symbols(reads: DataFrame, key: str = "read_id", qual: str = "qual") -> DataFrame:
@@ -14,6 +17,53 @@ def symbols(reads: DataFrame, key: str = "read_id", qual: str = "qual") -> DataF
     return rows.select(key, "pos", F.greatest(F.ascii("c") - 33, F.lit(0)).alias("q"))
 
 
+def followed(reads: DataFrame, width: int | None = None, qual: str = "qual") -> DataFrame:
+    """(bin, q1, q, n): how often a quality q has q1 before it (0 for the first)
+    in each range of width places, all places being one without a width. A task
+    counts over whole columns, so that only its counts are shuffled."""
+    some = reads.where(F.col(qual).isNotNull()).select(qual)
+    rows = arrowed(some, followed_counts(width), "bin long, q1 int, q int, n long")
+    return rows.groupBy("bin", "q1", "q").agg(F.sum("n").alias("n"))
+
+
+def followed_counts(width: int | None):
+    """Batches of one string column without nulls -> bin, q1, q, n, once for each
+    part of a batch. An empty string counts as one quality of 0."""
+
+    def run(batches):
+        for part in rolling.slices(batches, 0):
+            data, at = rolling.bytes_of(part.column(0))
+            if (data >= 128).any():  # places count characters
+                texts = part.column(0).to_pylist()
+                data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+                at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            size = np.diff(at)
+            q = np.maximum(data.astype(np.int64) - 33, 0)
+            q1 = np.concatenate([[0], q[:-1]])[: len(q)]
+            q1[at[:-1][size > 0]] = 0
+            place = np.arange(len(q)) - np.repeat(at[:-1], size)
+            cell = place // width if width else np.zeros(len(q), np.int64)
+            empty = int((size == 0).sum())
+            q, q1, cell = (np.concatenate([x, np.zeros(empty, np.int64)]) for x in (q, q1, cell))
+            if not len(q):
+                continue
+            few = q.max() < 256  # else qualities are numbered as they occur
+            many = np.arange(256) if few else np.union1d(q, q1)
+            base = len(many)
+            first, then = (q1, q) if few else (np.searchsorted(many, q1), np.searchsorted(many, q))
+            key = (cell * base + first) * base + then
+            if key.max() < 1 << 20:
+                n = np.bincount(key)
+                key = np.flatnonzero(n)
+                n = n[key]
+            else:
+                key, n = np.unique(key, return_counts=True)
+            pair = key % (base * base)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (base * base)), pa.array(many[pair // base].astype(np.int32)), pa.array(many[pair % base].astype(np.int32)), pa.array(n.astype(np.int64))], names=["bin", "q1", "q", "n"])
+
+    return run
+
+
 def states(reads: DataFrame, key: str = "read_id") -> DataFrame:
     """(key, pos, q, q1, q2, top, vol, run) of each quality, from what comes
     before it: the last two, a maximum that decays by one a place, a moving
@@ -35,14 +85,15 @@ def states(reads: DataFrame, key: str = "read_id") -> DataFrame:
 
 def context_counts(rows: DataFrame, context: list[str], symbol: str) -> DataFrame:
     """(context, symbol, n, scaled): how often each symbol follows each context,
-    and its share of 16384."""
-    c = rows.groupBy(*context, symbol).agg(F.count("*").alias("n"))
+    and its share of 16384. Rows with a count n stand for n rows."""
+    c = rows.groupBy(*context, symbol).agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("n"))
     return c.withColumn("scaled", F.floor(F.col("n") * 16384 / F.sum("n").over(Window.partitionBy(*context))).cast("long"))
 
 
 def conditional_entropy(rows: DataFrame, context: list[str], symbol: str) -> DataFrame:
-    """n, order0 and conditional bits for each symbol."""
-    c = rows.groupBy(*context, symbol).agg(F.count("*").alias("n"))
+    """n, order0 and conditional bits for each symbol. Rows with a count n stand
+    for n rows."""
+    c = rows.groupBy(*context, symbol).agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("n"))
     total = c.groupBy(*context).agg(F.sum("n").alias("t"))
     h1 = c.join(total, context).agg(F.sum("n").alias("n"), F.sum(-F.col("n") * F.log2(F.col("n") / F.col("t"))).alias("bits"))
     o = c.groupBy(symbol).agg(F.sum("n").alias("n"))
