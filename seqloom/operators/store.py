@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from seqloom.functions.sequence import reverse_complement
 
 
-def encoded(reads: DataFrame, placements: DataFrame, contigs: DataFrame) -> DataFrame:
+def encoded(reads: DataFrame, placements: DataFrame | None, contigs: DataFrame) -> DataFrame:
     """reads (read_id, name, seq, qual, plus) with a placement become their
     differences from the contig: mm (offset, base) in the contig's direction for
     ACGT bases, exc (offset, character) in the read's for everything else.
-    Reads without a placement, or that leave their contig, keep their bases."""
-    rows = reads.join(placements.select("read_id", "cid", "pos", "rc"), "read_id", "left").join(contigs.select("cid", "s"), "cid", "left")
+    Reads without a placement, or that leave their contig, keep their bases.
+    placements: None where reads have cid, pos and rc themselves, which spares an
+    exchange that parts neighbours; those of a contig are alike and pack well."""
+    rows = reads if placements is None else reads.join(placements.select("read_id", "cid", "pos", "rc"), "read_id", "left")
+    # contigs are far smaller than their reads, which are then not sorted
+    rows = rows.join(contigs.select("cid", "s").hint("shuffle_hash"), "cid", "left")
     n = F.length("seq")
     fits = F.col("s").isNotNull() & (F.col("pos") >= 0) & (F.col("pos") + n <= F.length("s"))
     plain = F.regexp_replace("seq", "[^ACGT]", "N")
@@ -35,7 +39,7 @@ def overlaid(base, edits, at: str, what: str):
 
 def reconstructed(enc: DataFrame, contigs: DataFrame) -> DataFrame:
     """(read_id, name, seq, plus, qual) as they were."""
-    rows = enc.join(contigs.select("cid", "s"), "cid", "left")
+    rows = enc.join(contigs.select("cid", "s").hint("shuffle_hash"), "cid", "left")
     b = overlaid(F.col("s").substr(F.col("pos") + 1, F.col("r_len")), "mm", "off", "base")
     b = F.when(F.col("rc"), reverse_complement(b)).otherwise(b)
     seq = F.coalesce("raw", overlaid(b, "exc", "off", "ch"))
