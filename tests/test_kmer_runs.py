@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from seqloom.operators import kmers, rolling
+from seqloom.operators import calling, kmers, rolling
 
 
 def rc(s):
@@ -44,3 +44,22 @@ def test_runs_are_small_and_large_buckets_are_counted_in_parts(monkeypatch):
     assert len(got) == len(made)  # a k-mer leaves once
     pack = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
     assert got == {pack(s): 2 * n for s, n in brute(rows, 31).items()}
+
+
+def test_kmers_that_occur_twice(spark):
+    rows = [(i, s) for i, s in enumerate(texts()) if i % 3] + [(3000, rc(texts()[4])), (None, texts()[6])]
+    seqs = spark.createDataFrame(rows, "cid long, s string").repartition(4)
+    at = {}
+    for c, s in rows:
+        for i in range(len(s) - 24):
+            x = s[i : i + 25]
+            if set(x) <= set("ACGT"):
+                at.setdefault(min(x, rc(x)), []).append((-len(s), c, i, rc(x) < x))
+    want = set()
+    for kmer, places in at.items():
+        if len(places) == 2 and None not in (places[0][1], places[1][1]) and places[0][1] != places[1][1]:
+            a, b = sorted(places)
+            want.add((kmer, a[1], a[2], b[1], -b[0] - b[2] - 25 if a[3] != b[3] else b[2], a[3] != b[3]))
+    found = calling.anchor_pairs(seqs)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+    assert "hashpartitioning(kmer" not in found._jdf.queryExecution().executedPlan().toString()
