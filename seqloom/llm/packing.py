@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.frames import running_sums
 from seqloom.llm.words import text_slices
-from seqloom.session import arrowed, materialize
+from seqloom.session import STATE, arrowed, materialize
 
 WINDOW = 4096
 UNIT = 32
@@ -109,10 +109,10 @@ class Words(dict):
 
 def words_of(path: str) -> Words:
     """The words of this process: a Python worker that runs several tasks keeps
-    them from one to the next."""
+    them from one to the next, until one of another kind comes."""
     import types
 
-    kept = sys.modules.setdefault("seqloom_worker_state", types.ModuleType("seqloom_worker_state")).__dict__
+    kept = sys.modules.setdefault(STATE, types.ModuleType(STATE)).__dict__
     if path not in kept:
         kept[path] = Words(path)
     return kept[path]
@@ -170,7 +170,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW, end: int = END,
                 part.column(3), pa.array([d if k else None for d, k in zip(data, part.column(3).to_pylist())], pa.binary()),
             ], names=["doc_id", "row_key", "tokens", "crcs", "reserve", "ids"])
 
-    return materialize(arrowed(docs, run, TOKENS), "tokens")
+    return materialize(arrowed(docs, run, TOKENS, keeps=True), "tokens")
 
 
 def combinations(units: int, depth: int, classes: list[int]) -> list[tuple[int, ...]]:
