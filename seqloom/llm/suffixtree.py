@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.frames import fold
 from seqloom.llm.jaccard import signed
 from seqloom.llm.words import hashed_words, mix64, text_slices
-from seqloom.session import arrowed, drop_table, drop_written, materialize, written
+from seqloom.session import arrowed, drop_table, drop_written, materialize, trim, written
 
 MIN_CONTEXT = 5
 MIN_EDGE = 2
@@ -219,11 +219,22 @@ def filter_of(df: DataFrame, key: str) -> np.ndarray:
     at = df.select(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     rows = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("set")).toArrow()
     out = np.zeros((1 << (bits - 15), 4096), np.uint8)
-    for block, part in zip(rows["block"].to_pylist(), rows["set"].to_pylist()):
-        out[block] = np.frombuffer(part, np.uint8)
+    for batch in rows.to_batches(64):
+        for block, part in zip(batch["block"].to_pylist(), batch["set"].to_pylist()):
+            out[block] = np.frombuffer(part, np.uint8)
+    del rows
     return out.reshape(-1)
 
 
+def sent_out(spark, value):
+    """A broadcast of value, of which the driver's Python keeps nothing: it is the
+    caller's to pass the only reference."""
+    held = spark.sparkContext.broadcast(value)
+    del value
+    trim()
+    return held
+
+
 def maybe(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """False only for keys that are not in the filter."""
     at = x & np.uint64(len(bits) * 8 - 1)
@@ -288,10 +299,10 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
     values, d, gained = [], 0, code_length
     while gained > least_gain * code_length and (depth is None or d < depth) and contexts.limit(1).count():
         d += 1
-        held = spark.sparkContext.broadcast((filter_of(contexts, "ctx"), filter_of(edges, "key"), pairs))
+        held = [sent_out(spark, filter_of(contexts, "ctx")), sent_out(spark, filter_of(edges, "key"))]
 
-        def keys(part, d=d, held=held):
-            wanted, often, pairs = held.value
+        def keys(part, d=d, held=held, pairs=pairs):
+            wanted, often, pairs = held[0].value, held[1].value, pairs and pairs.value
             of = Runs(*part)
             state, next_ = (np.zeros(len(of.pos), bool) for _ in range(2))
             at = of.ends(d)
@@ -305,8 +316,8 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
             at = at[state[at - 1] & next_[at] | state[at] & (frequent[at - 1] if d < 3 else True)]
             return of(at, d + 1), of(at - 1, d), *([of(at, d)] if d > 1 else [])
 
-        def holding(batches, d=d, held=held, slices=slices):
-            wanted, _, pairs = held.value
+        def holding(batches, d=d, held=held, slices=slices, pairs=pairs):
+            wanted, pairs = held[0].value, pairs.value
             for part in slices(batches):
                 of = Runs(*part)
                 at = of.ends(d)
@@ -321,7 +332,8 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         found = materialize(summed(source, slices, keys, names, min(least_context, least_edge), total, last), "runs", sweep=True)
         own = found.where(F.col("n") >= least_edge).join(contexts, "ctx").join(edges.select(F.col("key").alias("shorter"), F.col("log_p").alias("log_q")), "shorter")
         own = materialize(own.select("key", "ctx", "n", "total", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("own"), "log_q"), "nexts", sweep=True)
-        held.unpersist()
+        for one in held:  # all that is made with them is written
+            one.destroy()
         p, q = F.pow(10.0, F.col("own")), F.pow(10.0, F.col("log_q"))
         state = own.groupBy("ctx", "total").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("kl"), F.count("*").alias("k"), F.max("n").alias("top"))
         rest, below = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
@@ -332,7 +344,7 @@ def learned(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int,
         if gained is None:
             break
         if d == 1:
-            pairs = filter_of(found.where(F.col("n") >= least_context), "key")
+            pairs = sent_out(spark, filter_of(found.where(F.col("n") >= least_context), "key"))
         # where one next word always follows, longer contexts tell nothing more
         contexts = found.where(F.col("n") >= least_context).join(state.where("open").select(F.col("_ctx").alias("shorter")), "shorter", "left_semi")
         contexts = materialize(contexts.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "contexts")
@@ -374,17 +386,21 @@ def scored(docs: DataFrame, depth: int | None = None, min_context: float = MIN_C
         table = Table(rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["weight"].to_numpy())
         return table, rows["value"].to_numpy()[table.order]
 
-    words_head, words_n = head(vocabulary, "n")
-    log_root = np.log10((words_n + 0.5) / (total + 0.5 * (distinct + 1)))
-    bits = filter_of(values, "key") if most else None  # all runs, so that the end of a run that has a value is in it, too
-    values = values.where("value <> 0") if most else None
-    runs_head, runs_value = head(values, "value") if most else (None, None)
-    own = filter_of(values, "key") if most else None
-    held = spark.sparkContext.broadcast((words_head, log_root, runs_head, runs_value, bits, own))
-    del words_head, words_n, log_root, runs_head, runs_value, bits, own
+    def words():
+        table, n = head(vocabulary, "n")
+        return table, np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    # one after the other, so that the driver holds one of them at a time
+    held = [sent_out(spark, words())]
+    if most:
+        held.append(sent_out(spark, filter_of(values, "key")))  # all runs, so that the end of a run that has a value is in it, too
+        values = values.where("value <> 0")
+        held.append(sent_out(spark, head(values, "value")))
+        held.append(sent_out(spark, filter_of(values, "key")))
 
     def run(batches):
-        words_head, log_root, runs_head, runs_value, bits, own = held.value
+        words_head, log_root = held[0].value
+        bits, (runs_head, runs_value), own = [x.value for x in held[1:]] or (None, (None, None), None)
         asked, waiting = ([], []), 0
         for part, text in text_slices(batches, 1, 512):
             tokens, size = token_stream(text)
