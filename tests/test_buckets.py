@@ -43,3 +43,32 @@ def test_buckets_beyond_the_cap_and_other_letters(spark):
     same = spark.createDataFrame([(i, "é" * 100) for i in range(6)], "uid long, seq string")
     assert joins.sampled_neighbours(same, cap=5).count() == 0
     assert sorted(map(tuple, joins.sampled_forest(same, cap=6).collect())) == [(0, i, 0.0) for i in range(1, 6)]
+
+
+def test_a_whole_forest_leaves_out_no_bucket(spark):
+    rows = [r for r in family(330, 9) if r[0] is not None and len(r[1] or "") == 100]
+    for i, (_, s) in enumerate(rows[:90]):  # without other letters than four
+        rows.append((9000 + i, s.replace("N", "A")))
+    seqs = spark.createDataFrame(rows, "uid long, seq string")
+    tree = lambda df: sorted(map(tuple, graph.spanning_tree(df).collect()))
+    want = tree(joins.sampled_neighbours(seqs, cap=10_000))
+    assert joins.sampled_forest(seqs, cap=100).count() < len(want)  # the cap drops whole buckets
+    for size in (40, 1000):
+        assert tree(joins.whole_forest(seqs, chunk=size, large=size)) == want
+
+
+def test_the_catalog_trees_take_buckets_beyond_the_cap(spark, monkeypatch):
+    from seqloom.plans import catalog
+
+    rnd = random.Random(3)
+    base = "".join(rnd.choice("ACGT") for _ in range(100))
+    fixed = {(h * 31 + j * 13) % 100 for h in range(8) for j in range(8)}
+    free = [i for i in range(100) if i not in fixed]
+    rows = []
+    for i in range(230):  # one bucket for each hash holds all
+        s = list(base)
+        for p in free:
+            s[p] = rnd.choice("ACGT")
+        rows.append((i, "".join(s)))
+    monkeypatch.setattr(catalog, "distinct_reads", lambda spark, d: spark.createDataFrame(rows, "uid long, seq string"))
+    assert catalog.mst_order(spark, "").count() == 230
