@@ -72,3 +72,23 @@ def test_the_catalog_trees_take_buckets_beyond_the_cap(spark, monkeypatch):
         rows.append((i, "".join(s)))
     monkeypatch.setattr(catalog, "distinct_reads", lambda spark, d: spark.createDataFrame(rows, "uid long, seq string"))
     assert catalog.mst_order(spark, "").count() == 230
+
+
+def test_a_pair_leaves_one_bucket_and_is_not_shuffled(spark):
+    seqs = spark.createDataFrame(family(), "uid long, seq string")
+    rows = [(i, s) for i, s in family() if i is not None and s and len(s) == 100]
+    keys = {i: [(h, "".join(s[(h * 31 + j * 13) % 100] for j in range(8))) for h in range(8)] for i, s in rows}
+    many = {}
+    for k in sum(keys.values(), []):
+        many[k] = many.get(k, 0) + 1
+    for cap in (6, 12, 200):
+        want = []
+        for i, s in rows:
+            for j, t in rows:
+                if i < j and any(k in keys[j] and many[k] <= cap for k in keys[i]):
+                    want.append((i, j, round(2 * sum(a != b for a, b in zip(s, t)) / 100, 6)))
+        got = joins.sampled_neighbours(seqs, cap=cap)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert not got._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    twice = seqs.union(seqs.where("uid = 8"))  # an id of two rows
+    assert sorted(map(tuple, joins.sampled_neighbours(twice).collect())) == sorted(want)
